@@ -13,7 +13,7 @@ from ldpspark.operators import encode, mechanism, privatise, profile, scale, spl
 from ldpspark.sources.catalog import design_mechanisms
 
 from . import sqltext as q
-from .prepare_queries import EVENT, LINE_COLS, LINE_IDS, LINE_SPLIT, ORDER, TRAIN, line_key, line_table
+from .prepare_queries import EVENT, LINE_COLS, LINE_IDS, LINE_SPLIT, ORDER, is_train, line_key, line_table
 from .registry import query, table, wide_table
 
 # ---------------------------------------------------------------- piecewise mechanism
@@ -60,9 +60,9 @@ def pm_params(spark, sf):
 )
 def pm_perturb(spark, sf):
     orders = order_table(spark, sf)
-    fitted = scale.fit(orders, ["o_totalprice"], where=TRAIN)
+    fitted = scale.fit(orders, ["o_totalprice"], where=is_train())
     out = privatise.perturb_pm(
-        orders.where(TRAIN), ["o_totalprice"], fitted, piecewise.Piecewise(1.0, 3.0), row_key("o_orderkey"), 0
+        orders.where(is_train()), ["o_totalprice"], fitted, piecewise.Piecewise(1.0, 3.0), row_key("o_orderkey"), 0
     )
     return out.select("o_orderkey", "split", F.round("o_totalprice", 6).alias("noisy"))
 
@@ -76,10 +76,10 @@ def _core_sql() -> str:
 @query("pm_test", _core_sql())
 def pm_test(spark, sf):
     orders = order_table(spark, sf)
-    s = scale.fit(orders, ["o_totalprice"], where=TRAIN)["o_totalprice"]
+    s = scale.fit(orders, ["o_totalprice"], where=is_train())["o_totalprice"]
     v, params, key = privatise.scaled("o_totalprice", s), piecewise.Piecewise(1.0, 3.0).columns(), row_key("o_orderkey")
     out = project(
-        orders.where(~TRAIN),
+        orders.where(~is_train()),
         [
             piecewise.core_draw("drawn", v, params, key, 0, "o_totalprice"),
             piecewise.core_draw("middle", v, params, key, 0, "o_totalprice", mode="midpoint"),
@@ -111,7 +111,7 @@ def _pm_multi_sql() -> str:
 def pm_multi(spark, sf):
     """Four columns, train and test rows, in one pass."""
     lines = line_table(spark, sf)
-    fitted = scale.fit(lines, LINE_COLS, where=TRAIN)
+    fitted = scale.fit(lines, LINE_COLS, where=is_train())
     out = privatise.perturb_pm(
         lines, LINE_COLS, fitted, piecewise.Piecewise(3.0, 3.0), line_key(), 0, test=F.col("split") == "test"
     )
@@ -126,11 +126,11 @@ def pm_multi(spark, sf):
 def pm_label_index(spark, sf):
     """Train labels as LDP outputs, test labels raw."""
     orders = order_table(spark, sf)
-    fitted = scale.fit(orders, ["o_totalprice"], where=TRAIN)
+    fitted = scale.fit(orders, ["o_totalprice"], where=is_train())
     noisy = privatise.perturb_pm(
         orders.withColumn("raw", F.col("o_totalprice")), ["o_totalprice"], fitted, piecewise.Piecewise(2.0, 3.0), row_key("o_orderkey"), 0
     )
-    label = F.when(TRAIN, F.round("o_totalprice", 6)).otherwise(F.col("raw"))
+    label = F.when(is_train(), F.round("o_totalprice", 6)).otherwise(F.col("raw"))
     return noisy.select("o_orderkey", "split", label.alias("label"))
 
 
@@ -145,13 +145,13 @@ _A2 = q.pm_constants(2.0, 3.0)["a"]
 )
 def pm_label_linear(spark, sf):
     orders = order_table(spark, sf)
-    fitted = scale.fit(orders, ["o_totalprice"], where=TRAIN)
+    fitted = scale.fit(orders, ["o_totalprice"], where=is_train())
     pm = piecewise.Piecewise(2.0, 3.0)
     noisy = privatise.perturb_pm(
         orders.withColumn("raw", F.col("o_totalprice")), ["o_totalprice"], fitted, pm, row_key("o_orderkey"), 0
     )
     mapped = privatise.pm_label_to_range(F.col("o_totalprice"), pm.a, fitted["o_totalprice"])
-    return noisy.select("o_orderkey", "split", F.when(TRAIN, F.round(mapped, 4)).otherwise(F.col("raw")).alias("label"))
+    return noisy.select("o_orderkey", "split", F.when(is_train(), F.round(mapped, 4)).otherwise(F.col("raw")).alias("label"))
 
 
 @query(
@@ -167,7 +167,7 @@ def pm_missing_values(spark, sf):
     """Both NULL policies side by side (NaN shown as NULL)."""
     orders = order_table(spark, sf)
     gaps = orders.withColumn("price", F.when(uniform(7, "null", row_key("o_orderkey"), "price") >= 0.1, F.col("o_totalprice")))
-    s = scale.fit(gaps, ["price"], where=TRAIN)["price"]
+    s = scale.fit(gaps, ["price"], where=is_train())["price"]
     v, params, key = privatise.scaled("price", s), piecewise.Piecewise(1.0, 3.0).columns(), row_key("o_orderkey")
     out = project(
         gaps,
@@ -294,7 +294,7 @@ def _pivot(cols, value: str, source: str) -> str:
 )
 def qm_prob(spark, sf):
     orders = order_table(spark, sf)
-    s = scale.fit(orders, ["o_totalprice"], where=TRAIN)["o_totalprice"]
+    s = scale.fit(orders, ["o_totalprice"], where=is_train())["o_totalprice"]
     lookup = quantised.Lookup([feature_mechanism(spark)])
     out = project(orders, [quantised.probabilities("p", privatise.scaled("o_totalprice", s), lookup)])
     return out.select("o_orderkey", *[F.round(f"p.p{k}", 9).alias(f"p{k}") for k in range(N)])
@@ -307,7 +307,7 @@ def qm_prob(spark, sf):
 )
 def qm_sample(spark, sf):
     lines = line_table(spark, sf)
-    fitted = scale.fit(lines, QM_COLS, where=TRAIN)
+    fitted = scale.fit(lines, QM_COLS, where=is_train())
     out = privatise.perturb_qm(lines, QM_COLS, fitted, quantised.Lookup([feature_mechanism(spark)]), line_key(), 0)
     return out.select(*LINE_IDS, *QM_COLS)
 
@@ -322,9 +322,9 @@ def qm_sample(spark, sf):
 )
 def qm_argmax(spark, sf):
     lines = line_table(spark, sf)
-    fitted = scale.fit(lines, QM_COLS, where=TRAIN)
+    fitted = scale.fit(lines, QM_COLS, where=is_train())
     lookup = quantised.Lookup([feature_mechanism(spark)])
-    test = lines.where(~TRAIN)
+    test = lines.where(~is_train())
     out = project(test, [quantised.most_probable(c, privatise.scaled(c, fitted[c]), lookup) for c in QM_COLS])
     return out.select(*LINE_IDS, *QM_COLS)
 
@@ -339,7 +339,7 @@ _A1 = q.window_matrix(EPS, N, WIDTH)[1]
 )
 def qm_value(spark, sf):
     lines = line_table(spark, sf)
-    s = scale.fit(lines, ["l_quantity"], where=TRAIN)["l_quantity"]
+    s = scale.fit(lines, ["l_quantity"], where=is_train())["l_quantity"]
     m = feature_mechanism(spark)
     v = privatise.scaled("l_quantity", s)
     out = project(lines, [quantised.sample("idx", v, quantised.Lookup([m]), line_key(), 0, "l_quantity")])
@@ -358,7 +358,7 @@ def _qm_label_sql(label: str) -> str:
 
 def _qm_label(spark, sf):
     orders = order_table(spark, sf)
-    fitted = scale.fit(orders, ["o_totalprice"], where=TRAIN)
+    fitted = scale.fit(orders, ["o_totalprice"], where=is_train())
     m = feature_mechanism(spark, 1.0, 6)
     noisy = privatise.perturb_qm(
         orders.withColumn("raw", F.col("o_totalprice")), ["o_totalprice"], fitted, quantised.Lookup([m]), row_key("o_orderkey"), 0
@@ -370,7 +370,7 @@ def _qm_label(spark, sf):
 def qm_label_index(spark, sf):
     noisy, _, _ = _qm_label(spark, sf)
     return noisy.select(
-        "o_orderkey", "split", F.when(TRAIN, F.col("o_totalprice").cast("double")).otherwise(F.col("raw")).alias("label")
+        "o_orderkey", "split", F.when(is_train(), F.col("o_totalprice").cast("double")).otherwise(F.col("raw")).alias("label")
     )
 
 
@@ -378,7 +378,7 @@ def qm_label_index(spark, sf):
 def qm_label_linear(spark, sf):
     noisy, m, s = _qm_label(spark, sf)
     mapped = F.round(privatise.qm_label_to_range(F.col("o_totalprice"), *m.index_range, s), 4)
-    return noisy.select("o_orderkey", "split", F.when(TRAIN, mapped).otherwise(F.col("raw")).alias("label"))
+    return noisy.select("o_orderkey", "split", F.when(is_train(), mapped).otherwise(F.col("raw")).alias("label"))
 
 
 @query(
@@ -388,7 +388,7 @@ def qm_label_linear(spark, sf):
     WHERE split = 'train' ORDER BY o_orderkey LIMIT 5""",
 )
 def label_peek(spark, sf):
-    orders = order_table(spark, sf).where(TRAIN)
+    orders = order_table(spark, sf).where(is_train())
     fitted = scale.fit(orders, ["o_totalprice"])
     noisy = privatise.perturb_pm(orders, ["o_totalprice"], fitted, piecewise.Piecewise(2.0, 3.0), row_key("o_orderkey"), 0)
     out = profile.before_after(orders, noisy, "o_orderkey", "o_totalprice")

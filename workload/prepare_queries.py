@@ -153,7 +153,8 @@ def line_table(spark, sf):
     return split.hash_split(wide_table(spark, sf, "lineitem"), line_key())
 
 
-TRAIN = F.col("split") == "train"
+def is_train():
+    return F.col("split") == "train"
 
 
 @query(
@@ -165,7 +166,7 @@ TRAIN = F.col("split") == "train"
 )
 def standardize(spark, sf):
     lines = line_table(spark, sf)
-    fitted = scale.fit(lines, LINE_COLS, ("mean", "std"), TRAIN)
+    fitted = scale.fit(lines, LINE_COLS, ("mean", "std"), is_train())
     out = scale.standardise(lines, fitted)
     return out.select(*LINE_IDS, "split", *[F.round(c, 6).alias(c) for c in LINE_COLS])
 
@@ -181,7 +182,7 @@ def _minmax_fit(cols=LINE_COLS, source="s"):
 )
 def minmax(spark, sf):
     lines = line_table(spark, sf)
-    out = scale.scale_min_max(lines, scale.fit(lines, LINE_COLS, where=TRAIN))
+    out = scale.scale_min_max(lines, scale.fit(lines, LINE_COLS, where=is_train()))
     return out.select(*LINE_IDS, "split", *[F.round(c, 9).alias(c) for c in LINE_COLS])
 
 
@@ -196,7 +197,7 @@ def minmax(spark, sf):
 def std_minmax(spark, sf):
     """The check SQL really runs both scalers; here they are one affine map."""
     lines = line_table(spark, sf)
-    out = scale.standardise_then_min_max(lines, scale.fit(lines, LINE_COLS, where=TRAIN))
+    out = scale.standardise_then_min_max(lines, scale.fit(lines, LINE_COLS, where=is_train()))
     return out.select(*LINE_IDS, "split", *[F.round(c, 6).alias(c) for c in LINE_COLS])
 
 
@@ -214,7 +215,7 @@ def scale_by_mechanism(spark, sf):
     orders = split.hash_split(table(spark, sf, "orders"), row_key("o_orderkey"))
     gaps = with_gaps(orders, row_key("o_orderkey"), ORDER_GAPS, "o_totalprice")
     base = gaps.select("o_orderkey", "split", *[F.col("price").alias(f"{m}_x") for m in ("raw", "pm", "qm")])
-    fitted = scale.fit(base, ["raw_x", "pm_x", "qm_x"], where=TRAIN)
+    fitted = scale.fit(base, ["raw_x", "pm_x", "qm_x"], where=is_train())
     for m in ("raw", "pm", "qm"):
         base = scale.scale_for_model(base, fitted, m, 7, [f"{m}_x"])
     return base.select("o_orderkey", "split", F.round("raw_x", 9).alias("raw_x"), F.round("pm_x", 9).alias("pm_x"), "qm_x")
@@ -229,7 +230,7 @@ def scale_by_mechanism(spark, sf):
 )
 def mean_impute(spark, sf):
     events = split.hash_split(gap_events(spark, sf), row_key("event_id"))
-    out = scale.impute_mean(events, scale.fit(events, list(GAPS), ("mean",), TRAIN))
+    out = scale.impute_mean(events, scale.fit(events, list(GAPS), ("mean",), is_train()))
     return out.select("event_id", "split", *[F.round(c, 6).alias(c) for c in GAPS])
 
 
@@ -240,7 +241,7 @@ def mean_impute(spark, sf):
 )
 def label_range(spark, sf):
     orders = split.hash_split(profile.log_label(table(spark, sf, "orders"), "o_totalprice"), row_key("o_orderkey"))
-    train = orders.where(TRAIN)
+    train = orders.where(is_train())
     return train.agg(F.round(F.min("o_totalprice"), 9).alias("label_min"), F.round(F.max("o_totalprice"), 9).alias("label_max"))
 
 
@@ -255,7 +256,7 @@ def _ordinal_sql(table_name: str, key: str, column: str) -> str:
 
 def _ordinal(spark, sf, name, key, column):
     df = split.hash_split(table(spark, sf, name).select(key, column), row_key(key))
-    cats = encode.categories(df, column, TRAIN)
+    cats = encode.categories(df, column, is_train())
     out = encode.ordinal_encode(df, column, cats, "code")
     return out.select(key, "split", column, F.col("code").cast("int").alias("code"))
 
@@ -278,7 +279,7 @@ def ordinal_encode_many(spark, sf):
 )
 def category_set(spark, sf):
     events = split.hash_split(table(spark, sf, "events").select("event_id", "event_type"), row_key("event_id"))
-    cats = encode.categories(events, "event_type", TRAIN)
+    cats = encode.categories(events, "event_type", is_train())
     return cats.table.select(F.col("value").alias("event_type"), "code", F.lit(cats.size).cast("bigint").alias("k"))
 
 
@@ -289,7 +290,7 @@ def category_set(spark, sf):
 )
 def unknown_categories(spark, sf):
     customers = split.hash_split(table(spark, sf, "customer"), row_key("c_custkey"))
-    return encode.unknown_values(customers, "c_name", encode.categories(customers, "c_name", TRAIN))
+    return encode.unknown_values(customers, "c_name", encode.categories(customers, "c_name", is_train()))
 
 
 @query(

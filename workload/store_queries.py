@@ -1 +1,84 @@
-"""Placeholder."""
+"""Sources and sinks: what is written under the shared folder comes back unchanged."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ldpspark.operators import evaluate
+from ldpspark.plans.config import Dataset, pm_grid
+from ldpspark.plans.privatise import fit_dataset, label_metadata, prepare, privatise
+from ldpspark.session import scratch_path
+from ldpspark.sources import tables
+
+from . import sqltext as q
+from .model_queries import SCORE_ROWS, score_rows
+from .noise_queries import price_rows
+from .registry import query, table, wide_table
+
+STORE_SET = Dataset("orders", ("o_orderkey",), "o_custkey", ("o_totalprice",))
+STORE_RUNS = pm_grid(eps=(1.0, 3.0), t=(3.0,), modes=("index",), seeds=(0, 1))
+
+
+def stored_runs(spark, sf) -> tuple[str, object]:
+    prepared = prepare(wide_table(spark, sf, "orders"), STORE_SET)
+    fitted = fit_dataset(prepared, STORE_SET)
+    root = scratch_path(spark, "runs")
+    tables.save_runs(privatise(prepared, fitted, STORE_RUNS), root)
+    return root, fitted
+
+
+@query(
+    "run_store",
+    f"""WITH {price_rows("split = 'train'", seed=1)} SELECT o_orderkey, round({q.pm('v', 'u0', 'u1', 3.0, 3.0)}, 6) AS o_totalprice FROM n""",
+)
+def run_store(spark, sf):
+    """All runs written once, one run read back by its key."""
+    root, _ = stored_runs(spark, sf)
+    one = tables.load_runs(spark, root, dataset="orders", mechanism="pm", mode="index", eps=3.0, seed=1, split="train")
+    return one.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+_A = {e: q.pm_constants(e, 3.0)["a"] for e in (1.0, 3.0)}
+
+
+@query(
+    "metadata_store",
+    f"""WITH s AS (SELECT CAST(o_custkey AS DOUBLE) AS y, {q.split(q.text('o_orderkey'))} AS split FROM orders),
+      f AS (SELECT min(CASE WHEN split = 'train' THEN y END) AS label_min, max(CASE WHEN split = 'train' THEN y END) AS label_max, count(*) AS n FROM s)
+    SELECT eps, seed, n AS n_rows, CASE WHEN seed = 0 THEN label_min END AS label_min, CASE WHEN seed = 0 THEN label_max END AS label_max,
+      CASE WHEN seed = 0 THEN round(-a, 9) END AS index_min, CASE WHEN seed = 0 THEN round(a, 9) END AS index_max
+    FROM f, (VALUES (1.0e0, {q.d(_A[1.0])}), (3.0e0, {q.d(_A[3.0])})) e(eps, a), (VALUES (0), (1)) sd(seed)""",
+)
+def metadata_store(spark, sf):
+    """Runs of seed 1 have no stored metadata: their bounds stay NULL."""
+    root, fitted = stored_runs(spark, sf)
+    path = scratch_path(spark, "metadata")
+    tables.save_label_metadata(spark, label_metadata(fitted, [r for r in STORE_RUNS if r.seed == 0]), path)
+    rows = tables.attach_label_metadata(tables.load_runs(spark, root), spark.read.parquet(path))
+    return rows.groupBy("eps", "seed").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("label_min").alias("label_min"),
+        F.max("label_max").alias("label_max"),
+        F.round(F.min("index_min"), 9).alias("index_min"),
+        F.round(F.max("index_max"), 9).alias("index_max"),
+    )
+
+
+@query("csv_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_roundtrip(spark, sf):
+    """Header and inferred types on read; a missing label column would be an error."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    path = scratch_path(spark, "csv")
+    tables.save_csv(table(spark, sf, "orders").select(*columns), path)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    return tables.read_csv(spark, path, "o_totalprice", schema)
+
+
+@query("score_store", f"""WITH s AS ({SCORE_ROWS}) SELECT variant, round_even(avg(rmse), 3) AS "RMSE", round_even(avg(mae), 3) AS "MAE", 64 AS batch_size FROM s GROUP BY variant""")
+def score_store(spark, sf):
+    """Scores appended, averaged from the store, and the mean table appended to the summary."""
+    scores, summary = scratch_path(spark, "scores"), scratch_path(spark, "summary")
+    tables.save_scores(score_rows(spark, sf).withColumn("dataset", F.lit("orders")), scores)
+    means = evaluate.seed_means(spark.read.parquet(scores).where(F.col("dataset") == "orders"))
+    tables.append_summary(evaluate.wide_report(means, ["RMSE", "MAE"]), {"batch_size": 64}, summary)
+    return spark.read.parquet(summary)
