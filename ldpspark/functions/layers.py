@@ -30,26 +30,30 @@ class Layered:
 def project(df: DataFrame, stacks: Sequence[Layered]) -> DataFrame:
     """Apply the stacks; an output that names an existing column replaces it in place."""
     base = df.columns
-    temps: list[str] = []
     depth = max((len(s.layers) for s in stacks), default=0)
 
     def resolver(prefix: str) -> Callable[[str], Column]:
-        return lambda name: F.col(f"`{prefix}{name}`")
+        seen: dict[str, Column] = {}
 
+        def resolve(name: str) -> Column:
+            if name not in seen:
+                seen[name] = F.col(f"`{prefix}{name}`")
+            return seen[name]
+
+        return resolve
+
+    resolvers = [resolver(f"__{n}_") for n in range(len(stacks))]
     current = df
     for level in range(depth):
-        added: list[Column] = []
-        names: list[str] = []
-        for n, stack in enumerate(stacks):
-            if level < len(stack.layers):
-                prefix = f"__{n}_"
-                for name, expr in stack.layers[level](resolver(prefix)).items():
-                    added.append(expr.alias(f"{prefix}{name}"))
-                    names.append(f"{prefix}{name}")
-        current = current.select(*[F.col(f"`{c}`") for c in base + temps], *added)
-        temps += names
-
-    finals = {s.output: s.final(resolver(f"__{n}_")).alias(s.output) for n, s in enumerate(stacks)}
-    kept = [finals.get(c, F.col(f"`{c}`")) for c in base]
+        added = [
+            expr.alias(f"__{n}_{name}")
+            for n, stack in enumerate(stacks)
+            if level < len(stack.layers)
+            for name, expr in stack.layers[level](resolvers[n]).items()
+        ]
+        current = current.select("*", *added)
+
+    finals = {s.output: s.final(resolvers[n]).alias(s.output) for n, s in enumerate(stacks)}
+    kept = [finals.get(c, f"`{c}`") for c in base]
     new = [expr for name, expr in finals.items() if name not in base]
     return current.select(*kept, *new)

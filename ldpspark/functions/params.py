@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 # to less code; a longer list is parsed from one string, which the optimizer handles faster.
 SPELLED_OUT = 128
 
+# Stands for infinity in comparisons: a literal needs no function call.
+FAR = 1.7976931348623157e308
+
 
 def _number(x: float) -> str:
     if math.isnan(x):
         return "NaN"
     if math.isinf(x):
-        return "Infinity" if x > 0 else "-Infinity"
+        return repr(math.copysign(FAR, x))
     return repr(float(x))
 
 
 def double_array(values: Sequence[float]) -> Column:
     """Constant ``array<double>``; folded by the optimizer into a single literal."""
     texts = [_number(float(v)) for v in values]
-    if len(texts) <= SPELLED_OUT:
-        return F.expr("array(" + ",".join(f"double('{t}')" for t in texts) + ")")
+    if len(texts) <= SPELLED_OUT and "NaN" not in texts:
+        return F.expr("array(" + ",".join(f"{t}D" for t in texts) + ")")
     return F.split(F.lit(",".join(texts)), ",").cast("array<double>")
 
 

@@ -19,6 +19,8 @@ def local_session(cores: str = "*", name: str = "ldpspark", **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # recording the Python line of every expression costs more than planning the query
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

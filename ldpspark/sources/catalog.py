@@ -81,10 +81,19 @@ def collect_mechanisms(cells: DataFrame) -> dict[tuple[str, float, int], Quantis
     return out
 
 
+# A design is a pure function of its key, so a session needs it once. Few keys: one run grid names some dozens.
+_DESIGNED: dict[tuple[str, float, int], Quantised] = {}
+
+
 def design_mechanisms(spark: SparkSession, keys: Sequence[tuple[str, float, int]], path: str | None = None):
     """``{key: Quantised}`` for (obj, eps, n_outputs) keys, from the catalog at ``path`` if given."""
-    wanted = spark.createDataFrame([lookup_key(*k) for k in dict.fromkeys(keys)], "obj string, eps double, n_outputs int")
+    wanted = [lookup_key(*k) for k in dict.fromkeys(keys)]
+    schema = "obj string, eps double, n_outputs int"
     if path is not None:
-        return collect_mechanisms(get_or_create(wanted, path))
-    cells = mech.design(wanted.select("eps", "n_outputs").distinct())
-    return collect_mechanisms(cells.join(wanted, list(KEY), "left_semi"))
+        return collect_mechanisms(get_or_create(spark.createDataFrame(wanted, schema), path))
+    absent = [k for k in wanted if k not in _DESIGNED]
+    if absent:
+        frame = spark.createDataFrame([k[1:] for k in absent], "eps double, n_outputs int").distinct()
+        objectives = sorted({k[0] for k in absent})
+        _DESIGNED.update(collect_mechanisms(mech.design(frame, objectives)))
+    return {k: _DESIGNED[k] for k in wanted}

@@ -21,13 +21,14 @@ def _label_checked(df: DataFrame, label: str | None) -> DataFrame:
     return nan_to_null(df)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for an input that is smaller than one split per core.
 
-    Hashing is CPU work. A large input already has more splits than cores and is left alone.
+    Hashing is CPU work. A large input already has more splits than cores and is left alone. With ``keys``
+    (together unique or nearly so) rows are placed by hash, which needs no sort.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_csv(spark: SparkSession, path: str, label: str | None = None, schema: T.StructType | str | None = None):

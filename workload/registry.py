@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ldpspark.session import configure
 from ldpspark.sources.tables import spread
 
+SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",), "events": ("event_id",)}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -34,4 +36,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table that feeds per-row hashing: small inputs are spread over the cores."""
-    return spread(table(spark, sf_dir, name))
+    return spread(table(spark, sf_dir, name), *SPREAD_KEYS[name])
