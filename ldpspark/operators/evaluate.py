@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import prefix_sums
@@ -36,32 +36,39 @@ def score_counts(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()
     )
 
 
-def auc_from_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve with ties counted half; NULL when a class is absent."""
-    ranked = prefix_sums(counts, keys, [F.col("score").asc()], {"pos": "p", "neg": "n"})
+def ranked_counts(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores with the positives and negatives below each and in total."""
+    counts = score_counts(df, truth, score, keys)
+    return prefix_sums(counts, keys, [F.col("score").asc()], {"pos": "p", "neg": "n"})
+
+
+def _auc() -> Column:
+    """Aggregate over ranked counts: pairs won plus half the ties; NULL when a class is absent."""
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     wins = pos * (F.col("n_before").cast("double") + neg / 2.0)
     pairs = F.first("p_all").cast("double") * F.first("n_all").cast("double")
-    return ranked.groupBy(*keys).agg((F.sum(wins) / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    return F.sum(wins) / F.nullif(pairs, F.lit(0.0))
+
+
+def _rates() -> tuple[Column, Column]:
+    """False and true positive rate when the row's score is the threshold."""
+    fpr = (F.col("n_all") - F.col("n_before")) / F.nullif(F.col("n_all"), F.lit(0))
+    tpr = (F.col("p_all") - F.col("p_before")) / F.nullif(F.col("p_all"), F.lit(0))
+    return fpr, tpr
 
 
 def auc(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    return auc_from_counts(score_counts(df, truth, score, keys), keys)
+    """Area under the ROC curve with ties counted half; NULL when a class is absent."""
+    return ranked_counts(df, truth, score, keys).groupBy(*keys).agg(_auc().alias("auc"))
 
 
-def roc_from_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, threshold, fpr, tpr): one point per distinct score, highest first, after the point (0, 0)
-    with an infinite threshold. A rate is NULL when its class is absent."""
-    ranked = prefix_sums(counts, keys, [F.col("score").desc()], {"pos": "p", "neg": "n"})
-    points = ranked.select(
-        *keys,
-        F.col("score").alias("threshold"),
-        ((F.col("n_before") + F.col("neg")) / F.nullif(F.col("n_all"), F.lit(0))).alias("fpr"),
-        ((F.col("p_before") + F.col("pos")) / F.nullif(F.col("p_all"), F.lit(0))).alias("tpr"),
-    )
-    start = ranked.select(*keys, "n_all", "p_all").groupBy(*keys).agg(
-        F.first("n_all").alias("n_all"), F.first("p_all").alias("p_all")
-    )
+def roc_points(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, threshold, fpr, tpr): one point per distinct score, and the point (0, 0) with an infinite
+    threshold. A rate is NULL when its class is absent."""
+    ranked = ranked_counts(df, truth, score, keys)
+    fpr, tpr = _rates()
+    points = ranked.select(*keys, F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+    start = ranked.groupBy(*keys).agg(F.first("n_all").alias("n_all"), F.first("p_all").alias("p_all"))
     first = start.select(
         *keys,
         F.lit(float("inf")).alias("threshold"),
@@ -71,29 +78,39 @@ def roc_from_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return points.unionByName(first)
 
 
-def roc_points(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    return roc_from_counts(score_counts(df, truth, score, keys), keys)
-
-
-def youden(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Threshold with the largest tpr - fpr; the highest one on ties; 0.5 when there is no curve."""
-    points = roc_points(df, truth, score, keys)
-    best = points.groupBy(*keys).agg(F.max(F.struct((F.col("tpr") - F.col("fpr")).alias("j"), "threshold")).alias("b"))
-    found = F.when(F.col("b.j").isNotNull(), F.col("b.threshold"))
-    return best.select(*keys, F.coalesce(found, F.lit(DEFAULT_THRESHOLD)).alias("threshold"), F.col("b.j").alias("youden_j"))
+def binary_report(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ("exp",)) -> DataFrame:
+    """(keys, threshold, youden_j, accuracy, auc) per model, from one ranking.
 
+    The threshold has the largest tpr - fpr, the highest one on ties; it is infinite when no score does better
+    than calling everything negative, and 0.5 when one class is absent.
+    """
+    ranked = ranked_counts(df, truth, score, keys)
+    fpr, tpr = _rates()
+    total = F.col("p_all") + F.col("n_all")
+    right = (F.col("p_all") - F.col("p_before") + F.col("n_before")) / total
+    at_default = F.sum(F.when(F.col("score") >= DEFAULT_THRESHOLD, F.col("pos")).otherwise(F.col("neg")))
+    best = F.max(F.struct((tpr - fpr).alias("j"), F.col("score").alias("threshold"), right.alias("right")))
+    report = ranked.groupBy(*keys).agg(
+        best.alias("b"),
+        _auc().alias("auc"),
+        F.first("p_all").alias("p_all"),
+        F.first("n_all").alias("n_all"),
+        (at_default / F.sum(F.col("pos") + F.col("neg"))).alias("default_right"),
+    )
+    curve = F.col("b.j").isNotNull()
+    none = curve & (F.col("b.j") <= 0)
+    return report.select(
+        *keys,
+        F.when(none, F.lit(float("inf"))).when(curve, F.col("b.threshold")).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
+        F.when(none, F.lit(0.0)).otherwise(F.col("b.j")).alias("youden_j"),
+        F.when(none, F.col("n_all") / total).when(curve, F.col("b.right")).otherwise(F.col("default_right")).alias("accuracy"),
+        "auc",
+    )
 
-def binary_report(df: DataFrame, truth: str, score: str, key: str = "exp") -> DataFrame:
-    """Accuracy at the Youden threshold, and AUC, per model.
 
-    The thresholds (one row per model) join back by the model number.
-    """
-    cut = youden(df, truth, score, [key])
-    counts = score_counts(df, truth, score, [key])
-    at = counts.join(F.broadcast(cut), key)
-    hits = F.when(F.col("score") >= F.col("threshold"), F.col("pos")).otherwise(F.col("neg"))
-    acc = at.groupBy(key).agg((F.sum(hits) / F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"))
-    return acc.join(auc_from_counts(counts, [key]), key, "left")
+def youden(df: DataFrame, truth: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Threshold with the largest tpr - fpr (see ``binary_report``)."""
+    return binary_report(df, truth, score, keys).select(*keys, "threshold", "youden_j")
 
 
 def unpivot_classes(df: DataFrame, truth: str, k: int, prefix: str = "prob", keys: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("eps", "n_outputs")
+EPS_STEPS = 10_000
 SUM_TOLERANCE = 1e-6
 CELL_TOLERANCE = 1e-9
 KNOT_GAP = 1e-7
@@ -20,6 +21,33 @@ SMOOTHING = 0.1
 OBJECTIVES = ("avg", "worst")
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """Replace eps by the integer ``eps_e4``.
+
+    Grouping by a floating point column goes through a normalisation that hides an existing partitioning, so
+    every aggregate and window would shuffle again. Epsilons have 4 decimals, so the integer is exact.
+    """
+    return df.withColumn("eps_e4", F.round(F.col("eps") * EPS_STEPS).cast("bigint")).drop("eps")
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    """Inverse of ``keyed``; eps takes the place of ``eps_e4``."""
+    return df.select(*[epsilon().alias("eps") if c == "eps_e4" else F.col(c) for c in df.columns])
+
+
+def epsilon() -> Column:
+    return F.col("eps_e4") / F.lit(float(EPS_STEPS))
+
+
+def _inner(keys: Sequence[str]) -> list[str]:
+    return ["eps_e4" if k == "eps" else k for k in keys]
+
+
+def _placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One shuffle by the mechanism key, which serves all later aggregates and windows."""
+    return keyed(df).repartition(*_inner(keys))
+
+
 def check_sizes(budgets: DataFrame) -> DataFrame:
     """Fail on N <= 1."""
     n = F.col("n_outputs")
@@ -30,9 +58,11 @@ def check_sizes(budgets: DataFrame) -> DataFrame:
 def distinct_budgets(budgets: DataFrame) -> DataFrame:
     """Mechanism keys to design: epsilon to 4 decimals, as the catalog stores it."""
     return (
-        budgets.where(F.col("eps").isNotNull() & F.col("n_outputs").isNotNull())
-        .select(F.round("eps", 4).alias("eps"), F.col("n_outputs").cast("int").alias("n_outputs"))
-        .distinct()
+        unkeyed(
+            keyed(budgets.where(F.col("eps").isNotNull() & F.col("n_outputs").isNotNull()))
+            .select("eps_e4", F.col("n_outputs").cast("int").alias("n_outputs"))
+            .distinct()
+        )
     )
 
 
@@ -66,9 +96,10 @@ def start_table(budgets: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """
     e, a_max, n = F.col("e"), F.col("a_max"), F.col("n")
     base = (
-        budgets.withColumn("n", half())
-        .withColumn("e", F.exp("eps"))
-        .withColumn("t", F.exp(F.col("eps") / 3.0))
+        _placed(budgets, budgets.columns)
+        .withColumn("n", half())
+        .withColumn("e", F.exp(epsilon()))
+        .withColumn("t", F.exp(epsilon() / 3.0))
         .withColumn("a1_start", (e + 1.0) / ((e - 1.0) * n))
         .withColumn("a_max", n * F.col("a1_start"))
         .withColumn("p_core", e / (e + F.col("t")))
@@ -98,7 +129,7 @@ def start_table(budgets: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
         + overlap(F.col("l"), F.col("r")) * F.col("d_core")
         + overlap(F.col("r"), a_max) * F.col("d_tail")
     )
-    keys = [c for c in budgets.columns]
+    keys = _inner(budgets.columns)
     per_knot = Window.partitionBy(*keys, "j")
     per_mechanism = Window.partitionBy(*keys)
     weighed = cells.withColumn("raw", raw).withColumn("total", F.sum("raw").over(per_knot))
@@ -110,26 +141,27 @@ def start_table(budgets: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     )
     mixed = scaled.withColumn("mix", F.lit(1.0 - smoothing) * F.col("p0") + F.lit(smoothing) / F.col("n_outputs"))
     total = F.sum("mix").over(per_knot)
-    return mixed.select(
-        *keys,
-        "i",
-        (i * F.col("a1")).alias("a"),
-        "j",
-        F.when(total > 1e-9, F.col("mix") / total).otherwise(F.col("mix")).alias("p"),
+    return unkeyed(
+        mixed.select(
+            *keys,
+            "i",
+            (i * F.col("a1")).alias("a"),
+            "j",
+            F.when(total > 1e-9, F.col("mix") / total).otherwise(F.col("mix")).alias("p"),
+        )
     )
 
 
-def window_cells(candidates: DataFrame, width: str = "width") -> DataFrame:
-    """Cells of sliding-window mechanisms, index form (without a).
+def _window_cells(candidates: DataFrame, width: str = "width") -> DataFrame:
+    """Cells of sliding-window mechanisms, index form (without a), for keyed candidates.
 
     A knot is a run of ``width`` neighbouring outputs with probability E q, the others q. Knots slide the
     run from the centre to the right end; when it cannot be centred, the first knot averages the two
     nearly centred runs.
     """
     c, free = F.col(width), F.col("n_outputs") - F.col(width)
-    e = F.exp("eps")
     knots = (
-        candidates.withColumn("__e", e)
+        candidates.withColumn("__e", F.exp(epsilon()))
         .withColumn("__q", F.lit(1.0) / (c * F.col("__e") + free))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((free + 1) / 2).cast("int"))))
         .withColumn("__lo", F.floor(free / 2).cast("int") + F.col("j"))
@@ -144,14 +176,18 @@ def window_cells(candidates: DataFrame, width: str = "width") -> DataFrame:
     return output_positions(knots).withColumn("p", p).select(*candidates.columns, "i", "j", "p")
 
 
-def knot_moments(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean x and second moment e2 of the output at each knot."""
+def _knot_moments(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys, "j").agg(
         F.sum(F.col("a") * F.col("p")).alias("x"),
         F.sum(F.col("a") * F.col("a") * F.col("p")).alias("e2"),
     )
 
 
+def knot_moments(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean x and second moment e2 of the output at each knot."""
+    return unkeyed(_knot_moments(keyed(cells), _inner(keys)))
+
+
 def _steps(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("j")
     return moments.select(
@@ -179,9 +215,10 @@ def _worst_term() -> Column:
 
 def variances(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Average-case and worst-case noise variance of each mechanism over |input| in [x_0, x_n]."""
-    return (
-        _steps(knot_moments(cells, keys), keys)
-        .groupBy(*keys)
+    inner = _inner(keys)
+    return unkeyed(
+        _steps(_knot_moments(_placed(cells, keys), inner), inner)
+        .groupBy(*inner)
         .agg(F.sum(_average_term()).alias("avg_var"), F.max(_worst_term()).alias("worst_var"))
     )
 
@@ -194,12 +231,12 @@ def worst_variance(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return variances(cells, keys).drop("avg_var")
 
 
-def candidates(budgets: DataFrame) -> DataFrame:
-    """Every window width per budget, with a1 and both variances."""
-    wide = check_sizes(budgets).withColumn("width", F.explode(F.sequence(F.lit(1), F.col("n_outputs") - 1)))
-    keys = [*KEYS, "width"]
+def _candidates(budgets: DataFrame) -> DataFrame:
+    """Every window width per keyed budget, with a1 and both variances."""
+    keys = [*_inner(KEYS), "width"]
+    wide = budgets.withColumn("width", F.explode(F.sequence(F.lit(1), F.col("n_outputs") - 1)))
     by_index = (
-        window_cells(wide)
+        _window_cells(wide)
         .groupBy(*keys, "j")
         .agg(F.sum(F.col("i") * F.col("p")).alias("x"), F.sum(F.col("i") * F.col("i") * F.col("p")).alias("e2"))
     )
@@ -218,46 +255,55 @@ def candidates(budgets: DataFrame) -> DataFrame:
     )
 
 
-def sweep(budgets: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
-    """Best width per budget and objective: (obj, eps, n_outputs, width, a1, avg_var, worst_var)."""
-    scored = candidates(budgets)
+def candidates(budgets: DataFrame) -> DataFrame:
+    """All candidate mechanisms: (eps, n_outputs, width, a1, avg_var, worst_var)."""
+    return unkeyed(_candidates(_placed(check_sizes(budgets), KEYS)))
+
+
+def _sweep(budgets: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    keys = _inner(KEYS)
+    scored = _candidates(budgets)
     picks = [
         F.struct(
-            F.lit(o).alias("obj"), F.min(F.struct(F.col(f"{o}_var").alias("v"), "width", "a1", "avg_var", "worst_var")).alias("b")
+            F.lit(o).alias("obj"),
+            F.min(F.struct(F.col(f"{o}_var").alias("v"), "width", "a1", "avg_var", "worst_var")).alias("b"),
         )
         for o in objectives
     ]
-    best = scored.groupBy(*KEYS).agg(F.array(*picks).alias("picks")).select(*KEYS, F.explode("picks").alias("pick"))
+    best = scored.groupBy(*keys).agg(F.array(*picks).alias("picks")).select(*keys, F.explode("picks").alias("pick"))
     return best.select(
         F.col("pick.obj").alias("obj"),
-        *KEYS,
-        F.col("pick.b.width").alias("width"),
-        F.col("pick.b.a1").alias("a1"),
-        F.col("pick.b.avg_var").alias("avg_var"),
-        F.col("pick.b.worst_var").alias("worst_var"),
+        *keys,
+        *[F.col(f"pick.b.{c}").alias(c) for c in ("width", "a1", "avg_var", "worst_var")],
     )
 
 
+def sweep(budgets: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
+    """Best width per budget and objective: (obj, eps, n_outputs, width, a1, avg_var, worst_var)."""
+    return unkeyed(_sweep(_placed(check_sizes(budgets), KEYS), objectives))
+
+
 def design(budgets: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
     """Catalog cells of the best mechanism per objective: (obj, eps, n_outputs, width, a1, i, a, j, p)."""
-    chosen = sweep(budgets, objectives).select("obj", *KEYS, "width", "a1")
-    return window_cells(chosen).withColumn("a", F.col("i") * F.col("a1"))
+    chosen = _sweep(_placed(check_sizes(budgets), KEYS), objectives)
+    chosen = chosen.select("obj", *_inner(KEYS), "width", "a1")
+    return unkeyed(_window_cells(chosen)).withColumn("a", F.col("i") * F.col("a1"))
 
 
 def sum_violations(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Knots whose probabilities do not sum to 1."""
-    sums = cells.groupBy(*keys, "j").agg(F.sum("p").alias("p_sum"))
-    return sums.where(F.abs(F.col("p_sum") - 1.0) > SUM_TOLERANCE)
+    sums = keyed(cells).groupBy(*_inner(keys), "j").agg(F.sum("p").alias("p_sum"))
+    return unkeyed(sums.where(F.abs(F.col("p_sum") - 1.0) > SUM_TOLERANCE))
 
 
 def ratio_violations(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cells above E times the smallest probability of their output."""
-    lowest = F.min("p").over(Window.partitionBy(*keys, "i"))
-    bound = F.exp("eps") * F.col("p_star")
-    listed = cells.withColumn("p_star", lowest).withColumn("upper_bound", bound)
-    return listed.where(F.col("p") > F.col("upper_bound") + CELL_TOLERANCE).select(
-        *keys, "i", "j", "p", "p_star", "upper_bound"
-    )
+    inner = _inner(keys)
+    lowest = F.min("p").over(Window.partitionBy(*inner, "i"))
+    bound = F.exp(epsilon()) * F.col("p_star")
+    listed = keyed(cells).withColumn("p_star", lowest).withColumn("upper_bound", bound)
+    above = listed.where(F.col("p") > F.col("upper_bound") + CELL_TOLERANCE)
+    return unkeyed(above.select(*inner, "i", "j", "p", "p_star", "upper_bound"))
 
 
 def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None = None) -> DataFrame:
@@ -267,7 +313,8 @@ def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None =
     [p(-i, n), E p(-i, n)] over all inputs, negative ones by reflection p(i, -j) = p(-i, j); outputs whose
     probability at knot 0 is not symmetric; knot gaps that are too small. Checks: last knot at 1, a1 > 0.
     """
-    keys = list(keys)
+    # all windows below refine the mechanism key
+    cells, keys = _placed(cells, keys), _inner(keys)
     per_output = Window.partitionBy(*keys, "i")
     per_knot = Window.partitionBy(*keys, "j")
     seen = cells.select(
@@ -298,7 +345,7 @@ def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None =
         Window.partitionBy(*keys, "m")
     )
     pair = Window.partitionBy(*keys, "m", "j")
-    e = F.exp("eps")
+    e = F.exp(epsilon())
     flagged = both.select(
         *keys,
         "a",
@@ -346,12 +393,12 @@ def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None =
         + F.col("gap_violations")
     ) == 0
     ends = (F.abs(F.col("x_last") - 1.0) <= SUM_TOLERANCE) & (F.col("a1") > 0)
-    return report.withColumn("feasible", clean & ends)
+    return unkeyed(report.withColumn("feasible", clean & ends))
 
 
 def clean_knots(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Renumber the knots of a mechanism by position when its positions are not increasing."""
-    keys = list(keys)
+    cells, keys = _placed(cells, keys), _inner(keys)
     x = cells.groupBy(*keys, "j").agg(F.sum(F.col("a") * F.col("p")).alias("__x"))
     step = F.col("__x") - F.lag("__x").over(Window.partitionBy(*keys).orderBy("j"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__x", "j")) - 1
@@ -360,12 +407,13 @@ def clean_knots(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *keys, "j", F.when(falls, rank).otherwise(F.col("j")).alias("__new")
     )
     joined = cells.join(renamed, [*keys, "j"])
-    return joined.select(*[F.col("__new").cast("int").alias("j") if c == "j" else F.col(c) for c in cells.columns])
+    renumbered = joined.select(*[F.col("__new").cast("int").alias("j") if c == "j" else F.col(c) for c in cells.columns])
+    return unkeyed(renumbered)
 
 
 def report(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Outputs with p > 1e-4 at the first, middle and last knot, with the knot's mean."""
-    keys = list(keys)
+    cells, keys = _placed(cells, keys), _inner(keys)
     shown = cells.select(
         *keys,
         "i",
@@ -376,4 +424,4 @@ def report(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.sum(F.col("a") * F.col("p")).over(Window.partitionBy(*keys, "j")).alias("x"),
     )
     wanted = F.col("j").isin(0) | (F.col("j") == F.col("__last")) | (F.col("j") == F.floor(F.col("__last") / 2))
-    return shown.where(wanted & (F.col("p") > 1e-4)).drop("__last")
+    return unkeyed(shown.where(wanted & (F.col("p") > 1e-4)).drop("__last"))

@@ -145,21 +145,29 @@ def fitted_columns(
     return stacked.withColumns(exprs), label_mean
 
 
-def encode_classes(stacked: DataFrame, raws: Sequence[int]):
+# A softmax model has (features + 1) parameters per class; beyond this many classes something is wrong.
+MAX_CLASSES = 10_000
+
+
+def encode_classes(stacked: DataFrame, experiments: Sequence[Experiment]) -> DataFrame:
     """Per model: class code of the train labels (sorted distinct), and the raw code as truth, -1 if unseen.
 
-    The code table has one row per model and class, and one class set of the raw data.
+    The codes (models x classes) pass through the driver, so the joins are broadcasts of a known size.
     """
-    from pyspark.sql import Window
-
     seen = stacked.where(~F.col("is_test") & F.col("y").isNotNull()).select("exp", "y").distinct()
-    codes = seen.select(
-        "exp", "y", (F.row_number().over(Window.partitionBy("exp").orderBy("y")) - 1).alias("code")
-    )
-    truth = codes.where(F.col("exp") == raws[0]).select(F.col("y").alias("__ty"), F.col("code").alias("__truth"))
-    own = codes.select(F.col("exp").alias("__e"), F.col("y").alias("__y"), "code")
-    coded = stacked.join(own, (F.col("exp") == F.col("__e")) & (F.col("y") == F.col("__y")), "left").drop("__e", "__y")
-    coded = coded.join(truth, F.col("y") == F.col("__ty"), "left").drop("__ty")
+    classes: dict[int, list] = {}
+    for r in seen.limit(MAX_CLASSES * len(experiments) + 1).collect():
+        classes.setdefault(r["exp"], []).append(r["y"])
+    if max((len(v) for v in classes.values()), default=0) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: this label is not categorical")
+    spark, kind = stacked.sparkSession, stacked.schema["y"].dataType.simpleString()
+    own = [(e, y, n) for e, ys in classes.items() for n, y in enumerate(sorted(ys))]
+    raw = next(e.exp for e in experiments if e.run is None)
+    truth = [(y, n) for e, y, n in own if e == raw]
+    codes = F.broadcast(spark.createDataFrame(own, f"__e int, __y {kind}, code int"))
+    truths = F.broadcast(spark.createDataFrame(truth, f"__ty {kind}, __truth int"))
+    coded = stacked.join(codes, (F.col("exp") == F.col("__e")) & (F.col("y") == F.col("__y")), "left").drop("__e", "__y")
+    coded = coded.join(truths, F.col("y") == F.col("__ty"), "left").drop("__ty")
     return coded.withColumns(
         {
             "code": F.coalesce(F.col("code"), F.lit(-1)),
@@ -225,7 +233,7 @@ def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitt
     )
     if cfg.model == "logistic":
         scored = sc.predict_logistic(test, features, betas)
-        return ev.stack_metrics(ev.binary_report(scored, "truth", "prob"), ["exp"], METRICS["logistic"])
+        return ev.stack_metrics(ev.binary_report(scored, "truth", "prob", ["exp"]), ["exp"], METRICS["logistic"])
     scored = sc.predict_linear(test, features, betas)
     metadata = {(m["mechanism"], m["eps"], m["t"], m["n_outputs"], m["obj"], m["label_eps"], m["label_n"], m["seed"]): m
                 for m in label_metadata(fitted, [e.run for e in experiments if e.run is not None])}
@@ -246,7 +254,7 @@ def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitt
 
 def _softmax(ready, features, experiments, cfg: CompareConfig, key: Column) -> DataFrame:
     raws = [e.exp for e in experiments if e.run is None]
-    coded = encode_classes(ready, raws)
+    coded = encode_classes(ready, experiments)
     betas = train(coded.where(~F.col("is_test")), features, "code", cfg.train, key)
     k = next(iter(betas.values())).shape[1]
     scored = sc.predict_softmax(coded.where(F.col("is_test")), features, betas)

@@ -554,7 +554,7 @@ def youden(spark, sf):
 )
 def binary_report(spark, sf):
     """Accuracy at the best threshold, with the AUC."""
-    out = evaluate.binary_report(auc_rows(spark, sf, "l_quantity", 50.0), "y", "score", "l_linestatus")
+    out = evaluate.binary_report(auc_rows(spark, sf, "l_quantity", 50.0), "y", "score", ["l_linestatus"])
     return out.select("l_linestatus", F.round("accuracy", 9).alias("accuracy"), F.round("auc", 9).alias("auc"))
 
 
