@@ -339,7 +339,8 @@ def softmax_gradients(df: DataFrame, features: Sequence[str], label: str, betas:
     return _collect_vectors(numpy_partials(df, ["exp"], [*features, label], kernel), width + 1)
 
 
-# A class that a model never saw keeps this bias: its probability is zero in double precision.
+# A class that a model never saw keeps this bias: its score is clipped to the lowest value, which adds nothing
+# to a sum of probabilities in double precision.
 ABSENT_BIAS = -1e9
 
 

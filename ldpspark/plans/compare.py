@@ -20,7 +20,7 @@ from ..operators.lookup import missing_ids
 from ..operators.profile import nan_to_null, numeric_columns, quoted, usable_features
 from ..operators.scale import model_range
 from ..operators.split import is_test
-from ..operators.train import TrainConfig, train
+from ..operators.train import ABSENT_BIAS, TrainConfig, train
 from .config import Dataset, Run
 from .privatise import Fitted, dataset_key, fit_dataset, label_metadata, prepare, privatise
 
@@ -260,9 +260,11 @@ def _softmax(ready, features, experiments, cfg: CompareConfig, key: Column) -> D
     scored = sc.predict_softmax(coded.where(F.col("is_test")), features, betas)
     # rows of an unseen class leave the raw variant only
     kept = scored.where(~((F.col("exp") <= raws[-1]) & (F.col("truth") == -1)))
-    report = ev.accuracy(kept, "truth", "pred", ["exp"]).join(
-        ev.macro_auc(kept, "truth", k, keys=["exp"], drop_unknown=False), "exp", "left"
-    )
+    # a model is judged on the classes it has seen; codes of the others come last
+    sizes = [[int((betas[e.exp][0] != ABSENT_BIAS).sum())] for e in experiments]
+    long = ev.unpivot_classes(kept, "truth", k, keys=["exp"]).where(F.col("class") < Table(sizes, F.col("exp")).at(0))
+    macro = ev.auc(long, "hit", "score", ["exp", "class"]).groupBy("exp").agg(F.avg("auc").alias("auc_macro"))
+    report = ev.accuracy(kept, "truth", "pred", ["exp"]).join(macro, "exp", "left")
     return ev.stack_metrics(report, ["exp"], METRICS["softmax"])
 
 
