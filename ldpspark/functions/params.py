@@ -8,10 +8,10 @@ training step) nor need a join.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,7 @@ class Table:
             block = np.pad(block, ((0, 0), (0, 2**self.bits - block.shape[1])))
         self.array = double_array(block.ravel())
         self.row = row
+        self.width = block.shape[1]
 
     def at(self, k: int | Column) -> Column:
         """Constant k of the current row's entry."""
@@ -61,5 +62,15 @@ class Table:
         return self.array[F.shiftleft(self.row, self.bits).bitwiseOR(k)]
 
 
+    def attach(self, df: DataFrame, name: str) -> tuple[DataFrame, Callable[[int], Column]]:
+        """Add the row's entry as one array column, for an expression that reads many of its constants.
+
+        Each use of ``at`` carries its own copy of the block to the tasks; this carries one.
+        """
+        row = F.lit(0) if self.row is None else self.row
+        entry = F.slice(self.array, F.shiftleft(row, self.bits) + 1, self.width)
+        return df.withColumn(name, entry), lambda k: F.col(name)[k]
+
+
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))

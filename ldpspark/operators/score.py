@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.activations import clip, dot, first_argmax, sigmoid
 from .profile import quoted
-from .train import _coefficients, add_softmax, with_model
+from .train import add_softmax, with_coefficients, with_model
 
 
 def predict_linear(df: DataFrame, features: Sequence[str], betas: dict[int, np.ndarray], output: str = "pred"):
-    table, slot = _coefficients(betas, len(features) + 1)
-    z = dot([quoted(c) for c in features], [table.at(k + 1) for k in range(len(features))], table.at(0))
-    return with_model(df).withColumn("__exp", slot).withColumn(output, z).drop("__exp")
+    ready, b = with_coefficients(with_model(df), betas, len(features) + 1)
+    z = dot([quoted(c) for c in features], [b(k + 1) for k in range(len(features))], b(0))
+    return ready.withColumn(output, z).drop("__b")
 
 
 def predict_logistic(df: DataFrame, features: Sequence[str], betas: dict[int, np.ndarray], output: str = "prob"):
@@ -27,8 +27,7 @@ def predict_logistic(df: DataFrame, features: Sequence[str], betas: dict[int, np
 def predict_softmax(df: DataFrame, features: Sequence[str], betas: dict[int, np.ndarray], prefix: str = "prob"):
     """Class probabilities ``prefix0`` .. and ``pred``: the first class that reaches the maximum."""
     k = next(iter(betas.values())).shape[1]
-    table, slot = _coefficients(betas, (len(features) + 1) * k)
-    scored = add_softmax(with_model(df).withColumn("__exp", slot), features, table, k)
+    scored = add_softmax(with_model(df), features, betas, k)
     pred = first_argmax([F.col(f"__p{c}") for c in range(k)], F.col("__pmax"))
     named = scored.withColumn("pred", pred)
     for_class = [F.col(f"__p{c}").alias(f"{prefix}{c}") for c in range(k)]

@@ -31,6 +31,9 @@ MODELS = ("linear", "logistic", "softmax")
 # sums with numpy and Spark adds them up.
 MAX_AGGREGATES = 300
 
+# Softmax gradients are a matrix product; numpy wins early.
+MAX_SOFTMAX_AGGREGATES = 24
+
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -196,10 +199,10 @@ def logistic_gradients(
 ) -> dict[int, tuple[float, np.ndarray]]:
     """Rows and X'(p - y) per model, one job."""
     d = len(features)
-    table, slot = _coefficients(betas, d + 1)
     if d + 2 <= MAX_AGGREGATES:
-        z = dot([quoted(c) for c in features], [table.at(k + 1) for k in range(d)], table.at(0))
-        scored = df.withColumn("__exp", slot).withColumn("__e", sigmoid(z) - quoted(label))
+        ready, b = with_coefficients(df, betas, d + 1)
+        z = dot([quoted(c) for c in features], [b(k + 1) for k in range(d)], b(0))
+        scored = ready.withColumn("__e", sigmoid(z) - quoted(label))
         sums = [F.sum("__e").alias("g0")] + [F.sum(F.col("__e") * quoted(c)).alias(f"g{k + 1}") for k, c in enumerate(features)]
         rows = scored.groupBy("exp").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
         return {r["exp"]: (float(r["n"]), np.array([r[f"g{k}"] for k in range(d + 1)])) for r in rows}
@@ -212,13 +215,13 @@ def logistic_gradients(
     return _collect_vectors(numpy_partials(df, ["exp"], [*features, label], kernel), d + 2)
 
 
-def _coefficients(betas: dict[int, np.ndarray], width: int) -> tuple[Table, Column]:
-    """Constant block of all models and the column that finds a row's entry (column ``__exp``)."""
+def with_coefficients(df: DataFrame, betas: dict[int, np.ndarray], width: int):
+    """The table with its model's coefficients in the array column ``__b``, and the accessor of element k."""
     models = sorted(betas)
     dense = np.zeros((models[-1] + 1, width))
     for m in models:
         dense[m] = np.asarray(betas[m]).ravel()
-    return Table(dense, F.col("__exp")), F.col("exp").cast("int")
+    return Table(dense, F.col("exp").cast("int")).attach(df, "__b")
 
 
 def _collect_vectors(cells: DataFrame, width: int) -> dict[int, tuple[float, np.ndarray]]:
@@ -281,18 +284,19 @@ def _iterate(df: DataFrame, columns, key, cfg: TrainConfig, rows: int, step) ->
 # --------------------------------------------------------------------------- softmax
 
 
-def softmax_columns(features: Sequence[Column], table: Table, k: int) -> list[Column]:
+def softmax_columns(features: Sequence[Column], b, k: int) -> list[Column]:
     """Clipped class scores; parameter (row r, class c) sits at r * k + c."""
     return [
-        clip(dot(features, [table.at((r + 1) * k + c) for r in range(len(features))], table.at(c)), -Z_LIMIT, Z_LIMIT)
+        clip(dot(features, [b((r + 1) * k + c) for r in range(len(features))], b(c)), -Z_LIMIT, Z_LIMIT)
         for c in range(k)
     ]
 
 
-def add_softmax(df: DataFrame, features: Sequence[str], table: Table, k: int) -> DataFrame:
+def add_softmax(df: DataFrame, features: Sequence[str], betas: dict[int, np.ndarray], k: int) -> DataFrame:
     """Add class probabilities ``__p0`` .. and their maximum ``__pmax``, layer by layer."""
-    scores = softmax_columns([quoted(c) for c in features], table, k)
-    z = df.select("*", *[s.alias(f"__z{c}") for c, s in enumerate(scores)])
+    ready, b = with_coefficients(df, betas, (len(features) + 1) * k)
+    scores = softmax_columns([quoted(c) for c in features], b, k)
+    z = ready.select("*", *[s.alias(f"__z{c}") for c, s in enumerate(scores)]).drop("__b")
     top = F.greatest(*[F.col(f"__z{c}") for c in range(k)]) if k > 1 else F.col("__z0")
     e = z.withColumn("__top", top).select("*", *[F.exp(F.col(f"__z{c}") - F.col("__top")).alias(f"__x{c}") for c in range(k)])
     total = F.col("__x0")
@@ -308,9 +312,8 @@ def softmax_gradients(df: DataFrame, features: Sequence[str], label: str, betas:
     """Rows and X'(P - Y) per model, one job. ``label`` holds class codes 0..k-1."""
     d = len(features)
     width = (d + 1) * k
-    if width + 1 <= MAX_AGGREGATES:
-        table, slot = _coefficients(betas, width)
-        scored = add_softmax(df.withColumn("__exp", slot), features, table, k)
+    if width + 1 <= min(MAX_AGGREGATES, MAX_SOFTMAX_AGGREGATES):
+        scored = add_softmax(df, features, betas, k)
         error = scored.select(
             "exp",
             *[quoted(c) for c in features],

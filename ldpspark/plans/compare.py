@@ -131,18 +131,18 @@ def fitted_columns(
         if e.run is None and label_mean is None:
             label_mean = mean
         block.append(line)
-    table = Table(block, F.col("exp"))
+    stacked, constant = Table(block, F.col("exp")).attach(stacked, "__t")
     exprs = {}
     for n, c in enumerate(features):
         base = 2 + 3 * n
-        filled = F.coalesce(quoted(c), F.nanvl(table.at(base), F.lit(None).cast("double")))
-        value = table.at(0) + (filled - table.at(base + 1)) / table.at(base + 2) * table.at(1)
+        filled = F.coalesce(quoted(c), F.nanvl(constant(base), F.lit(None).cast("double")))
+        value = constant(0) + (filled - constant(base + 1)) / constant(base + 2) * constant(1)
         exprs[c] = F.coalesce(value, F.lit(0.0))
     if numeric_label:
-        exprs["y"] = F.coalesce(F.col("label"), F.nanvl(table.at(2 + 3 * len(features)), F.lit(None).cast("double")))
+        exprs["y"] = F.coalesce(F.col("label"), F.nanvl(constant(2 + 3 * len(features)), F.lit(None).cast("double")))
     else:
         exprs["y"] = F.col("label")
-    return stacked.withColumns(exprs), label_mean
+    return stacked.withColumns(exprs).drop("__t"), label_mean
 
 
 # A softmax model has (features + 1) parameters per class; beyond this many classes something is wrong.

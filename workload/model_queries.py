@@ -159,7 +159,7 @@ def logistic_gd(spark, sf):
 
 
 def _batch_rows(k: int) -> str:
-    return f"(SELECT exp, id FROM batches WHERE n // 128 = {k} AND n // 128 < total // 128)"
+    return f"(SELECT exp, id FROM batches WHERE n // (total // 2) = {k})"
 
 
 @query(
@@ -169,21 +169,11 @@ def _batch_rows(k: int) -> str:
       {ts.train_ctes('logistic', 2, batch=_batch_rows)} {beta_sql('beta_2', ('n_chars', 'words'))}""",
 )
 def logistic_minibatch(spark, sf):
-    """The first two batches of an epoch (as many as the smallest table has)."""
+    """Two batches per epoch, whatever the size of the table; an odd last row is left out."""
     features = ["n_chars", "words"]
     rows = docs_data(spark, sf).where(is_train())
-    cfg = train.TrainConfig("logistic", epochs=1, batch_size=128, seed=4)
-    batched = split.assign_batches(rows.withColumn("exp", F.lit(0)), row_key("doc_id"), 128, 1, 4, partition=["exp"])
-    two = batched.where(F.col("batch_id") < 2).drop("epoch")
-    prior = encode.label_priors(rows, "y").head()["log_odds"]
-    import numpy as np
-
-    betas = {0: np.array([prior, 0.0, 0.0])}
-    for b in range(2):
-        step = train.logistic_gradients(two.where(F.col("batch_id") == b), features, "y", betas)
-        n, total = step[0]
-        betas[0] = train.descend(betas[0], total / n + train.ridge(betas[0], cfg.regularization), cfg)
-    return beta_rows(spark, betas, features)
+    cfg = train.TrainConfig("logistic", epochs=1, batch_size=rows.count() // 2, seed=4)
+    return beta_rows(spark, train.train_logistic(rows, features, "y", cfg, row_key("doc_id")), features)
 
 
 def _softmax_sql(d: int, steps: int) -> str:
