@@ -265,12 +265,15 @@ def _iterate(df: DataFrame, columns, key, cfg: TrainConfig, rows: int, step) ->
     _check_steps(per_epoch * cfg.epochs, cfg)
     if per_epoch == 0:
         return
-    # clustered by batch: the cache keeps min/max per block, so a step reads only its own batch
+    # clustered by batch: the cache keeps min/max per block, so a step reads only its own batch; the hash in the
+    # order lets a large batch span many partitions
+    place = ["epoch", "batch_id", "__place"]
     batched = (
         _batches(df, key, cfg, rows)
-        .select("exp", "epoch", "batch_id", *[quoted(c) for c in columns])
-        .repartitionByRange("epoch", "batch_id")
-        .sortWithinPartitions("epoch", "batch_id")
+        .select("exp", "epoch", "batch_id", *[quoted(c) for c in columns], F.xxhash64(key).alias("__place"))
+        .repartitionByRange(*place)
+        .sortWithinPartitions(*place)
+        .drop("__place")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:

@@ -77,7 +77,11 @@ def fit_dataset(prepared: DataFrame, dataset: Dataset, categorical_label: bool =
     stats = fit(prepared, columns, ("min", "max"), where=train) if columns else {}
     label_categories = categories(prepared, dataset.label, train) if categorical_label else None
     others = categorical_columns(prepared, skip) if dataset.with_categorical else []
-    return Fitted(dataset, features, stats, label_categories, {c: categories(prepared, c, train) for c in others})
+    feature_categories = {c: categories(prepared, c, train) for c in others}
+    for c, cats in feature_categories.items():
+        if cats.values is None:
+            raise ValueError(f"column '{c}' has {cats.size} categories: too many for one-hot columns; drop or encode it first")
+    return Fitted(dataset, features, stats, label_categories, feature_categories)
 
 
 def privatise(
@@ -206,7 +210,7 @@ def _privatise_group(prepared, fitted: Fitted, runs, members, mechanisms, respon
     hot = [
         F.when(quoted(c) == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{v}")
         for c, cats in fitted.feature_categories.items()
-        for v in (cats.values or [])
+        for v in cats.values
     ]
     return noisy.select(
         *_run_columns(ds, runs, members, row),
