@@ -160,14 +160,15 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
             betas[row["exp"]] = beta
         return betas
 
-    for row in df.groupBy("exp").agg(F.avg(quoted(label)).alias("mean")).collect():
+    start = df.groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    for row in start:
         betas[row["exp"]] = np.zeros(d + 1)
         betas[row["exp"]][0] = row["mean"]
     if cfg.epochs <= 0:
         return betas
-    counts = df.groupBy("exp").count().collect()
-    _check_steps(max(r["count"] for r in counts) // cfg.batch_size * cfg.epochs, cfg)
-    batched = _batches(df, key, cfg, max(r["count"] for r in counts))
+    rows = max((r["n"] for r in start), default=0)
+    _check_steps(rows // cfg.batch_size * cfg.epochs, cfg)
+    batched = _batches(df, key, cfg, rows)
     per_batch = moments(batched, features, label, ("exp", "epoch", "batch_id")).orderBy("epoch", "batch_id", "exp")
     # the steps depend on each other: replay them in order, one moment block at a time
     for row in per_batch.toLocalIterator():
