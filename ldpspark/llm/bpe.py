@@ -28,7 +28,7 @@ from .portions import portions
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # pre-tokens a worker remembers before it starts afresh
-MEMORY = 400_000
+MEMORY = 150_000
 # texts are cut into pre-tokens this many at a time, so that one very long text needs no list of all its pre-tokens
 PART = 1 << 20
 # The letters, digits and blanks below U+0250. Within them the standard library's faster matcher cuts by
@@ -172,10 +172,14 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(place)
         for batch in batches:
-            ids = [x for texts in portions(batch.column(len(keep))) for x in encoder.encode(texts)]
-            flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in ids] or [np.empty(0, np.int32)]))
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(ends, flat)], [*keep, "ids"])
+            done = 0
+            for texts in portions(batch.column(len(keep))):
+                ids = encoder.encode(texts)
+                flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in ids]))
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                rows = batch.slice(done, len(texts)).columns[: len(keep)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.ListArray.from_arrays(ends, flat)], [*keep, "ids"])
+                done += len(texts)
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
