@@ -12,6 +12,7 @@ per-block tables meet in one task; documents are never ranked as a whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ class Mix:
     parts: int = 1024
     # 2 ** depth output shards
     depth: int = 6
+    # words that one partition of a shard should hold
+    partition_words: int = 1 << 22
 
 
 def n_words(text: str = "text") -> Column:
@@ -160,12 +163,16 @@ def deal(known: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
-def planned(docs: DataFrame, sized: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` (placed) with ``source_size, target`` and ``shards``, one for each copy to be taken. The plan is read
-    back from a file, so that its true size decides how it is joined."""
-    path = scratch_path(docs.sparkSession, "mix")
+def stored_plan(sized: DataFrame, mix: Mix) -> DataFrame:
+    """The block plan, read back from a file, so that its true size decides how it is joined."""
+    path = scratch_path(sized.sparkSession, "mix")
     block_plan(sized, mix).write.parquet(path)
-    plan = docs.sparkSession.read.parquet(path).select(
+    return sized.sparkSession.read.parquet(path)
+
+
+def planned(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` (placed) with ``source_size, target`` and ``shards``, one for each copy to be taken."""
+    plan = plan.select(
         F.col("source").alias("__source"),
         F.col("__block").alias("__b"),
         F.col("source_size").alias("__source_size"),
@@ -188,7 +195,7 @@ def mix_counts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     seen = placed(docs.select("doc_id", "text", "source"), mix)
     sized = settle(seen.select("doc_id", "source", n_words().alias("size"), "__block", "__place"))
-    out = planned(sized, sized, mix)
+    out = planned(sized, stored_plan(sized, mix))
     return out.select(
         "doc_id",
         "size",
@@ -200,16 +207,20 @@ def mix_counts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: documents not drawn are left out, others come once or twice. Each
-    shard is one partition, shuffled inside."""
+    """The mixed corpus with the columns of ``docs``: documents not drawn are left out, others come once or twice. A
+    shard is shuffled inside, in as many partitions as its words need."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
     seen = placed(docs.select("doc_id", "text", "source"), mix)
     sized = settle(seen.select("doc_id", "source", n_words().alias("size"), "__block", "__place"))
     rows = placed(docs.select("doc_id", "text", "source", row), mix).drop("doc_id", "text")
-    drawn = planned(rows, sized, mix).select("__row", "__order", F.posexplode("__shards").alias("__pass", "__shard"))
+    plan = stored_plan(sized, mix)
+    words = plan.groupBy("source").agg(F.max("target").alias("target")).agg(F.sum("target")).first()[0] or 0
+    parts = max(1, math.ceil(words / (mix.partition_words << mix.depth)))
+    drawn = planned(rows, plan).select("__row", "__order", F.posexplode("__shards").alias("__pass", "__shard"))
     order = F.md5(F.concat_ws("|", F.lit(f"{mix.seed}|shuffle"), "__order", F.col("__pass").cast("string")))
-    dealt = drawn.withColumn("__order", order).repartition(1 << mix.depth, "__shard")
+    part = F.pmod(F.xxhash64(order), F.lit(parts))
+    dealt = drawn.withColumns({"__order": order, "__part": part}).repartition(parts << mix.depth, "__shard", "__part")
     return dealt.sortWithinPartitions("__shard", "__order").select(
         *[F.col("__row").getField(c).alias(c) for c in names]
     )

@@ -184,7 +184,7 @@ roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node)
 x AS (SELECT page_id, host, path, {fit_sql("host", "path")} AS fit, coalesce(root, form) AS alias_of
     FROM p LEFT JOIN roots ON node = form),
 votes AS (SELECT alias_of, fit FROM x WHERE fit IS NOT NULL UNION ALL
-    SELECT root, {fit_sql("regexp_extract(node, '^[^/?]*')", "regexp_extract(node, '^[^/?]*([^?]*)', 1)")} FROM roots),
+    SELECT root, {fit_sql("regexp_extract(node, '^[^/?]*')", "(regexp_extract(node, '^[^/?]*([^?]*)', 1) || '/')")} FROM roots),
 tally AS (SELECT alias_of, bool_or(starts_with(fit, 'allow')) AS allowed FROM votes WHERE fit IS NOT NULL GROUP BY alias_of)
 SELECT page_id, host, path, substr(fit, 7) AS rule,
   CASE WHEN fit IS NOT NULL THEN left(fit, 5) WHEN NOT tally.allowed THEN 'block' ELSE 'allow' END AS verdict, x.alias_of

@@ -113,8 +113,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
     seen = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), normal_form(F.col("url")).alias("form"))
     ruled = seen.withColumn("own", rule_of(rules)).join(roots, F.col("form") == F.col("node"), "left")
     ruled = ruled.select("page_id", "host", "path", "own", F.coalesce("alias_of", "form").alias("alias_of"))
-    # ends of redirects need not be pages themselves; their rules count too
-    ends = roots.select("alias_of", F.regexp_extract("node", r"^[^/?]*", 0).alias("host"), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1).alias("path"))
+    # ends of redirects need not be pages themselves; their rules count too. Normal forms have lost their final slash
+    ends = roots.select(
+        "alias_of",
+        F.regexp_extract("node", r"^[^/?]*", 0).alias("host"),
+        F.concat(F.regexp_extract("node", r"^[^/?]*([^?]*)", 1), F.lit("/")).alias("path"),
+    )
     votes = ruled.where("own is not null").select("alias_of", "own.verdict").unionByName(
         ends.withColumn("own", rule_of(rules)).where("own is not null").select("alias_of", "own.verdict")
     )
