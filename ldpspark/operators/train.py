@@ -75,6 +75,18 @@ def with_model(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- partial sums in numpy
 
 
+def gaps_as_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NaN becomes NULL. A missing cell is skipped by every sum that needs it, whichever way the sum is taken: the
+    products with it in the linear moments, the whole row in logistic and softmax gradients. Row counts keep the row."""
+    kinds = dict(df.dtypes)
+    floating = [c for c in columns if kinds[c] in ("double", "float")]
+    return df.withColumns({c: F.nanvl(quoted(c), F.lit(None).cast(kinds[c])) for c in floating})
+
+
+def whole_rows(block: np.ndarray) -> np.ndarray:
+    return block[~np.isnan(block).any(axis=1)]
+
+
 def numpy_partials(df: DataFrame, groups: Sequence[str], inputs: Sequence[str], kernel) -> DataFrame:
     """Sum of ``kernel(group, matrix)`` vectors per group: (groups, cell, value).
 
@@ -88,6 +100,8 @@ def numpy_partials(df: DataFrame, groups: Sequence[str], inputs: Sequence[str],
             for name, part in pdf.groupby(groups, sort=False):
                 name = name if isinstance(name, tuple) else (name,)
                 vector = kernel(name, part[inputs].to_numpy(dtype=float))
+                if not np.isfinite(vector).all():
+                    raise ValueError(f"partial sums of {name} are not finite")
                 sums[name] = sums[name] + vector if name in sums else vector
         if sums:
             frame = pd.DataFrame(list(sums), columns=groups)
@@ -110,6 +124,7 @@ def _upper(d: int) -> list[tuple[int, int]]:
 def moments(df: DataFrame, features: Sequence[str], label: str, groups: Sequence[str] = ("exp",)) -> DataFrame:
     """One row per group: ``m`` = upper triangle of X'X (with bias), then X'y, as one array."""
     features, groups = list(features), list(groups)
+    df = gaps_as_null(df, [*features, label])
     d = len(features)
     pairs = _upper(d)
     if len(pairs) + d + 1 <= MAX_AGGREGATES:
@@ -117,6 +132,8 @@ def moments(df: DataFrame, features: Sequence[str], label: str, groups: Sequence
         y = quoted(label)
         cells = [F.count(F.lit(1)).cast("double")] + [F.sum(x[a] * x[b]) for a, b in pairs[1:]]
         cells += [F.sum(y)] + [F.sum(xk * y) for xk in x[1:]]
+        # a sum over nothing but missing cells is 0, as in the other path
+        cells = [F.coalesce(c, F.lit(0.0)) for c in cells]
         return df.groupBy(*groups).agg(*[c.alias(f"__{n}") for n, c in enumerate(cells)]).select(
             *groups, F.array(*[f"__{n}" for n in range(len(cells))]).alias("m")
         )
@@ -124,6 +141,7 @@ def moments(df: DataFrame, features: Sequence[str], label: str, groups: Sequence
     upper = np.triu_indices(d + 1)
 
     def kernel(_, block):
+        block = np.where(np.isnan(block), 0.0, block)
         xb = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], axis=1)
         return np.concatenate([(xb.T @ xb)[upper], xb.T @ block[:, -1]])
 
@@ -160,7 +178,7 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
             betas[row["exp"]] = beta
         return betas
 
-    start = df.groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     for row in start:
         betas[row["exp"]] = np.zeros(d + 1)
         betas[row["exp"]][0] = row["mean"]
@@ -199,6 +217,7 @@ def logistic_gradients(
     df: DataFrame, features: Sequence[str], label: str, betas: dict[int, np.ndarray]
 ) -> dict[int, tuple[float, np.ndarray]]:
     """Rows and X'(p - y) per model, one job."""
+    df = gaps_as_null(df, [*features, label])
     d = len(features)
     if d + 2 <= MAX_AGGREGATES:
         ready, b = with_coefficients(df, betas, d + 1)
@@ -206,12 +225,13 @@ def logistic_gradients(
         scored = ready.withColumn("__e", sigmoid(z) - quoted(label))
         sums = [F.sum("__e").alias("g0")] + [F.sum(F.col("__e") * quoted(c)).alias(f"g{k + 1}") for k, c in enumerate(features)]
         rows = scored.groupBy("exp").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-        return {r["exp"]: (float(r["n"]), np.array([r[f"g{k}"] for k in range(d + 1)])) for r in rows}
+        return {r["exp"]: (float(r["n"]), np.array([r[f"g{k}"] or 0.0 for k in range(d + 1)])) for r in rows}
 
     def kernel(name, block):
+        n, block = len(block), whole_rows(block)
         xb = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], axis=1)
         z = np.clip(xb @ betas[name[0]], -Z_LIMIT, Z_LIMIT)
-        return np.concatenate([[len(block)], xb.T @ (1.0 / (1.0 + np.exp(-z)) - block[:, -1])])
+        return np.concatenate([[n], xb.T @ (1.0 / (1.0 + np.exp(-z)) - block[:, -1])])
 
     return _collect_vectors(numpy_partials(df, ["exp"], [*features, label], kernel), d + 2)
 
@@ -235,7 +255,7 @@ def _collect_vectors(cells: DataFrame, width: int) -> dict[int, tuple[float, np.
 def train_logistic(df: DataFrame, features: Sequence[str], label: str, cfg: TrainConfig, key: Column | None = None):
     df = with_model(df)
     d = len(features)
-    start = df.groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     betas = {}
     for row in start:
         p = min(max(row["mean"], PRIOR_FLOOR), 1 - PRIOR_FLOOR)
@@ -314,6 +334,7 @@ def add_softmax(df: DataFrame, features: Sequence[str], betas: dict[int, np.ndar
 
 def softmax_gradients(df: DataFrame, features: Sequence[str], label: str, betas: dict[int, np.ndarray], k: int):
     """Rows and X'(P - Y) per model, one job. ``label`` holds class codes 0..k-1."""
+    df = gaps_as_null(df, [*features, label])
     d = len(features)
     width = (d + 1) * k
     if width + 1 <= min(MAX_AGGREGATES, MAX_SOFTMAX_AGGREGATES):
@@ -322,7 +343,7 @@ def softmax_gradients(df: DataFrame, features: Sequence[str], label: str, betas:
             "exp",
             *[quoted(c) for c in features],
             *[
-                (F.col(f"__p{c}") - F.when(quoted(label) == c, F.lit(1.0)).otherwise(F.lit(0.0))).alias(f"__e{c}")
+                (F.col(f"__p{c}") - (quoted(label) == c).cast("double")).alias(f"__e{c}")
                 for c in range(k)
             ],
         )
@@ -333,15 +354,16 @@ def softmax_gradients(df: DataFrame, features: Sequence[str], label: str, betas:
             .agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"g{i}") for i, s in enumerate(sums)])
             .collect()
         )
-        return {r["exp"]: (float(r["n"]), np.array([r[f"g{i}"] for i in range(width)])) for r in rows}
+        return {r["exp"]: (float(r["n"]), np.array([r[f"g{i}"] or 0.0 for i in range(width)])) for r in rows}
 
     def kernel(name, block):
+        n, block = len(block), whole_rows(block)
         xb = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], axis=1)
         z = np.clip(xb @ betas[name[0]].reshape(d + 1, k), -Z_LIMIT, Z_LIMIT)
         e = np.exp(z - z.max(axis=1, keepdims=True))
         p = e / e.sum(axis=1, keepdims=True)
         hot = block[:, -1][:, None] == np.arange(k)[None, :]
-        return np.concatenate([[len(block)], (xb.T @ (p - hot)).ravel()])
+        return np.concatenate([[n], (xb.T @ (p - hot)).ravel()])
 
     return _collect_vectors(numpy_partials(df, ["exp"], [*features, label], kernel), width + 1)
 
@@ -355,7 +377,8 @@ def train_softmax(df: DataFrame, features: Sequence[str], label: str, cfg: Train
     """``{exp: array(d + 1, K)}``. Class codes are 0-based; K is the largest number of classes of any model."""
     df = with_model(df)
     d = len(features)
-    counts = df.groupBy("exp", quoted(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    known = gaps_as_null(df, [label]).where(quoted(label).isNotNull())
+    counts = known.groupBy("exp", quoted(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     k = max(r["c"] for r in counts) + 1
     totals: dict[int, int] = {}
     for r in counts:

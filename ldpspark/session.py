@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="ldpspark-")
         spark.sparkContext.setCheckpointDir(known)
     return known

@@ -42,8 +42,9 @@ def read_parquet(spark: SparkSession, path: str, label: str | None = None) -> Da
     return _label_checked(spark.read.parquet(path), label)
 
 
-def save_runs(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Write privatised rows under their run key.
+def save_runs(df: DataFrame, root: str) -> None:
+    """Write privatised rows under their run key. A run that is already there is replaced, so a repeated job does not
+    double its rows; other runs stay.
 
     The rows of one input split go to one file per run key: no shuffle, and a file is about as large as the
     split it came from. Open writers instead of a sort while the run keys are few.
@@ -53,7 +54,7 @@ def save_runs(df: DataFrame, root: str, mode: str = "append") -> None:
     before = spark.conf.get(name)
     spark.conf.set(name, "64")
     try:
-        df.write.mode(mode).partitionBy(*PARTITIONS).parquet(root)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root)
     finally:
         spark.conf.set(name, before)
 
@@ -89,11 +90,13 @@ def save_label_metadata(spark: SparkSession, rows: list[dict], root: str) -> Non
 def attach_label_metadata(df: DataFrame, metadata: DataFrame, keys=RUN_COLUMNS) -> DataFrame:
     """Left join on the run key; runs without metadata get NULL bounds, which means no inversion.
 
-    One row per run, a few hundred at most, so the broadcast does not grow with the data.
+    A run that was recorded more than once counts once. One row per run, a few hundred at most, so the broadcast does
+    not grow with the data.
     """
     shared = [k for k in keys if k in df.columns and k in metadata.columns]
     bounds = ["label_min", "label_max", "index_min", "index_max"]
     side = metadata.select(*[F.col(k).alias(f"__k_{k}") for k in shared], *bounds)
+    side = side.dropDuplicates([f"__k_{k}" for k in shared])
     on: Column | None = None
     for k in shared:
         term = F.col(k).eqNullSafe(F.col(f"__k_{k}"))

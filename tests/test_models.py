@@ -208,3 +208,18 @@ def test_rows_by_id(spark):
     assert [tuple(r) for r in lookup.select_by_ids(raw, ids, "k").collect()] == [(2, "b")]
     with pytest.raises(KeyError):
         lookup.select_by_ids(raw, spark.createDataFrame([(3,)], "k int"), "k")
+
+
+@pytest.mark.parametrize("model", train.MODELS)
+@pytest.mark.parametrize("holes", [("x0",), ("y",), ("x1", "y")])
+def test_missing_cells_give_one_model_on_both_paths(spark, monkeypatch, model, holes):
+    df, _, _, cols = sample_rows(spark, model, n=200)
+    gap = F.when(F.col("k") % 17 == 3, F.lit(float("nan")))
+    for c in holes:
+        df = df.withColumn(c, F.when(F.col("k") % 19 != 5, F.coalesce(gap, F.col(c))))
+    df = df.repartition(4)
+    cfg = train.TrainConfig(model, epochs=3, learning_rate=0.3)
+    built_in = train.train(df, cols, "y", cfg)[0]
+    monkeypatch.setattr(train, "MAX_AGGREGATES", 1)
+    by_task = train.train(df, cols, "y", cfg)[0]
+    assert np.isfinite(built_in).all() and np.allclose(built_in, by_task, atol=1e-9)
