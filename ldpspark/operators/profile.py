@@ -87,7 +87,10 @@ def exp_label(x: Column) -> Column:
 
 
 def before_after(before: DataFrame, after: DataFrame, key: str, label: str, n: int = 5) -> DataFrame:
-    """The first n labels by key, before and after privatisation. A top-n, not a full sort."""
+    """The first n labels by key of the privatised rows, with the same rows' labels before.
+
+    The n rows are taken first, so the join has n rows on one side and no table is shuffled.
+    """
+    right = after.select(key, quoted(label).alias("after")).orderBy(key).limit(n)
     left = before.select(key, quoted(label).alias("before"))
-    right = after.select(key, quoted(label).alias("after"))
-    return left.join(right, key).orderBy(key).limit(n)
+    return left.join(F.broadcast(right), key).orderBy(key)

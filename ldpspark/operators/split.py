@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,10 @@ TEST_SIZE = 0.2
 RANDOM_STATE = 42
 SPLIT_STREAM = "split"
 
+# Hex digits of a row's digest, and by how many of them one pass of an exact split narrows the cut.
+DIGEST_DIGITS = 32
+CUT_DIGITS = 5
+
 # Rows that one rank window may hold; sets how many hash buckets a rank uses.
 BUCKET_ROWS = 1_000_000
 
@@ -37,7 +39,7 @@ def hash_split(
 def prefix_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     """Hex digits d such that rows / 16^d buckets are below the bucket size."""
     digits = 1
-    while rows / 16**digits > bucket_rows and digits < 6:
+    while rows / 16**digits > bucket_rows:
         digits += 1
     return digits
 
@@ -45,24 +47,29 @@ def prefix_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
 def exact_cut(
     df: DataFrame, key: Column, test_size: float = TEST_SIZE, random_state: int = RANDOM_STATE, salt: str = ""
 ) -> str | None:
-    """Digest of the last test row of an exact-size split: ceil(test_size * rows) smallest digests.
+    """Upper bound of the test digests of an exact-size split: the ceil(test_size * rows) smallest ones.
 
-    Counts per hash prefix find the one prefix that holds the cut, and only that prefix's rows (below
-    ``BUCKET_ROWS``) are ordered. Row keys must be unique.
+    Rows are counted per hash prefix, then per longer prefix inside the one that holds the cut, until the cut falls
+    between two prefixes. No row is ordered, a pass yields at most 16^CUT_DIGITS counts, and two passes serve a
+    million million rows. Keys that are not unique may have no such cut, which is an error.
     """
-    rows = df.count()
-    wanted = math.ceil(test_size * rows)
-    if wanted <= 0:
-        return None
-    digits = prefix_digits(rows)
     hashed = df.select(split_digest(key, random_state, salt).alias("h"))
-    counts = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    # at most 16^digits rows
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("b")))
-    at = running.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)).head()
-    need = wanted - (at["upto"] - at["n"])
-    inside = hashed.where(F.substring("h", 1, digits) == at["b"]).orderBy("h").limit(need)
-    return inside.agg(F.max("h")).head()[0]
+    prefix, wanted = "", None
+    while len(prefix) < DIGEST_DIGITS:
+        inside = hashed.where(F.col("h").startswith(prefix)) if prefix else hashed
+        counts = inside.groupBy(F.substring("h", 1, len(prefix) + CUT_DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        total = F.sum("n").over(Window.partitionBy())
+        running = counts.select("b", "n", F.sum("n").over(Window.orderBy("b")).alias("upto"), total.alias("total"))
+        # the first pass knows the size of the table as well
+        goal = F.ceil(F.col("total") * F.lit(float(test_size))) if wanted is None else F.lit(wanted)
+        at = running.withColumn("goal", goal).where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("n") < F.col("goal"))).head()
+        if at is None:
+            return None
+        if at["upto"] == at["goal"]:
+            # sorts behind every digest that starts with the prefix
+            return at["b"] + "g"
+        prefix, wanted = at["b"], at["goal"] - (at["upto"] - at["n"])
+    raise ValueError("rows with equal keys lie on both sides of the cut: the keys of an exact split must be unique")
 
 
 def exact_split(

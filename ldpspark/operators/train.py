@@ -45,8 +45,8 @@ class TrainConfig:
     gradient_clip: float = 1.0
     parameter_clip: float = 1.0
     seed: int = 0
-    # mini-batch steps are sequential; more than this many is refused with an explanation
-    max_steps: int = 20_000
+    # mini-batch steps are sequential; if this is set, more steps are refused with an explanation
+    max_steps: int | None = None
 
     def __post_init__(self):
         if self.model not in MODELS:
@@ -180,8 +180,9 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
 
     start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     for row in start:
-        betas[row["exp"]] = np.zeros(d + 1)
-        betas[row["exp"]][0] = row["mean"]
+        if row["mean"] is not None:
+            betas[row["exp"]] = np.zeros(d + 1)
+            betas[row["exp"]][0] = row["mean"]
     if cfg.epochs <= 0:
         return betas
     rows = max((r["n"] for r in start), default=0)
@@ -189,14 +190,14 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
     batched = _batches(df, key, cfg, rows)
     per_batch = moments(batched, features, label, ("exp", "epoch", "batch_id")).orderBy("epoch", "batch_id", "exp")
     # the steps depend on each other: replay them in order, one moment block at a time
-    for row in per_batch.toLocalIterator():
+    for row in per_batch.where(F.col("exp").isin(list(betas))).toLocalIterator():
         gram, moment = _unpack(row["m"], d)
         betas[row["exp"]] = linear_step(betas[row["exp"]], gram, moment, float(cfg.batch_size), cfg)
     return betas
 
 
 def _check_steps(steps: int, cfg: TrainConfig) -> None:
-    if steps > cfg.max_steps:
+    if cfg.max_steps is not None and steps > cfg.max_steps:
         raise ValueError(
             f"{steps} sequential steps exceed max_steps={cfg.max_steps}: gradient steps depend on each other and "
             "cannot run in parallel; use a larger batch_size, full batch (batch_size <= 0), or raise max_steps"
@@ -258,11 +259,14 @@ def train_logistic(df: DataFrame, features: Sequence[str], label: str, cfg: Trai
     start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     betas = {}
     for row in start:
+        if row["mean"] is None:
+            continue
         p = min(max(row["mean"], PRIOR_FLOOR), 1 - PRIOR_FLOOR)
         betas[row["exp"]] = np.zeros(d + 1)
         betas[row["exp"]][0] = math.log(p / (1 - p))
 
     def step(part: DataFrame):
+        part = part.where(F.col("exp").isin(list(betas)))
         for exp, (n, total) in logistic_gradients(part, features, label, betas).items():
             betas[exp] = descend(betas[exp], total / n + ridge(betas[exp], cfg.regularization), cfg)
 

@@ -6,17 +6,19 @@ aggregates over it. Only scalars per model reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import product
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import Table
 from ..operators import evaluate as ev
 from ..operators import score as sc
-from ..operators.lookup import missing_ids
 from ..operators.profile import nan_to_null, numeric_columns, quoted, usable_features
 from ..operators.scale import model_range
 from ..operators.split import is_test
@@ -65,11 +67,19 @@ def plan_experiments(runs: Sequence[Run], cfg: CompareConfig) -> list[Experiment
     return raw + [Experiment(len(raw) + n, r.seed, r) for n, r in enumerate(runs)]
 
 
-def check_same_ids(raw: DataFrame, privatised: DataFrame, key: str) -> None:
-    """Every stored id must exist in the raw table. All runs hold the same ids, so one run is looked at."""
-    ids = privatised.where(F.col("run") == privatised.agg(F.min("run")).head()[0]).select(key)
-    if not missing_ids(raw, ids, key).isEmpty():
-        raise KeyError(f"privatised rows whose '{key}' the raw table does not have")
+def check_same_ids(raw: DataFrame, privatised: DataFrame, keys: Sequence[str]) -> None:
+    """Every stored run must hold every raw id once, and no other id. A run that is not stored at all is no error here.
+
+    Both tables are counted per id before one shuffle; nothing is joined.
+    """
+    columns = [quoted(c) for c in keys]
+    sides = raw.select(*columns, F.lit(1).alias("__raw"), F.lit(None).cast("int").alias("__run")).unionByName(
+        privatised.select(*columns, F.lit(0).alias("__raw"), F.col("run").cast("int").alias("__run"))
+    )
+    counts = sides.groupBy(*columns).agg(F.sum("__raw").alias("__raw"), F.count("__run").alias("__rows"))
+    runs = F.lit(privatised.select("run").distinct().count())
+    if not counts.where((F.col("__raw") != 1) | (F.col("__rows") != runs)).isEmpty():
+        raise KeyError(f"raw and privatised rows do not have the same {', '.join(keys)} in every run")
 
 
 def stack(
@@ -113,11 +123,13 @@ def fitted_columns(
     if numeric_label:
         wanted.append(F.avg(F.when(~F.col("is_test"), F.col("label"))).alias("mean|label"))
     rows = {r["exp"]: r for r in stacked.groupBy("exp").agg(*wanted).collect()} if wanted else {}
+    absent = dict.fromkeys([f"{s}|{c}" for c in (*features, "label") for s in ("mean", "min", "max")])
     lo, hi = model_range(n_outputs)
     block = []
     label_mean = None
     for e in experiments:
-        r = rows[e.exp]
+        # a run without rows is left without a score; the others go on
+        r = rows.get(e.exp, absent)
         scaled = e.run is None or e.run.mechanism == "pm"
         line = [lo if scaled else 0.0, hi - lo if scaled else 1.0]
         for c in features:
@@ -147,27 +159,17 @@ def fitted_columns(
     return stacked.withColumns(exprs).drop("__t"), label_mean
 
 
-# A softmax model has (features + 1) parameters per class; beyond this many classes something is wrong.
-MAX_CLASSES = 10_000
-
-
 def encode_classes(stacked: DataFrame, experiments: Sequence[Experiment]) -> DataFrame:
     """Per model: class code of the train labels (sorted distinct), and the raw code as truth, -1 if unseen.
 
-    The codes (models x classes) pass through the driver, so the joins are broadcasts of a known size.
+    Codes are ranks among a model's distinct labels, of which there are as many as the model has classes. Spark chooses
+    the join by the size of the code table.
     """
     seen = stacked.where(~F.col("is_test") & F.col("y").isNotNull()).select("exp", "y").distinct()
-    classes: dict[int, list] = {}
-    for r in seen.limit(MAX_CLASSES * len(experiments) + 1).collect():
-        classes.setdefault(r["exp"], []).append(r["y"])
-    if max((len(v) for v in classes.values()), default=0) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: this label is not categorical")
-    spark, kind = stacked.sparkSession, stacked.schema["y"].dataType.simpleString()
-    own = [(e, y, n) for e, ys in classes.items() for n, y in enumerate(sorted(ys))]
+    code = F.row_number().over(Window.partitionBy("exp").orderBy("y")) - 1
+    codes = seen.select(F.col("exp").alias("__e"), F.col("y").alias("__y"), code.alias("code"))
     raw = next(e.exp for e in experiments if e.run is None)
-    truth = [(y, n) for e, y, n in own if e == raw]
-    codes = F.broadcast(spark.createDataFrame(own, f"__e int, __y {kind}, code int"))
-    truths = F.broadcast(spark.createDataFrame(truth, f"__ty {kind}, __truth int"))
+    truths = codes.where(F.col("__e") == raw).select(F.col("__y").alias("__ty"), F.col("code").alias("__truth"))
     coded = stacked.join(codes, (F.col("exp") == F.col("__e")) & (F.col("y") == F.col("__y")), "left").drop("__e", "__y")
     coded = coded.join(truths, F.col("y") == F.col("__ty"), "left").drop("__ty")
     return coded.withColumns(
@@ -189,8 +191,17 @@ def compare(
 ) -> DataFrame:
     """Long scores (dataset, eps, label_eps, seed, variant, mode, metric, value), rounded to 3 decimals.
 
-    ``privatised`` takes rows stored by an earlier job (they must carry ``run``); otherwise they are made here.
+    ``privatised`` takes rows stored by an earlier job (they must carry ``run``); otherwise they are made here. A run
+    without rows or without a defined metric keeps its row with NULL, and the other runs keep their scores.
     """
+    (scores,) = _scores(raw, dataset, runs, [cfg], privatised, catalog_path)
+    return scores
+
+
+def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[CompareConfig], privatised, catalog_path):
+    """One table of scores per configuration. They differ in training only, so the rows are profiled, privatised,
+    stacked and scaled once and cached for all of them."""
+    cfg = next((p for p in points if p.train.batch_size > 0), points[0])
     prepared = prepare(raw, dataset)
     categorical = any(r.mode == "categorical" for r in runs)
     fitted: Fitted = fit_dataset(prepared, dataset, categorical)
@@ -203,23 +214,29 @@ def compare(
         privatised = privatise(
             prepared, fitted, runs, catalog_path=catalog_path, response_mode=cfg.response_mode, null_policy=cfg.null_policy
         )
-    elif len(dataset.key) == 1:
-        check_same_ids(prepared, privatised, dataset.key[0])
+    else:
+        check_same_ids(prepared, privatised, dataset.key)
 
     stacked = stack(prepared, privatised, dataset, features, experiments)
     stacked = stacked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ready, label_mean = fitted_columns(stacked, features, experiments, numeric_label, cfg.n_outputs)
         key = F.concat_ws("-", *[quoted(c).cast("string") for c in dataset.key])
-        if cfg.model == "softmax":
-            scores = _softmax(ready, features, experiments, cfg, key)
-        else:
-            scores = _numeric(ready, features, experiments, cfg, key, fitted, label_mean)
-        # a handful of rows per model: keep them, so that the cached rows can go
-        rows = [(r["exp"], r["metric"], r["value"]) for r in scores.collect()]
+        for point in points:
+            if point.model == "softmax":
+                scores = _softmax(ready, features, experiments, point, key)
+            else:
+                scores = _numeric(ready, features, experiments, point, key, fitted, label_mean)
+            # a handful of rows per model: keep them, so that the cached rows can go
+            rows = [(r["exp"], r["metric"], r["value"]) for r in scores.collect()]
+            yield _named(raw.sparkSession, rows, dataset, experiments, METRICS[point.model].values())
     finally:
         stacked.unpersist()
-    return _named(raw.sparkSession, rows, dataset, runs, experiments)
+
+
+def _of_models(rows: DataFrame, betas: dict) -> DataFrame:
+    """Rows of the models that could be trained."""
+    return rows.where(F.col("exp").isin([int(e) for e in betas]))
 
 
 def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitted: Fitted, label_mean) -> DataFrame:
@@ -230,7 +247,7 @@ def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitt
         y = F.when(again.at(0) == 1.0, F.log1p(y)).otherwise(y)
     rows = ready.where(~F.col("is_test")).withColumn("y", y)
     betas = train(rows, features, "y", cfg.train, key)
-    test = ready.where(F.col("is_test")).withColumn(
+    test = _of_models(ready.where(F.col("is_test")), betas).withColumn(
         "truth", F.coalesce(F.col("label"), F.lit(label_mean).cast("double"))
     )
     if cfg.model == "logistic":
@@ -259,26 +276,26 @@ def _softmax(ready, features, experiments, cfg: CompareConfig, key: Column) -> D
     coded = encode_classes(ready, experiments)
     betas = train(coded.where(~F.col("is_test")), features, "code", cfg.train, key)
     k = next(iter(betas.values())).shape[1]
-    scored = sc.predict_softmax(coded.where(F.col("is_test")), features, betas)
+    scored = sc.predict_softmax(_of_models(coded.where(F.col("is_test")), betas), features, betas)
     # rows of an unseen class leave the raw variant only
     kept = scored.where(~((F.col("exp") <= raws[-1]) & (F.col("truth") == -1)))
     # a model is judged on the classes it has seen; codes of the others come last
-    sizes = [[int((betas[e.exp][0] != ABSENT_BIAS).sum())] for e in experiments]
+    sizes = [[int((betas[e.exp][0] != ABSENT_BIAS).sum()) if e.exp in betas else 0] for e in experiments]
     long = ev.unpivot_classes(kept, "truth", k, keys=["exp"]).where(F.col("class") < Table(sizes, F.col("exp")).at(0))
     macro = ev.auc(long, "hit", "score", ["exp", "class"]).groupBy("exp").agg(F.avg("auc").alias("auc_macro"))
     report = ev.accuracy(kept, "truth", "pred", ["exp"]).join(macro, "exp", "left")
     return ev.stack_metrics(report, ["exp"], METRICS["softmax"])
 
 
-def _named(spark, scores, dataset: Dataset, runs: Sequence[Run], experiments: Sequence[Experiment]) -> DataFrame:
+def _named(spark, scores, dataset: Dataset, experiments: Sequence[Experiment], metrics: Iterable[str]) -> DataFrame:
     """Scores with their run names. A raw model is listed under every budget and seed it stands for.
 
     A model without a score (failed or undefined) keeps its row with NULL.
     """
     by_exp: dict[int, dict[str, float | None]] = {}
     for exp, metric, value in scores:
-        by_exp.setdefault(exp, {})[metric] = value
-    metrics = list(dict.fromkeys(m for _, m, _ in scores))
+        by_exp.setdefault(exp, {})[metric] = None if value is None or math.isnan(value) else value
+    metrics = list(metrics)
     raws = [e for e in experiments if e.run is None]
     raw_of = {e.seed: e for e in raws}
     names: dict[tuple, int] = {}
@@ -316,13 +333,15 @@ def training_grid(
     privatised: DataFrame | None = None,
     catalog_path: str | None = None,
 ) -> DataFrame:
-    """Scores over a grid of hyper-parameters; each point trains all runs together."""
-    out = None
-    for b in batch_sizes:
-        for lr in learning_rates:
-            for n in epochs:
-                point = replace(cfg, train=replace(cfg.train, batch_size=b, learning_rate=lr, epochs=n))
-                scores = compare(raw, dataset, runs, point, privatised=privatised, catalog_path=catalog_path)
-                tagged = scores.withColumns({"batch_size": F.lit(b), "learning_rate": F.lit(lr), "epochs": F.lit(n)})
-                out = tagged if out is None else out.unionByName(tagged)
-    return out
+    """Scores over a grid of hyper-parameters.
+
+    The data are privatised, profiled and scaled once; each point then trains all runs (budgets, resolutions, seeds)
+    together on the cached rows.
+    """
+    grid = list(product(batch_sizes, learning_rates, epochs))
+    points = [replace(cfg, train=replace(cfg.train, batch_size=b, learning_rate=lr, epochs=n)) for b, lr, n in grid]
+    tagged = [
+        scores.withColumns({"batch_size": F.lit(b), "learning_rate": F.lit(lr), "epochs": F.lit(n)})
+        for (b, lr, n), scores in zip(grid, _scores(raw, dataset, runs, points, privatised, catalog_path))
+    ]
+    return reduce(DataFrame.unionByName, tagged)

@@ -18,7 +18,7 @@ from ..functions.layers import project
 from ..functions.params import Table
 from ..functions.quantised import UNROLL_LIMIT, Quantised
 from ..functions.rand import row_key
-from ..operators.encode import Categories, categories, ordinal_encode
+from ..operators.encode import Categories, categories, decode, ordinal_encode
 from ..operators.privatise import scaled
 from ..operators.profile import (
     categorical_columns,
@@ -31,7 +31,6 @@ from ..operators.profile import (
 )
 from ..operators.scale import Stats, fit, linear_map
 from ..operators.split import is_test
-from ..session import configure
 from ..sources import catalog
 from .config import Dataset, Run
 
@@ -78,9 +77,6 @@ def fit_dataset(prepared: DataFrame, dataset: Dataset, categorical_label: bool =
     label_categories = categories(prepared, dataset.label, train) if categorical_label else None
     others = categorical_columns(prepared, skip) if dataset.with_categorical else []
     feature_categories = {c: categories(prepared, c, train) for c in others}
-    for c, cats in feature_categories.items():
-        if cats.values is None:
-            raise ValueError(f"column '{c}' has {cats.size} categories: too many for one-hot columns; drop or encode it first")
     return Fitted(dataset, features, stats, label_categories, feature_categories)
 
 
@@ -97,7 +93,6 @@ def privatise(
 
     Runs that share mechanism, label mode and resolution share a projection; usually that is one or two.
     """
-    configure(prepared.sparkSession)
     groups: dict[tuple, list[int]] = {}
     for n, run in enumerate(runs):
         groups.setdefault((run.mechanism, run.mode, run.n_outputs, run.label_n), []).append(n)
@@ -198,7 +193,8 @@ def _privatise_group(prepared, fitted: Fitted, runs, members, mechanisms, respon
     if first.mode == "none":
         label = raw
     elif first.mode == "categorical":
-        label = F.when(F.col("__test"), raw).otherwise(_category(fitted.label_categories, F.col("__noisy")))
+        noisy = decode(noisy, "__noisy", fitted.label_categories, "__category")
+        label = F.when(F.col("__test"), raw).otherwise(F.col("__category"))
     else:
         value = F.col("__noisy").cast("double")
         if first.mode == "linear":
@@ -210,7 +206,7 @@ def _privatise_group(prepared, fitted: Fitted, runs, members, mechanisms, respon
     hot = [
         F.when(quoted(c) == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{v}")
         for c, cats in fitted.feature_categories.items()
-        for v in cats.values
+        for v in cats.listed()
     ]
     return noisy.select(
         *_run_columns(ds, runs, members, row),
@@ -222,12 +218,6 @@ def _privatise_group(prepared, fitted: Fitted, runs, members, mechanisms, respon
     )
 
 
-def _category(cats: Categories, code: Column) -> Column:
-    if cats.values is None:
-        raise ValueError(f"a label with {cats.size} categories does not fit a grid; use operators.privatise.respond")
-    return F.get(F.array(*[F.lit(v) for v in cats.values]), code)
-
-
 def _run_columns(ds: Dataset, runs: Sequence[Run], members: Sequence[int], row: Column) -> list[Column]:
     first = runs[members[0]]
     block = Table([[n, runs[n].eps, runs[n].t or 0.0, runs[n].label_eps, runs[n].seed] for n in members], row)

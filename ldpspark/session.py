@@ -32,7 +32,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the expressions here are written for.
 
     Perturbing many columns makes long generated methods, and the JVM never compiles methods above 8000 bytes
-    of bytecode. With this limit Spark splits such projections into small methods instead.
+    of bytecode. With this limit Spark splits such projections into small methods instead. Only the builder above and
+    callers that own their session apply it; operators leave a session's settings alone.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark

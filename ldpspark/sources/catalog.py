@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from ..functions.quantised import Quantised
 from ..operators import mechanism as mech
 
 KEY = ("obj", "eps", "n_outputs")
+# how many infeasible mechanisms an error message names
+MAX_LISTED = 5
 CELL_SCHEMA = "obj string, eps double, n_outputs int, i int, a double, j int, p double"
 
 
@@ -26,7 +29,14 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store(cells: DataFrame, path: str) -> None:
-    """Append mechanisms, for instance ones that were optimised elsewhere; audit them first."""
+    """Append mechanisms, for instance ones that were optimised elsewhere. Infeasible ones are refused."""
+    broken = mech.audit(cells).where(~F.col("feasible")).head(MAX_LISTED)
+    if broken:
+        raise ValueError("infeasible mechanisms: " + "; ".join(str(r.asDict()) for r in broken))
+    _append(cells, path)
+
+
+def _append(cells: DataFrame, path: str) -> None:
     typed = cells.select(
         "obj",
         F.col("eps").cast("double"),
@@ -54,13 +64,15 @@ def get_or_create(wanted: DataFrame, path: str) -> DataFrame:
     absent = missing(keys, catalog)
     if not absent.isEmpty():
         cells = mech.design(absent.select("eps", "n_outputs").distinct())
-        store(cells.join(absent, list(KEY), "left_semi"), path)
+        # feasible by construction
+        _append(cells.join(absent, list(KEY), "left_semi"), path)
         catalog = read_catalog(spark, path)
     return catalog.join(keys, list(KEY), "left_semi")
 
 
 def lookup_key(obj: str, eps: float, n_outputs: int) -> tuple[str, float, int]:
-    return obj, round(float(eps), 4), int(n_outputs)
+    # half up on the decimal form, as Spark rounds
+    return obj, float(Decimal(repr(float(eps))).quantize(Decimal("0.0001"), ROUND_HALF_UP)), int(n_outputs)
 
 
 def collect_mechanisms(cells: DataFrame) -> dict[tuple[str, float, int], Quantised]:

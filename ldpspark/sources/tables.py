@@ -46,17 +46,11 @@ def save_runs(df: DataFrame, root: str) -> None:
     """Write privatised rows under their run key. A run that is already there is replaced, so a repeated job does not
     double its rows; other runs stay.
 
-    The rows of one input split go to one file per run key: no shuffle, and a file is about as large as the
-    split it came from. Open writers instead of a sort while the run keys are few.
+    Rows are rebalanced by run key: adaptive execution splits large runs and joins small ones to partitions of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so the number of files follows the bytes, not splits times runs.
     """
-    spark = df.sparkSession
-    name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "64")
-    try:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root)
-    finally:
-        spark.conf.set(name, before)
+    sized = df.hint("rebalance", *[F.col(c) for c in PARTITIONS])
+    sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root)
 
 
 def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

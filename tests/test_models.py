@@ -206,8 +206,9 @@ def test_rows_by_id(spark):
     raw = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     ids = spark.createDataFrame([(2,)], "k int")
     assert [tuple(r) for r in lookup.select_by_ids(raw, ids, "k").collect()] == [(2, "b")]
-    with pytest.raises(KeyError):
-        lookup.select_by_ids(raw, spark.createDataFrame([(3,)], "k int"), "k")
+    for absent in (3, None):
+        with pytest.raises(Exception, match="lacks an id"):
+            lookup.select_by_ids(raw, spark.createDataFrame([(absent,)], "k int"), "k").collect()
 
 
 @pytest.mark.parametrize("model", train.MODELS)

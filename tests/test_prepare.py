@@ -38,9 +38,16 @@ def test_exact_split_size(spark, n, size):
 
 def test_exact_split_ignores_bucket_width(spark, monkeypatch):
     df = ids(spark, 3000)
-    first = split.exact_cut(df, row_key("k"))
-    monkeypatch.setattr(split, "prefix_digits", lambda rows, bucket_rows=0: 3)
-    assert split.exact_cut(df, row_key("k")) == first
+    first = split.exact_split(df, row_key("k"))
+    monkeypatch.setattr(split, "CUT_DIGITS", 1)
+    second = split.exact_split(df, row_key("k"))
+    assert first.exceptAll(second).isEmpty() and second.where("split = 'test'").count() == 600
+
+
+def test_exact_split_refuses_a_tie_at_the_cut(spark):
+    df = ids(spark, 100).select((F.col("k") % 3).alias("k"))
+    with pytest.raises(ValueError, match="unique"):
+        split.exact_split(df, row_key("k"))
 
 
 def test_batches_drop_the_incomplete_one(spark):
@@ -119,6 +126,12 @@ def test_codes_by_literal_and_by_join_agree(spark, monkeypatch):
     coded = encode.ordinal_encode(df, "v", large, "code")
     got = sorted((r["k"], int(r["code"])) for r in coded.select("k", "code").collect())
     assert got == want
+    assert coded.schema["code"].dataType == encode.ordinal_encode(df, "v", small, "code").schema["code"].dataType
+    wide = [encode.one_hot_categorical(df, ["v"], {"v": c}) for c in (small, large)]
+    assert wide[0].columns == wide[1].columns and wide[0].exceptAll(wide[1]).isEmpty()
+    large = encode.categories(df, "v", train)
+    ones = sorted(map(tuple, encode.one_hot_sparse(df, ["k"], ["v"], {"v": large}).collect()))
+    assert ones == [(k, "v", code) for k, code in want if code >= 0]
     back = encode.decode(coded.where("code >= 0"), "code", large, "again")
     assert back.where("v <> again").count() == 0
     assert encode.unknown_values(df, "v", large).count() == encode.unknown_values(df, "v", small).count()
