@@ -213,6 +213,91 @@ def linear_wide(spark, sf):
     return beta_rows(spark, train.train_linear(rows.where(is_train()), features, "y", train.TrainConfig("linear", epochs=3)), features)
 
 
+# ---------------------------------------------------------------- missing cells
+
+X64 = tuple(f"x{k}" for k in range(64))
+
+
+def _holes_sql(label: str) -> str:
+    """Vectors with keyed gaps in features and label."""
+    cols = ", ".join(f"CASE WHEN (vec_id * 31 + {k}) % 997 <> 0 THEN CAST(embedding[{k + 1}] AS DOUBLE) END AS x{k}" for k in range(64))
+    source = f"SELECT vec_id, {q.split(q.text('vec_id'))} AS split, {cols}, CASE WHEN vec_id % 101 <> 3 THEN label END AS label FROM embeddings"
+    return scaled_sql(source, "vec_id", X64, label)
+
+
+def _with_holes(spark, sf):
+    gaps = {f"x{k}": F.when((F.col("vec_id") * 31 + k) % 997 != 0, F.col(f"x{k}")) for k in range(64)}
+    return scaled(vector_table(spark, sf, 64).withColumns(gaps | {"label": F.when(F.col("vec_id") % 101 != 3, F.col("label"))}), X64)
+
+
+def _linear_holes_sql(steps: int) -> str:
+    # a missing cell drops the products it is in, as a zero does
+    zeros = ", ".join(f"coalesce({c}, 0.0e0) AS {c}" for c in (*X64, "y"))
+    return f"""WITH {_holes_sql('label / 10.0e0')}, filled AS MATERIALIZED (SELECT exp, vec_id, split, {zeros} FROM data),
+      x AS MATERIALIZED ({ts.long_x('filled', 'vec_id', X64, "split = 'train'")}),
+      y AS MATERIALIZED (SELECT exp, vec_id AS id, 0 AS c, y FROM filled WHERE split = 'train'),
+      {ts.train_ctes('linear', steps)} {beta_sql(f'beta_{steps}', X64)}"""
+
+
+@query("linear_wide_nulls", _linear_holes_sql(3))
+def linear_wide_nulls(spark, sf):
+    """Missing cells on the numpy path: each drops its own products, and rows keep counting."""
+    rows = _with_holes(spark, sf).withColumn("y", F.col("label") / 10.0)
+    return beta_rows(spark, train.train_linear(rows.where(is_train()), X64, "y", train.TrainConfig("linear", epochs=3)), X64)
+
+
+def _row_holes_sql(model: str, label: str, y: str, steps: int) -> str:
+    # gradients skip rows with a gap; the row counts do not
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in X64)
+    return f"""WITH {_holes_sql(label)}, x AS MATERIALIZED ({ts.long_x('data', 'vec_id', X64, f"split = 'train' AND {whole}")}),
+      y AS MATERIALIZED ({y}), {ts.train_ctes(model, steps)} {beta_sql(f'beta_{steps}', X64)}"""
+
+
+@query(
+    "logistic_wide_nulls",
+    _row_holes_sql(
+        "logistic",
+        "CASE WHEN label >= 5 THEN 1.0e0 WHEN label < 5 THEN 0.0e0 END",
+        "SELECT exp, vec_id AS id, 0 AS c, y FROM data WHERE split = 'train'",
+        2,
+    ),
+)
+def logistic_wide_nulls(spark, sf):
+    rows = _with_holes(spark, sf).withColumn("y", (F.col("label") >= 5).cast("double"))
+    return beta_rows(spark, train.train_logistic(rows.where(is_train()), X64, "y", train.TrainConfig("logistic", epochs=2)), X64)
+
+
+@query(
+    "softmax_wide_nulls",
+    _row_holes_sql(
+        "softmax",
+        "label",
+        """SELECT d.exp, d.vec_id AS id, c.c, CASE WHEN d.y = c.v THEN 1.0e0 WHEN d.y <> c.v THEN 0.0e0 END AS y FROM data d,
+          (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS c FROM (SELECT DISTINCT y AS v FROM data WHERE split = 'train' AND y IS NOT NULL)) c
+          WHERE d.split = 'train'""",
+        2,
+    ),
+)
+def softmax_wide_nulls(spark, sf):
+    df = _with_holes(spark, sf)
+    coded = encode.ordinal_encode(df, "label", encode.categories(df, "label", is_train()), "y", unknown=None)
+    return beta_rows(spark, train.train_softmax(coded.where(is_train()), X64, "y", train.TrainConfig("softmax", epochs=2)), X64)
+
+
+@query(
+    "softmax_minibatch",
+    f"""WITH {scaled_sql(vectors_raw(4), 'vec_id', X64[:4], 'label')}, {train_xy('vec_id', X64[:4], class_y(10))},
+      batches AS (SELECT exp, vec_id AS id, row_number() OVER (ORDER BY {q.h(4, 'epoch0', q.text('vec_id'))}) - 1 AS n, count(*) OVER () AS total FROM data WHERE split = 'train'),
+      {ts.train_ctes('softmax', 2, batch=_batch_rows)} {beta_sql('beta_2', X64[:4])}""",
+)
+def softmax_minibatch(spark, sf):
+    """Two batches of one epoch."""
+    features = list(X64[:4])
+    rows = vector_data(spark, sf, 4).where(is_train())
+    cfg = train.TrainConfig("softmax", epochs=1, batch_size=rows.count() // 2, seed=4)
+    return beta_rows(spark, train.train_softmax(rows, features, "y", cfg, row_key("vec_id")), features)
+
+
 # ---------------------------------------------------------------- many models at once
 
 DOC_RUNS = pm_grid(eps=(1.0, 3.0), t=(3.0,), modes=("none",), seeds=(0, 1))
@@ -277,12 +362,13 @@ DOC_NAMES = " ".join(
 )
 
 
-def _compare_logistic_sql() -> str:
+def _compare_logistic_sql(lr: float = 0.05, epochs: int = 3, named: str = "") -> str:
+    last = f"beta_{epochs}"
     tests = ts.long_x("data", "doc_id", DOC_FEATURES, "split = 'test'")
     eps = " ".join(f"WHEN {n} THEN {q.d(r.eps)}" for n, r in enumerate(DOC_RUNS, start=1))
     seeds = " ".join(f"WHEN {n} THEN {r.seed}" for n, r in enumerate(DOC_RUNS, start=1))
-    return f"""WITH {DOC_STACK}, {train_xy('doc_id', DOC_FEATURES)}, {ts.train_ctes('logistic', 3)},
-      tx AS ({tests}), pr AS (SELECT exp, id, p AS score FROM ({ts.predictions('logistic', 'beta_3', 'tx')})),
+    return f"""WITH {DOC_STACK}, {train_xy('doc_id', DOC_FEATURES)}, {ts.train_ctes('logistic', epochs, lr=lr)},
+      tx AS ({tests}), pr AS (SELECT exp, id, p AS score FROM ({ts.predictions('logistic', last, 'tx')})),
       sc AS MATERIALIZED (SELECT pr.exp, pr.score, r.quality AS y FROM pr JOIN raw r ON r.doc_id = pr.id),
       au AS (SELECT exp, auc FROM ({ts.auc_sql('sc', 'exp')})),
       yo AS ({ts.youden_sql('sc', 'exp')}),
@@ -290,7 +376,7 @@ def _compare_logistic_sql() -> str:
       one AS (SELECT au.exp, round_even(acc, 3) AS acc, round_even(auc, 3) AS auc FROM au JOIN ac ON ac.exp = au.exp),
       named AS (SELECT CASE exp {eps} END AS eps, CASE exp {seeds} END AS seed, 'LDP-PM(T3)' AS variant, acc, auc FROM one WHERE exp > 0
         UNION ALL SELECT e.eps, s.seed, 'Full', acc, auc FROM one, (VALUES (1.0e0), (3.0e0)) e(eps), (VALUES (0), (1)) s(seed) WHERE exp = 0)
-    SELECT 'docs' AS dataset, eps, eps AS label_eps, 'none' AS mode, variant, round(avg(acc), 4) AS "Accuracy", round(avg(auc), 4) AS "AUC"
+    SELECT {named}'docs' AS dataset, eps, eps AS label_eps, 'none' AS mode, variant, round(avg(acc), 4) AS "Accuracy", round(avg(auc), 4) AS "AUC"
     FROM named GROUP BY eps, variant"""
 
 
@@ -304,6 +390,26 @@ def compare_logistic(spark, sf):
     return evaluate.wide_report(means, ["Accuracy", "AUC"], keys)
 
 
+GRID = [(lr, n) for lr in (0.05, 0.5) for n in (1, 3)]
+
+
+@query(
+    "train_grid",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_compare_logistic_sql(lr, n, f'-1 AS batch_size, {q.d(lr)} AS learning_rate, {n} AS epochs, ')})" for lr, n in GRID
+    ),
+)
+def train_grid(spark, sf):
+    """Learning rates and epochs over all budgets and seeds; the data are profiled and privatised once."""
+    cfg = cmp.CompareConfig(train.TrainConfig("logistic"))
+    scores = cmp.training_grid(
+        docs_raw(spark, sf), DOC_SET, DOC_RUNS, cfg, learning_rates=sorted({lr for lr, _ in GRID}), epochs=sorted({n for _, n in GRID})
+    )
+    keys = ["batch_size", "learning_rate", "epochs", "dataset", "eps", "label_eps", "mode", "variant"]
+    means = scores.groupBy(*keys, "metric").agg(F.round(F.avg("value"), 4).alias("value"))
+    return evaluate.wide_report(means, ["Accuracy", "AUC"], keys)
+
+
 # prices around 1, so that clipped parameters do not saturate
 LINEAR_SET = Dataset("orders", ("o_orderkey",), "price", ("day", "o_custkey"))
 LINEAR_RUNS = [
@@ -388,14 +494,77 @@ def compare_linear(spark, sf):
 VECTOR_RUNS = [*pm_grid(eps=(3.0,), modes=("categorical",), seeds=(0, 1)), *qm_grid("vectors", eps=(3.0,), n_values=(7,), seeds=(0, 1))]
 
 
-@query("compare_softmax")
+# a class that no train row has
+UNSEEN = 10
+
+
+def _compare_softmax_sql() -> str:
+    vec = q.text("vec_id")
+    rare = f"CASE WHEN split = 'test' AND vec_id % 17 = 0 THEN {UNSEEN} ELSE label END"
+    seeds = (0, 1)
+    fits = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in (*X64, "label"))
+    # randomised response to another class of the train labels
+    noisy = [
+        f"""rr{s} AS MATERIALIZED (SELECT r.* EXCLUDE (label), CASE WHEN split = 'test' THEN r.label ELSE o.v END AS label FROM
+          (SELECT *, {q.u(q.h(s, 'de', vec, 'label'), 0)} AS u0, {q.u(q.h(s, 'de', vec, 'label'), 1)} AS u1 FROM raw LEFT JOIN cls ON label = v, (SELECT count(*) AS k FROM cls)) r
+          LEFT JOIN cls o ON o.code = CASE WHEN u0 > exp(3.0e0) / (exp(3.0e0) + k - 1) THEN (r.code + 1 + CAST(floor(u1 * (k - 1)) AS BIGINT)) % k ELSE r.code END)"""
+        for s in seeds
+    ]
+    copies = " UNION ALL ".join(
+        [f"SELECT 0 AS exp, vec_id, split, {', '.join(X64)}, CAST(label AS DOUBLE) AS y FROM raw"]
+        + [pm_copy_sql(r, n, f"rr{r.seed}", "vec_id", X64, "CAST(label AS DOUBLE)") for n, r in enumerate(VECTOR_RUNS[:2], start=1)]
+    )
+    fit = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in X64)
+    cols = ", ".join(f"{q.minmax(c, f'lo_{c}', f'hi_{c}', -3.0, 3.0)} AS {c}" for c in X64)
+    quantised = " UNION ALL ".join(
+        f"SELECT {3 + s} AS exp, vec_id, split, {f} AS f, {q.minmax(c, f'lo_{c}', f'hi_{c}')} AS v, {q.u(q.h(s, 'qm', vec, c))} AS u FROM raw, lim"
+        for s in seeds
+        for f, c in enumerate((*X64, "label"), start=1)
+    )
+    keys = "exp, vec_id, split, f"
+    return f"""WITH {q.qm_tables(3.0, 7, 2)}, raw AS MATERIALIZED (SELECT * REPLACE ({rare} AS label) FROM ({vectors_raw(64)})),
+      lim AS MATERIALIZED (SELECT {fits} FROM raw WHERE split = 'train'),
+      cls AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT label AS v FROM raw WHERE split = 'train')),
+      {', '.join(noisy)},
+      stacked AS MATERIALIZED ({copies}), fit AS (SELECT exp AS fexp, {fit} FROM stacked WHERE split = 'train' GROUP BY exp),
+      wide AS MATERIALIZED (SELECT exp, vec_id, split, {cols}, y FROM stacked JOIN fit ON fexp = exp),
+      qr AS MATERIALIZED ({quantised}), qp AS MATERIALIZED ({q.qm_probability('qr', keys, 7)}),
+      qs AS MATERIALIZED ({q.qm_sample('qr', keys, 7)}),
+      qa AS (SELECT {keys}, CAST(min(pos) - 3 AS INTEGER) AS idx FROM (SELECT *, max(p) OVER (PARTITION BY {keys}) AS best FROM qp) WHERE p = best GROUP BY {keys}),
+      allx AS MATERIALIZED ({ts.long_x('wide', 'vec_id', X64)} UNION ALL SELECT exp, vec_id, f, CAST(idx AS DOUBLE) FROM qs WHERE f <= 64 AND split = 'train'
+        UNION ALL SELECT exp, vec_id, f, CAST(idx AS DOUBLE) FROM qa WHERE f <= 64 AND split = 'test'
+        UNION ALL SELECT 3 + s, vec_id, 0, 1.0e0 FROM raw, (VALUES (0), (1)) AS s(s)),
+      labels AS MATERIALIZED (SELECT exp, vec_id AS id, split, y FROM wide UNION ALL
+        SELECT exp, vec_id, split, (idx + 3) / 6.0e0 * (hi_label - lo_label) + lo_label FROM qs, lim WHERE f = 65 AND split = 'train'),
+      cc AS MATERIALIZED (SELECT exp, v, CAST(row_number() OVER (PARTITION BY exp ORDER BY v) - 1 AS INTEGER) AS c FROM (SELECT DISTINCT exp, y AS v FROM labels WHERE split = 'train')),
+      y AS MATERIALIZED (SELECT l.exp, l.id, cc.c, CASE WHEN l.y = cc.v THEN 1.0e0 ELSE 0.0e0 END AS y FROM labels l JOIN cc ON cc.exp = l.exp WHERE split = 'train'),
+      x AS MATERIALIZED (SELECT a.* FROM allx a SEMI JOIN (SELECT vec_id AS id FROM raw WHERE split = 'train') t ON t.id = a.id),
+      tx AS MATERIALIZED (SELECT a.* FROM allx a SEMI JOIN (SELECT vec_id AS id FROM raw WHERE split = 'test') t ON t.id = a.id),
+      {ts.train_ctes('softmax', 3)},
+      truth AS (SELECT vec_id AS id, coalesce(code, -1) AS t FROM raw LEFT JOIN cls ON label = v WHERE split = 'test'),
+      pr AS MATERIALIZED (SELECT p.exp, p.id, p.c, p.p, t.t FROM ({ts.predictions('softmax', 'beta_3', 'tx')}) p JOIN truth t ON t.id = p.id WHERE p.exp > 0 OR t.t <> -1),
+      best AS (SELECT exp, id, min(t) AS t, arg_max(c, (p, -c)) AS pred FROM pr GROUP BY exp, id),
+      ac AS (SELECT exp, avg(CASE WHEN pred = t THEN 1.0e0 ELSE 0.0e0 END) AS acc FROM best GROUP BY exp),
+      sc AS (SELECT exp, c, p AS score, CASE WHEN t = c THEN 1 ELSE 0 END AS y FROM pr),
+      au AS (SELECT exp, avg(auc) AS auc FROM ({ts.auc_sql('sc', 'exp, c')}) GROUP BY exp),
+      one AS (SELECT ac.exp, round_even(acc, 3) AS acc, round_even(auc, 3) AS auc FROM ac JOIN au ON au.exp = ac.exp),
+      named AS (SELECT CASE WHEN exp <= 2 THEN 'categorical' ELSE 'linear' END AS mode, CASE WHEN exp <= 2 THEN 'LDP-PM(T3)' ELSE 'LDP-QM' END AS variant, acc, auc FROM one WHERE exp > 0
+        UNION ALL SELECT mode, 'Full', acc, auc FROM one, (VALUES ('categorical'), ('linear')) AS m(mode) WHERE exp = 0)
+    SELECT 'vectors' AS dataset, 3.0e0 AS eps, 3.0e0 AS label_eps, mode, variant, round(avg(acc), 4) AS "Accuracy", round(avg(auc), 4) AS "AUC_macro" FROM named GROUP BY mode, variant"""
+
+
+@query("compare_softmax", _compare_softmax_sql())
 def compare_softmax(spark, sf):
-    """Randomised response and quantised labels against raw ones, 10 classes; checked in the tests."""
-    features = tuple(f"x{k}" for k in range(4))
-    vectors = vector_table(spark, sf, 4).drop("split")
-    ds = Dataset("vectors", ("vec_id",), "label", features)
+    """Randomised response and quantised labels against raw ones: 64 features, ten classes, and one class that only test
+    rows have. Raw models leave its rows out, private ones count them as wrong."""
+    vectors = vector_table(spark, sf, 64)
+    unseen = (F.col("split") == "test") & (F.col("vec_id") % 17 == 0)
+    vectors = vectors.withColumn("label", F.when(unseen, F.lit(UNSEEN)).otherwise(F.col("label"))).drop("split")
     cfg = cmp.CompareConfig(train.TrainConfig("softmax", epochs=3))
-    return cmp.mean_report(cmp.compare(vectors, ds, VECTOR_RUNS, cfg), "softmax")
+    scores = cmp.compare(vectors, Dataset("vectors", ("vec_id",), "label", X64), VECTOR_RUNS, cfg)
+    keys = ["dataset", "eps", "label_eps", "mode", "variant"]
+    means = scores.groupBy(*keys, "metric").agg(F.round(F.avg("value"), 4).alias("value"))
+    return evaluate.wide_report(means, ["Accuracy", "AUC_macro"], keys)
 
 
 # ---------------------------------------------------------------- scoring

@@ -182,7 +182,8 @@ def pm_missing_values(spark, sf):
 
 # ---------------------------------------------------------------- randomised response
 
-_KEEP5 = response.keep_probability(1.0, 5)
+# probability to keep the category, of 5 at budget 1
+_KEEP5 = "exp(1.0e0) / (exp(1.0e0) + 4)"
 EVENT_CODES = f"""c AS (SELECT event_type AS v, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)),
       n AS (SELECT event_id, event_type, code, {noise_columns(0, 'de', EVENT, 'event_type')} FROM events JOIN c ON event_type = v)"""
 
@@ -196,7 +197,7 @@ def _events(spark, sf):
     "de_reference",
     f"""WITH {EVENT_CODES}
     SELECT event_id, event_type, c.v AS noisy FROM n JOIN c
-      ON c.code = CASE WHEN u0 > {q.d(_KEEP5)} THEN CAST(floor(u1 * 5) AS BIGINT) ELSE n.code END""",
+      ON c.code = CASE WHEN u0 > {_KEEP5} THEN CAST(floor(u1 * 5) AS BIGINT) ELSE n.code END""",
 )
 def de_reference(spark, sf):
     events, cats = _events(spark, sf)
@@ -207,7 +208,7 @@ def de_reference(spark, sf):
     "de_strict",
     f"""WITH {EVENT_CODES}
     SELECT event_id, event_type, c.v AS noisy FROM n JOIN c
-      ON c.code = CASE WHEN u0 > {q.d(_KEEP5)} THEN (n.code + 1 + CAST(floor(u1 * 4) AS BIGINT)) % 5 ELSE n.code END""",
+      ON c.code = CASE WHEN u0 > {_KEEP5} THEN (n.code + 1 + CAST(floor(u1 * 4) AS BIGINT)) % 5 ELSE n.code END""",
 )
 def de_strict(spark, sf):
     events, cats = _events(spark, sf)
@@ -218,7 +219,7 @@ def de_strict(spark, sf):
     "de_nullable",
     f"""WITH n AS (SELECT c_custkey, CASE WHEN {q.u(q.h(7, 'null', q.text('c_custkey'), 'code'))} >= 0.2e0 THEN c_nationkey END AS code,
         {noise_columns(0, 'de', q.text('c_custkey'), 'code')} FROM customer)
-    SELECT c_custkey, code, CASE WHEN code IS NULL THEN NULL WHEN u0 > {q.d(response.keep_probability(2.0, 25))}
+    SELECT c_custkey, code, CASE WHEN code IS NULL THEN NULL WHEN u0 > exp(2.0e0) / (exp(2.0e0) + 24)
       THEN CAST(floor(u1 * 25) AS INTEGER) ELSE code END AS noisy FROM n""",
 )
 def de_nullable(spark, sf):

@@ -251,14 +251,14 @@ def label_range(spark, sf):
 def _ordinal_sql(table_name: str, key: str, column: str) -> str:
     return f"""WITH s AS (SELECT {key}, {column}, {q.split(q.text(key))} AS split FROM {table_name}),
       c AS (SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS code FROM (SELECT DISTINCT {column} FROM s WHERE split = 'train'))
-    SELECT {key}, split, {column}, CAST(coalesce(code, -1) AS INTEGER) AS code FROM s LEFT JOIN c ON {column} = v"""
+    SELECT {key}, split, {column}, CAST(coalesce(code, -1) AS BIGINT) AS code FROM s LEFT JOIN c ON {column} = v"""
 
 
 def _ordinal(spark, sf, name, key, column):
     df = split.hash_split(table(spark, sf, name).select(key, column), row_key(key))
     cats = encode.categories(df, column, is_train())
     out = encode.ordinal_encode(df, column, cats, "code")
-    return out.select(key, "split", column, F.col("code").cast("int").alias("code"))
+    return out.select(key, "split", column, "code")
 
 
 @query("ordinal_encode", _ordinal_sql("part", "p_partkey", "p_name"))

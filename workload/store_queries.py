@@ -66,7 +66,7 @@ def metadata_store(spark, sf):
 
 @query("csv_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def csv_roundtrip(spark, sf):
-    """Header and inferred types on read; a missing label column would be an error."""
+    """Header and given types on read; a missing label column would be an error."""
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     path = scratch_path(spark, "csv")
     tables.save_csv(table(spark, sf, "orders").select(*columns), path)
@@ -74,6 +74,17 @@ def csv_roundtrip(spark, sf):
     return tables.read_csv(spark, path, "o_totalprice", schema)
 
 
+@query(
+    "csv_inferred",
+    """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""",
+)
+def csv_inferred(spark, sf):
+    """Types as read from the values."""
+    path = scratch_path(spark, "csv")
+    tables.save_csv(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), path)
+    return tables.read_csv(spark, path, "o_totalprice")
+
+
 @query("score_store", f"""WITH s AS ({SCORE_ROWS}) SELECT variant, round_even(avg(rmse), 3) AS "RMSE", round_even(avg(mae), 3) AS "MAE", 64 AS batch_size FROM s GROUP BY variant""")
 def score_store(spark, sf):
     """Scores appended, averaged from the store, and the mean table appended to the summary."""
