@@ -12,7 +12,6 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from ..operators.profile import nan_to_null, numeric_columns, quoted, usable_fea
 from ..operators.scale import model_range
 from ..operators.split import is_test
 from ..operators.train import ABSENT_BIAS, TrainConfig, train
+from ..session import scratch_path
 from .config import Dataset, Run
 from .privatise import Fitted, dataset_key, fit_dataset, label_metadata, prepare, privatise
 
@@ -200,7 +200,7 @@ def compare(
 
 def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[CompareConfig], privatised, catalog_path):
     """One table of scores per configuration. They differ in training only, so the rows are profiled, privatised,
-    stacked and scaled once and cached for all of them."""
+    stacked once, for all of them."""
     cfg = next((p for p in points if p.train.batch_size > 0), points[0])
     prepared = prepare(raw, dataset)
     categorical = any(r.mode == "categorical" for r in runs)
@@ -218,20 +218,20 @@ def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[Compare
         check_same_ids(prepared, privatised, dataset.key)
 
     stacked = stack(prepared, privatised, dataset, features, experiments)
-    stacked = stacked.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ready, label_mean = fitted_columns(stacked, features, experiments, numeric_label, cfg.n_outputs)
-        key = F.concat_ws("-", *[quoted(c).cast("string") for c in dataset.key])
-        for point in points:
-            if point.model == "softmax":
-                scores = _softmax(ready, features, experiments, point, key)
-            else:
-                scores = _numeric(ready, features, experiments, point, key, fitted, label_mean)
-            # a handful of rows per model: keep them, so that the cached rows can go
-            rows = [(r["exp"], r["metric"], r["value"]) for r in scores.collect()]
-            yield _named(raw.sparkSession, rows, dataset, experiments, METRICS[point.model].values())
-    finally:
-        stacked.unpersist()
+    # written once: wide projections are planned and run a single time, and the rows outlive an executor
+    path = scratch_path(raw.sparkSession, "stacked")
+    stacked.write.parquet(path)
+    stacked = raw.sparkSession.read.parquet(path)
+    ready, label_mean = fitted_columns(stacked, features, experiments, numeric_label, cfg.n_outputs)
+    key = F.concat_ws("-", *[quoted(c).cast("string") for c in dataset.key])
+    for point in points:
+        if point.model == "softmax":
+            scores = _softmax(ready, features, experiments, point, key)
+        else:
+            scores = _numeric(ready, features, experiments, point, key, fitted, label_mean)
+        # a handful of rows per model
+        rows = [(r["exp"], r["metric"], r["value"]) for r in scores.collect()]
+        yield _named(raw.sparkSession, rows, dataset, experiments, METRICS[point.model].values())
 
 
 def _of_models(rows: DataFrame, betas: dict) -> DataFrame:
@@ -336,7 +336,7 @@ def training_grid(
     """Scores over a grid of hyper-parameters.
 
     The data are privatised, profiled and scaled once; each point then trains all runs (budgets, resolutions, seeds)
-    together on the cached rows.
+    together on the stacked rows.
     """
     grid = list(product(batch_sizes, learning_rates, epochs))
     points = [replace(cfg, train=replace(cfg.train, batch_size=b, learning_rate=lr, epochs=n)) for b, lr, n in grid]
