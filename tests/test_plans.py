@@ -269,3 +269,13 @@ def test_probability_interpolation_is_unbiased_over_a_grid():
     index, a1, x, p = window_matrix(2.0, 9, 3)
     assert np.allclose([sum(i * a1 * p[k][j] for k, i in enumerate(index)) for j in range(len(x))], x)
     assert max(max(r) / min(r) for r in p) <= math.e**2 + 1e-9
+
+
+def test_an_infeasible_mechanism_is_not_stored(spark):
+    cells = mechanism.design(spark.createDataFrame([(1.0, 5)], "eps double, n_outputs int"), ["avg"])
+    root = scratch_path(spark, "t-catalog")
+    with pytest.raises(ValueError, match="infeasible"):
+        catalog.store(cells.withColumn("p", F.when(F.col("i") == 1, F.col("p") * 1.2).otherwise(F.col("p"))), root)
+    assert catalog.read_catalog(spark, root).isEmpty()
+    catalog.store(cells, root)
+    assert catalog.read_catalog(spark, root).count() == cells.count()
