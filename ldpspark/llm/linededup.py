@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     at the same place of two of them is one occurrence. Other columns pass through; ``n_lines`` and ``n_removed``
     replace columns of that name.
     """
-    covered = F.array_distinct(F.flatten(F.transform(F.collect_list("at"), lambda i: F.sequence(i, i + WINDOW - 1))))
+    covered = F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + WINDOW - 1))))
     cuts = repeats(docs.select("doc_id", "text")).groupBy("doc_id", "__text").agg(covered.alias("__covered"))
     cuts = settle(cuts.select(F.col("doc_id").alias("__doc"), F.col("__text").alias("__body"), "__covered"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
