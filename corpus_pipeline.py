@@ -39,16 +39,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, ids, n_tokens, intact``: token ids, and whether they decode to the text."""
-    seen = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    ids = bpe.encode(seen, keep=("doc_id", "lang", "source", "text_sha256"))
-    return bpe.decode(ids).select(
-        "doc_id",
-        "lang",
-        "source",
-        "ids",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("intact"),
-    )
+    found = bpe.encode(docs, keep=("doc_id", "lang", "source"), intact="intact")
+    return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "intact")
 
 
 STAGES: list[tuple[str, Stage]] = [

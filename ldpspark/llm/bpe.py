@@ -12,7 +12,7 @@ import base64
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -159,18 +159,45 @@ class Encoder:
             yield part
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+class Decoder:
+    """Bytes of token ids; lives in one Python worker."""
+
+    def __init__(self, path: str):
+        self.tokens = {rank: token for token, rank in ranks(path).items()}
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def gives(self, ids: array, text: str) -> bool:
+        """Do the ids decode to the text? PART of them are decoded at a time."""
+        data = memoryview(text.encode())
+        done = 0
+        for start in range(0, len(ids), PART):
+            part = self.decode(ids[start : start + PART])
+            if data[done : done + len(part)] != part:
+                return False
+            done += len(part)
+        return done == len(data)
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), intact: str | None = None
+) -> DataFrame:
     """The ``keep`` columns and ``ids`` (array of int) of each ``text``, as if without special tokens.
 
-    A NULL or empty text has no ids (an empty array). Repeated rows are encoded each; columns outside ``keep`` are not
-    read, and ``keep`` may not hold ``ids``.
+    With ``intact``, a boolean column of that name says whether the ids decode to the text; the worker that encodes a
+    text also decodes it, so the bytes need not travel. A NULL or empty text has no ids (an empty array) and is intact.
+    Repeated rows are encoded each; columns outside ``keep`` are not read, and ``keep`` may hold neither ``ids`` nor
+    the name of the new column.
     """
     place = path or public_tokenizers.path(VOCABULARY)
-    if "ids" in keep:
-        raise ValueError("a kept column may not be called ids")
+    added = ["ids"] if intact is None else ["ids", intact]
+    if len({*keep, *added}) < len(keep) + len(added):
+        raise ValueError(f"kept columns may not be called {' or '.join(added)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(place)
+        decoder = Decoder(place) if intact is not None else None
         for batch in batches:
             done = 0
             for texts in portions(batch.column(len(keep))):
@@ -178,12 +205,16 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
                 flat = pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in ids]))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 rows = batch.slice(done, len(texts)).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.ListArray.from_arrays(ends, flat)], [*keep, "ids"])
+                found = [pa.ListArray.from_arrays(ends, flat)]
+                if decoder is not None:
+                    found.append(pa.array(map(decoder.gives, ids, texts), pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*rows, *found], [*keep, *added])
                 done += len(texts)
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    return chosen.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
+    kinds = ("array<int>", "boolean")
+    return chosen.mapInArrow(run, ", ".join([*fields, *[f"`{c}` {kind}" for c, kind in zip(added, kinds)]]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -193,12 +224,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in ranks(place).items()}
+        decoder = Decoder(place)
         for batch in batches:
             data = []
             for ids in batch.column(at):
                 values = ids.values
-                data.append(None if values is None else b"".join(map(table.__getitem__, values.to_numpy().tolist())))
+                data.append(None if values is None else decoder.decode(values.to_numpy().tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*names, "decoded"])
 
     fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names]

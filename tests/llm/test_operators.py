@@ -213,6 +213,21 @@ def test_bpe_equals_tiktoken_and_comes_back(spark):
     assert bpe.round_trip(empty(spark)).count() == 0
 
 
+def test_bpe_tells_whether_ids_come_back(spark, monkeypatch):
+    docs, rows = corpus(spark)
+    got = bpe.encode(docs.withColumn("fits", F.lit(0)), keep=("doc_id",), intact="fits").collect()
+    assert len(got) == len(rows) and all(r.fits for r in got)
+    monkeypatch.setattr(bpe, "PART", 3)
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    decoder, text = bpe.Decoder(path), "Straße and more 中文 words"
+    ids = bpe.Encoder(path).encode([text])[0]
+    assert decoder.gives(ids, text) and decoder.gives(ids[:0], "")
+    assert not decoder.gives(ids[:-1], text) and not decoder.gives(ids, text[:-1]) and not decoder.gives(ids[::-1], text)
+    for keep in (("doc_id", "ids"), ("doc_id", "fits")):
+        with pytest.raises(ValueError):
+            bpe.encode(docs.withColumn("ids", F.lit(0)), keep=keep, intact="fits")
+
+
 def test_bpe_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(bpe, "PART", 50)
     encoder = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY))
