@@ -29,6 +29,14 @@ def effective_epsilon(eps: float, k: int) -> float:
     return math.log(1.0 + k * math.exp(eps) / (k - 1)) if k > 1 else 0.0
 
 
+def keep_probability_column(eps: Column, k: Column) -> Column:
+    return F.exp(eps) / (F.exp(eps) + k - 1)
+
+
+def effective_epsilon_column(eps: Column, k: Column) -> Column:
+    return F.when(k > 1, F.log(1.0 + k * F.exp(eps) / (k - 1))).otherwise(0.0)
+
+
 def respond_index(
     output: str,
     index: Column,

@@ -14,9 +14,9 @@ from .encode import Categories, decode, ordinal_encode
 from .profile import quoted
 from .scale import PRIVATE_RANGE, Stats, linear_map, min_max
 
-# A mechanism table of at most this many rows is broadcast; a larger one is joined by shuffle (AQE splits
-# the partitions of a budget that many rows share).
-BROADCAST_ROWS = 500_000
+# A mechanism table of at most this many outputs in all (three 8-byte values each, so 24 MB) is broadcast; a larger
+# one is joined by shuffle (AQE splits the partitions of a budget that many rows share).
+BROADCAST_OUTPUTS = 1_000_000
 
 
 def scaled(column: str, s: Stats) -> Column:
@@ -138,9 +138,10 @@ def segments(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that the table is small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def bounded_broadcast(mechanism_segments: DataFrame, most: int = BROADCAST_OUTPUTS) -> DataFrame:
+    """Broadcast hint only after counting that all arrays of the table together are small."""
+    held = mechanism_segments.agg(F.sum(F.size("outputs"))).first()[0] or 0
+    return F.broadcast(mechanism_segments) if held <= most else mechanism_segments
 
 
 def sample_by_budget(

@@ -244,21 +244,18 @@ _KEEP_SQL = ", ".join(
 )
 def de_keep_rates(spark, sf):
     """What the redraw-from-all form really spends on a column of the table."""
-    part = table(spark, sf, "part")
-    k = encode.categories(part, "p_brand").size
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(e).alias("eps"),
-                F.lit(k).alias("k"),
-                F.round(F.lit(response.keep_probability(e, k)), 9).alias("p_keep"),
-                F.round(F.lit(response.effective_epsilon(e, k)), 9).alias("effective_eps"),
-            )
-            for e in (1.0, 3.0, 5.0)
-        ]
+    counted = table(spark, sf, "part").agg(
+        F.count_distinct("p_brand").cast("int").alias("k"), F.count(F.lit(1)).alias("n_rows")
+    )
+    budgets = F.array(*[F.lit(e) for e in (1.0, 3.0, 5.0)])
+    eps, k = F.col("eps"), F.col("k")
+    return counted.withColumn("eps", F.explode(budgets)).select(
+        "eps",
+        "k",
+        "n_rows",
+        F.round(response.keep_probability_column(eps, k), 9).alias("p_keep"),
+        F.round(response.effective_epsilon_column(eps, k), 9).alias("effective_eps"),
     )
-    counted = part.agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.select("n_rows", F.explode(pairs).alias("x")).select("x.eps", "x.k", "n_rows", "x.p_keep", "x.effective_eps")
 
 
 # ---------------------------------------------------------------- quantised mechanism
