@@ -1,9 +1,10 @@
 """Approximate nearest neighbours with shifted space-filling curves.
 
 Unit vectors are projected to a few dimensions, shifted, and ordered along a Hilbert curve; several curves use different
-projections and shifts, so neighbours that one curve tears apart are close on another. Each curve is range-partitioned
-and ranked in Spark and cut into blocks of a fixed number of rows. A query visits the blocks in a window around its own
-rank on every curve; the candidates found are merged and ranked by the exact measure on the original vectors.
+projections and shifts, so neighbours that one curve tears apart are close on another. Equal vectors collapse to one
+point first. Each curve is range-partitioned and ranked in Spark and cut into blocks of a fixed number of points. A query
+visits the blocks in a window around its own rank on every curve; the candidates found are merged and ranked by the exact
+measure on the original vectors.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from ldpspark.operators.ordered import prefix_sums
 from ldpspark.session import settle
 
 
+# queries that are compared with a block at once
+PART = 512
+
+
 @dataclass(frozen=True)
 class Curves:
     """``share`` is how much of the curve a query sees to each side of its block. Vectors without structure, as random
@@ -28,7 +33,10 @@ class Curves:
     dim: int = 64
     curves: int = 14
     axes: int = 8
+    # bits of an axis that cut the bulk of unstructured vectors, and further ones that tell apart what shares such a
+    # cell, down to where the cosine in double precision sees no difference
     bits: int = 7
+    fine: int = 25
     rows: int = 512
     share: float = 0.03
     seed: int = 0
@@ -37,7 +45,8 @@ class Curves:
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Position along the Hilbert curve of integer cells (rows x axes), by the transposed-axes method of J. Skilling."""
+    """Position along the Hilbert curve of integer cells (rows x axes), by the transposed-axes method of J. Skilling, as
+    big-endian bytes (rows x bytes)."""
     x = [c.copy() for c in cells.T.astype(np.int64)]
     q = 1 << (bits - 1)
     while q > 1:
@@ -55,25 +64,25 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     while q > 1:
         flip = np.where((x[-1] & q) != 0, flip ^ (q - 1), flip)
         q >>= 1
-    key = np.zeros_like(x[0])
-    for bit in range(bits - 1, -1, -1):
-        for axis in x:
-            key = (key << 1) | (((axis ^ flip) >> bit) & 1)
-    return key
+    key = [((axis ^ flip) >> bit) & 1 for bit in range(bits - 1, -1, -1) for axis in x]
+    return np.packbits(np.stack(key, axis=1).astype(np.uint8), axis=1)
 
 
-def curve_keys(unit: np.ndarray, spec: Curves) -> np.ndarray:
-    """Keys (curves x rows). A coordinate of a random unit vector has deviation 1/sqrt(dim): three of them to each side
-    fill the grid, and the shift moves the grid by up to half of that."""
+def curve_keys(unit: np.ndarray, spec: Curves) -> list[np.ndarray]:
+    """Keys (rows x bytes) of each curve. A coordinate of a random unit vector has deviation 1/sqrt(dim): three of them
+    to each side fill the middle cell of the grid, and the shift moves the grid by up to half of that. The cells around
+    it take coordinates up to 1, so none is clipped; finer bits follow the same curve inside a cell."""
     rng = np.random.default_rng(spec.seed)
     reach = 3 / np.sqrt(spec.dim)
-    out = np.empty((spec.curves, len(unit)), np.int64)
-    for curve in range(spec.curves):
+    # middle-sized cells to each side, as a power of two
+    outer = max(0, int(np.ceil(np.log2(1 + 1 / reach)))) + 1
+    bits = outer + spec.bits + spec.fine
+    out = []
+    for _ in range(spec.curves):
         basis = np.linalg.qr(rng.normal(size=(spec.dim, spec.dim)))[0][:, : spec.axes]
-        shift = rng.random(spec.axes)
-        place = ((unit @ basis) / reach + 1 + shift) / 3
-        cells = np.clip(place * (1 << spec.bits), 0, (1 << spec.bits) - 1).astype(np.int64)
-        out[curve] = hilbert(cells, spec.bits)
+        shift = rng.random(spec.axes)[: basis.shape[1]]
+        place = ((unit @ basis) / reach + 1 + shift) / 3 + (1 << (outer - 1))
+        out.append(hilbert((place * (1 << (spec.bits + spec.fine))).astype(np.int64), bits))
     return out
 
 
@@ -98,18 +107,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def nearest_of(
-    queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int
+    queries: np.ndarray, block: np.ndarray, ids: np.ndarray, point: np.ndarray, k: int
 ) -> Iterator[tuple[int, int, float]]:
-    """The k nearest of a block for each query (unit rows), by exact score, then smaller id; own id left out."""
-    rough = queries @ block.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    n = min(k, len(ids))
-    floor = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n] - 1e-9
-    for row, query_id in enumerate(query_ids):
-        at = np.nonzero((rough[row] >= floor[row]) & (rough[row] > -np.inf))[0]
-        score = (block[at] * queries[row]).sum(axis=1)
-        for i in np.lexsort((ids[at], -score))[:n]:
-            yield int(query_id), int(ids[at[i]]), float(score[i])
+    """``(query row, id, score)``: the k nearest ids of a block for each query (unit rows), by exact score, then smaller
+    id. ``ids`` are carried by the block's rows ``point``; an id carried by several counts once, with its best score."""
+    order = np.argsort(ids, kind="stable")
+    ids, point = ids[order], point[order]
+    starts = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
+    n = min(k, len(starts))
+    for first in range(0, len(queries), PART):
+        part = queries[first : first + PART]
+        rough = part @ block.T
+        by_id = np.maximum.reduceat(rough[:, point], starts, axis=1)
+        floor = np.partition(by_id, len(starts) - n, axis=1)[:, len(starts) - n] - 1e-9
+        for row in range(len(part)):
+            at = np.nonzero(rough[row, point] >= floor[row])[0]
+            score = (block[point[at]] * part[row]).sum(axis=1)
+            seen: set[int] = set()
+            for i in np.lexsort((ids[at], -score)):
+                found = int(ids[at[i]])
+                if found not in seen:
+                    seen.add(found)
+                    yield first + row, found, float(score[i])
+                    if len(seen) == n:
+                        break
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, spec: Curves = Curves()) -> DataFrame:
@@ -118,62 +139,77 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, spec: Curves = Curv
 
     Vectors that are NULL, zero, of another dimension or hold a NULL or non-finite component take no part, nor do rows
     without ``vec_id``. Rows with a query's ``vec_id`` are its own and no candidates; of several vectors with one
-    ``vec_id`` the best score counts. Fewer candidates than ``k`` give fewer rows. Other columns are not read.
+    ``vec_id`` the best score counts. Fewer candidates than ``k`` give fewer rows. Vectors of equal direction are one
+    point, which carries its ``k + 1`` smallest ``vec_id``; no query can need more. Other columns are not read.
     """
     dim, kind = spec.dim, vectors.schema["vec_id"].dataType.simpleString()
-    seen = usable(vectors.withColumn("__query", is_query).select("vec_id", "embedding"), dim)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = curve_keys(_unit(np.stack(pdf["embedding"].to_numpy())), spec) if len(pdf) else np.empty((spec.curves, 0), np.int64)
-            yield pd.DataFrame(
-                {
-                    "curve": np.repeat(np.arange(spec.curves, dtype=np.int32), len(pdf)),
-                    "key": found.ravel(),
-                    "vec_id": np.tile(pdf["vec_id"].to_numpy(), spec.curves),
-                }
-            )
+    seen = usable(vectors.select("vec_id", "embedding"), dim)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [x.tobytes() for x in _unit(np.stack(pdf["embedding"].to_numpy()))] if len(pdf) else []
+            # + 0.0 makes one zero of both
+            rows = [x.tobytes() for x in _unit(np.stack(pdf["embedding"].to_numpy())) + 0.0] if len(pdf) else []
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "unit": rows})
 
-    keyed = seen.mapInPandas(keys, f"curve int, key bigint, vec_id {kind}").withColumn("one", F.lit(1).cast("bigint"))
-    ranked = settle(prefix_sums(keyed, ["curve"], [F.col("key"), F.col("vec_id")], {"one": "n"}))
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = curve_keys(_matrix(pdf["unit"], dim), spec) if len(pdf) else []
+            for curve, key in enumerate(found):
+                yield pd.DataFrame({"curve": np.int32(curve), "key": [x.tobytes() for x in key], "point": pdf["point"]})
+
+    # a point is known by the 128-bit digest of its vector
+    units = seen.mapInPandas(pack, f"vec_id {kind}, unit binary").withColumn("point", F.unhex(F.md5("unit")))
+    units = settle(units.distinct())
+    nth = F.row_number().over(Window.partitionBy("point").orderBy("vec_id"))
+    points = units.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("point").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("unit").alias("unit")
+    )
+    points = settle(points)
+    keyed = points.select("point", "unit").mapInPandas(keys, "curve int, key binary, point binary")
+    keyed = keyed.withColumn("one", F.lit(1).cast("bigint"))
+    ranked = settle(prefix_sums(keyed, ["curve"], [F.col("key"), F.col("point")], {"one": "n"}))
     # the window in blocks, the same for all curves
-    n = ranked.where("curve = 0").count()
+    n = points.count()
     reach = int(np.ceil(spec.share * n / spec.rows))
     last = max(0, -(-n // spec.rows) - 1)
     salts = max(1, -(-n * (2 * reach + 1) // max(1, last + 1) // spec.queries))
-    places = ranked.groupBy("vec_id").agg(
+    places = ranked.groupBy(F.col("point").alias("placed")).agg(
         F.collect_set(F.struct("curve", F.floor(F.col("n_before") / spec.rows).cast("int").alias("block"))).alias("places")
     )
-    units = seen.mapInPandas(pack, f"vec_id {kind}, unit binary").distinct()
-    held = settle(units.join(places.withColumnRenamed("vec_id", "id"), F.col("vec_id") == F.col("id")).drop("id"))
-    spots = held.select("vec_id", "unit", F.explode("places").alias("p")).select("vec_id", "unit", "p.*")
-    asked = spots.where(is_query)
+    asking = settle(units.select("vec_id", "point").where(is_query).select(F.col("vec_id").alias("query_id"), "point"))
+    asked_points = asking.select(F.col("point").alias("asks")).distinct()
+    held = points.join(places, F.col("point") == F.col("placed")).drop("placed")
+    held = held.join(asked_points, F.col("point") == F.col("asks"), "left").withColumn("asks", F.col("asks").isNotNull())
+    held = settle(held)
+    spots = held.select("point", "ids", "unit", "asks", F.explode("places").alias("p")).select("point", "ids", "unit", "asks", "p.*")
     around = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(last)))
-    asked = asked.select("vec_id", "unit", "curve", F.explode(around).alias("block")).withColumn(
-        "salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")
+    asked = spots.where("asks").select("point", "unit", "curve", F.explode(around).alias("block")).withColumn(
+        "salt", F.pmod(F.xxhash64("point"), F.lit(salts)).cast("int")
     )
-    base = spots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    base = spots.select("ids", "unit", "curve", "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in columns})
-        found = nearest_of(
-            _matrix(left["unit"], dim), left["vec_id"].to_numpy(), _matrix(right["unit"], dim), right["vec_id"].to_numpy(), k
-        )
-        return pd.DataFrame(list(found), columns=columns)
+            return pd.DataFrame({c: [] for c in ("point", "vec_id", "score")})
+        ids = right["ids"].to_numpy()
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        found = list(nearest_of(_matrix(left["unit"], dim), _matrix(right["unit"], dim), np.concatenate(ids), owner, k + 1))
+        row, vec_id, score = zip(*found)
+        return pd.DataFrame({"point": left["point"].to_numpy()[list(row)], "vec_id": vec_id, "score": score})
 
     cell = ["curve", "block", "salt"]
     pairs = asked.groupBy(*cell).cogroup(base.groupBy(*cell)).applyInPandas(
-        meet, f"query_id {kind}, vec_id {kind}, score double"
+        meet, f"point binary, vec_id {kind}, score double"
     )
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    nearest = [F.col("score").desc(), F.col("vec_id")]
+    near = pairs.groupBy("point", "vec_id").agg(F.max("score").alias("score"))
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("point").orderBy(*nearest))).where(F.col("nth") <= k + 1)
+    # the query's own id is among the first k + 1 of its point, or none of them is
+    lists = near.groupBy(F.col("point").alias("of")).agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    answers = asking.join(lists, F.col("point") == F.col("of")).select("query_id", F.explode("near").alias("c"))
+    best = answers.select("query_id", "c.*").where(F.col("vec_id") != F.col("query_id"))
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(*nearest)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

@@ -353,6 +353,38 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert ann.search(df.where("vec_id in (0, 3)"), F.col("vec_id") == 0).count() == 1
 
 
+def test_neighbours_inside_a_tight_group(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x[1::3] = x[1] + 0.00004 * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0, spec=ann.Curves(rows=64)).collect()
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    hits, asked = Counter(), Counter()
+    for q in range(0, 6000, 50):
+        d = ((u - u[q]) ** 2).sum(1)
+        d[q] = 9
+        asked[q % 3 == 1] += 5
+        hits[q % 3 == 1] += len(set(np.argsort(d)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert asked[True] == 200 and all(hits[g] >= 0.9 * asked[g] for g in asked)
+
+
+def test_neighbours_of_equal_vectors_are_the_smallest_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 64))
+    x[300:] = x[7]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(3, x[400 + k].tolist()) for k in range(2)] + [(1300, x[3].tolist())]
+    # one id with many vectors must not crowd out the others
+    rows += [(2, (x[7] + 1e-6 * rng.normal(size=64)).tolist()) for _ in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.search(df, F.col("vec_id").isin(3, 7, 500, 1300), spec=ann.Curves(rows=64)).collect()
+    near = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (3, 7, 500, 1300)}
+    assert near[7] == [3, 300, 301, 302, 303] and near[500] == [3, 7, 300, 301, 302]
+    assert near[3] == [7, 300, 301, 302, 303] or near[3][:1] == [7] and 1300 in near[3]
+    assert near[1300][0] == 3 and len(near[1300]) == 5
+
+
 # ------------------------------------------------------------------ URLs
 
 
