@@ -164,12 +164,16 @@ def with_statistics(docs: DataFrame, path: str) -> DataFrame:
 
 
 def script(text: str) -> Column:
-    """The script of the first letter that has one; ``other`` without any."""
-    first = F.regexp_extract(text, "(" + "|".join(p for _, p in SCRIPTS) + ")", 1)
-    named = F.lit("other")
-    for name, pattern in reversed(SCRIPTS):
-        named = F.when(F.regexp_like(first, F.lit(pattern)), name).otherwise(named)
-    return F.coalesce(named, F.lit("other"))
+    """The script of most letters of the whole text, of equal counts the first in SCRIPTS; ``other`` without any letter.
+    Letters are counted only where there are others than those of the first script."""
+    (first, own), *others = SCRIPTS
+    letters = [F.length(F.regexp_replace(text, f"[^{pattern[1:-1]}]+", "")) for _, pattern in SCRIPTS]
+    most = F.greatest(*letters)
+    named = F.lit(first)
+    for (name, _), n in reversed(list(zip(SCRIPTS, letters))):
+        named = F.when(n == most, name).otherwise(named)
+    foreign = F.regexp_like(text, F.lit("[" + "".join(pattern[1:-1] for _, pattern in others) + "]"))
+    return F.when(foreign, named).when(F.regexp_like(text, F.lit(own)), first).otherwise("other")
 
 
 def judge(bands: Mapping[str, Band] = BANDS) -> Column:

@@ -158,6 +158,33 @@ def test_scripts(spark):
     assert [r[0] for r in df.select(quality.script("text")).collect()] == ["latin", "cyrillic", "cjk", "other", "other"]
 
 
+def test_script_is_that_of_most_letters(spark):
+    rows = [("Google привет мир, как дела",), ("Ω is a letter",), ("aб",), ("бa",), ("Web 안녕하세요 여러분",), ("Samsung 中文字中文字中",), ("\n", )]
+    df = spark.createDataFrame(rows, "text string")
+    want = ["cyrillic", "latin", "latin", "latin", "hangul", "latin", "other"]
+    assert [r[0] for r in df.select(quality.script("text")).collect()] == want
+
+
+def test_documents_that_open_with_another_script_are_kept(spark):
+    rnd = random.Random(9)
+    words = {
+        "greek": "το σπίτι στέκεται πάνω στον λόφο και πολλοί άνθρωποι από την πόλη έρχονται να δουν θάλασσα όταν βρέχει ψωμί ξύλο γη",
+        "arabic": "يقع البيت الكبير على التل ويأتي كثير من الناس المدينة لرؤية البحر في الصيف عندما تشرق شمس ذهبية خضراء غدا ظل ضوء حجر طريق قصة",
+        "hangul": "큰 집은 언덕 위에 있고 많은 사람들이 도시에서 여름에 바다를 보러 온다 비가 오면 나무 아래에서 노래를 부른다",
+        "devanagari": "बड़ा घर पहाड़ी पर है और बहुत से लोग शहर से गर्मी में समुद्र देखने आते हैं जब बारिश होती तो पेड़ के नीचे गाना गाते",
+    }
+    rows = []
+    for k, text in enumerate(words.values()):
+        body = " ".join(rnd.choice(text.split()) for _ in range(150))
+        rows += [(2 * k, body, None, "s", 1), (2 * k + 1, "Google " + body, None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    for k, name in enumerate(words):
+        assert got[2 * k].script == got[2 * k + 1].script == name
+        assert got[2 * k].kept and got[2 * k + 1].kept
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(8))
+
+
 # ------------------------------------------------------------------ lines
 
 
