@@ -1,8 +1,8 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash runs over the bytes of each text. Places where the text may be cut are the ends of words (and, in
-text without blanks, places with a rare hash); it is cut where the hash is lowest among its neighbours. Cuts depend only
-on nearby bytes, so an insertion moves chunks but does not change them. Chunks with equal digests are the same passage:
+text without blanks, places that the hash picks about as often); it is cut where the hash is lowest among its neighbours.
+Cuts depend only on nearby bytes, so an insertion moves chunks but does not change them. Chunks with equal digests are the same passage:
 the first occurrence (by ``doc_id``, then place) stays, runs of later ones that are long enough are cut out.
 """
 
@@ -27,8 +27,13 @@ REACH = 16
 NEIGHBOURS = 4
 # one byte in so many is a cutting place inside a word, on average
 RARE = 256
-# a run of repeated chunks counts from so many words on
+# from so many bytes after a blank on, a text counts as unspaced: there the hash picks one in so many places between ASCII
+# characters, and one in so many before a longer character, so that places are about as dense as the ends of words
+UNSPACED = 48
+PICK_ASCII, PICK_WIDE = 6, 2
+# a run of repeated chunks counts from so many words on, or from so many bytes for each of these words
 MIN_WORDS = 20
+WORD_BYTES = 12
 GEAR = np.random.default_rng(2024).integers(1, 1 << 32, 256, dtype=np.uint32)
 GEAR[0] = 0
 BLANKS = np.zeros(256, bool)
@@ -45,6 +50,13 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def unspaced(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """Places at least UNSPACED bytes after the last blank or start of a text, without the last byte before the next."""
+    edges = np.nonzero(blank | (data == 0))[0]
+    long = np.nonzero(np.diff(edges) > UNSPACED + 1)[0]
+    return np.concatenate([np.empty(0, np.int64), *[np.arange(a + UNSPACED, b - 1) for a, b in zip(edges[long], edges[long + 1])]])
+
+
 def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Chunks of all texts: text number, start and end in the joined data, words before each, offset of the text.
 
@@ -61,6 +73,12 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     inside = np.append((data[1:] & 0xC0) != 0x80, False)
     candidate = (blank & ~blank_next) | (~blank & ~blank_next & inside & (h % RARE == RARE - 1) & (data != 0))
     at = np.nonzero(candidate)[0]
+    more = unspaced(data, blank)
+    if len(more):
+        wide = data[more + 1] >= 0xC0
+        # the upper bits, which all REACH bytes have a part in
+        picked = (h[more] >> 16) % np.where(wide, PICK_WIDE, PICK_ASCII).astype(np.uint32) == 0
+        at = np.union1d(at, more[picked & inside[more] & ~blank_next[more]])
     owner = np.searchsorted(starts, at, side="right") - 1
     valid = at < ends[owner] - 1
     at, owner = at[valid], owner[valid]
@@ -129,7 +147,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text_key, start, stop, n_words, kept_doc_id``: byte ranges of later occurrences, one row each.
 
     ``doc_id`` is an integer. ``kept_doc_id`` is the document with the first occurrence of the range's first chunk. Runs
-    of fewer than ``min_words`` words are left alone. NULL and empty texts have no chunks. A NULL ``doc_id`` comes before
+    of fewer than ``min_words`` words are left alone, unless they have WORD_BYTES bytes for each of these words: text
+    without blanks has hardly any words. NULL and empty texts have no chunks. A NULL ``doc_id`` comes before
     all others. Rows with the same ``doc_id`` count as one document, and rows with the same text too give their ranges
     once. Other columns are not read.
     """
@@ -148,7 +167,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         (F.max("word_stop") - F.min("word_start")).cast("bigint").alias("n_words"),
         F.min_by("kept_doc_id", "at").alias("kept_doc_id"),
     )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "text_key", "start", "stop", "n_words", "kept_doc_id")
+    enough = (F.col("n_words") >= min_words) | (F.col("stop") - F.col("start") >= WORD_BYTES * min_words)
+    return spans.where(enough).select("doc_id", "text_key", "start", "stop", "n_words", "kept_doc_id")
 
 
 def dedup_text(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -514,6 +514,39 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert chunks.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_repeated_unspaced_text_is_found_and_cut(spark):
+    rnd = random.Random(10)
+    kinds = {
+        "cjk": "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(400)),
+        "thai": "".join(chr(rnd.randint(0xE01, 0xE2E)) for _ in range(40)),
+        "code": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    }
+    rows, size = [], 600
+    for k, pool in enumerate(kinds.values()):
+        some = lambda n: "".join(rnd.choice(pool) for _ in range(n))  # noqa: E731, B023
+        passage, whole = some(size), some(5000)
+        rows += [(10 * k, some(700) + passage + some(300)), (10 * k + 1, some(450) + passage + some(800))]
+        rows += [(10 * k + 2, whole), (10 * k + 3, whole), (10 * k + 4, some(2000))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    got = chunks.repeated_spans(docs).collect()
+    assert {r.doc_id for r in got} == {10 * k + d for k in range(3) for d in (1, 3)}
+    cut = {r.doc_id: r.text for r in chunks.dedup_text(docs).collect()}
+    for r in got:
+        span = texts[r.doc_id].encode()[r.start : r.stop].decode()
+        assert r.kept_doc_id == r.doc_id - 1 and span in texts[r.kept_doc_id]
+    for k in range(3):
+        assert cut[10 * k + 3] == "" and len(cut[10 * k + 1]) < 450 + 800 + size / 3
+        assert all(cut[10 * k + d] == texts[10 * k + d] for d in (0, 2, 4))
+
+
+def test_spaced_text_is_cut_as_before():
+    rnd = random.Random(11)
+    text = prose(rnd, 3000).encode()
+    data = np.frombuffer(text, np.uint8)
+    assert not len(chunks.unspaced(data, chunks.BLANKS[data]))
+
+
 # ------------------------------------------------------------------ pipeline
 
 
