@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, chunks, linededup, mixing, negatives, quality, resample, simhash, urlfilter, warc
+from . import ann, bpe, chat, chunks, linededup, minhash, mixing, negatives, quality, resample, simhash, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -315,3 +315,11 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 def op13_hard_negatives(spark, sf):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+# ------------------------------------------------------------------ MinHash
+
+
+@query("op12_minhash")
+def op12_minhash(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
