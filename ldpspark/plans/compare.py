@@ -23,6 +23,7 @@ from ..operators.scale import model_range
 from ..operators.split import is_test
 from ..operators.train import ABSENT_BIAS, TrainConfig, train
 from ..session import scratch_path
+from ..sources import runstore
 from .config import Dataset, Run
 from .privatise import Fitted, dataset_key, fit_dataset, label_metadata, prepare, privatise
 
@@ -33,6 +34,10 @@ METRICS = {
 }
 
 
+# how many runs an error message names
+MAX_NAMED = 3
+
+
 @dataclass(frozen=True)
 class CompareConfig:
     train: TrainConfig = field(default_factory=TrainConfig)
@@ -68,20 +73,52 @@ def plan_experiments(runs: Sequence[Run], cfg: CompareConfig) -> list[Experiment
 
 
 def check_same_ids(raw: DataFrame, privatised: DataFrame, keys: Sequence[str]) -> None:
-    """Every stored run must hold every raw id once, and no other id. A run that is not stored at all is no error here.
+    """Every given run must hold every raw id once, and no other id. A run that is not there at all is no error here.
 
-    Both tables are counted per id before one shuffle; nothing is joined.
+    Both tables are counted per id before one shuffle; nothing is joined. Runs of a store are checked by the sums of its
+    manifest instead, without a look at their rows.
     """
     columns = [quoted(c) for c in keys]
-    sides = raw.select(*columns, F.lit(1).alias("__raw"), F.lit(None).cast("int").alias("__run")).unionByName(
-        privatised.select(*columns, F.lit(0).alias("__raw"), F.col("run").cast("int").alias("__run"))
+    sides = raw.select(*columns, F.lit(1).alias("__raw"), F.lit(None).cast("string").alias("__run")).unionByName(
+        privatised.select(*columns, F.lit(0).alias("__raw"), F.col("run_id").alias("__run"))
     )
     counts = sides.groupBy(*columns).agg(F.sum("__raw").alias("__raw"), F.count("__run").alias("__rows"))
-    runs = F.lit(privatised.select("run").distinct().count())
+    runs = F.lit(privatised.select("run_id").distinct().count())
     if not counts.where((F.col("__raw") != 1) | (F.col("__rows") != runs)).isEmpty():
         raise KeyError(f"raw and privatised rows do not have the same {', '.join(keys)} in every run")
 
 
+def by_run_key(privatised: DataFrame, dataset: Dataset, runs: Sequence[Run]) -> DataFrame:
+    """``run``, the number in ``runs``, from the full run key of the rows. Rows of a run that is not listed are an error."""
+    ids = [runstore.run_id(dataset.name, r) for r in runs]
+    tagged = privatised if "run_id" in privatised.columns else privatised.withColumn("run_id", runstore.run_id_column())
+    strangers = tagged.select("run_id").distinct().where(~F.col("run_id").isin(ids))
+    if not strangers.isEmpty():
+        one = tagged.join(strangers, "run_id", "left_semi").select(*runstore.RUN_COLUMNS).first()
+        raise KeyError(f"stored rows of a run that is not among the runs to compare: {one.asDict()}")
+    return numbered(tagged, ids)
+
+
+def numbered(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
+    # one row for each run of the grid
+    numbers = rows.sparkSession.createDataFrame(list(zip(ids, range(len(ids)))), "__id string, run int")
+    return rows.drop("run").join(F.broadcast(numbers), F.col("run_id") == F.col("__id")).drop("__id")
+
+
+def from_store(prepared: DataFrame, dataset: Dataset, runs: Sequence[Run], root: str) -> DataFrame:
+    """The rows of the listed runs from a store, checked against the raw ids. Other runs of the store are not opened."""
+    spark = prepared.sparkSession
+    ids = [runstore.run_id(dataset.name, r) for r in runs]
+    listed = runstore.manifest(spark, root, dataset=dataset.name).where(F.col("run_id").isin(ids)).collect()
+    if not listed:
+        raise KeyError(f"none of the runs is stored under {root}")
+    wrong = runstore.differing_keys(prepared, listed, dataset.key)
+    if wrong:
+        names = [{c: r[c] for c in runstore.RUN_COLUMNS} for r in wrong[:MAX_NAMED]]
+        raise KeyError(f"{len(wrong)} stored runs do not hold the raw {', '.join(dataset.key)}: {names}")
+    return numbered(runstore.read_runs(spark, root, listed), ids)
+
+
 def stack(
     raw: DataFrame, privatised: DataFrame, dataset: Dataset, features: Sequence[str], experiments: Sequence[Experiment]
 ) -> DataFrame:
@@ -186,19 +223,21 @@ def compare(
     runs: Sequence[Run],
     cfg: CompareConfig,
     *,
+    store: str | None = None,
     privatised: DataFrame | None = None,
     catalog_path: str | None = None,
 ) -> DataFrame:
     """Long scores (dataset, eps, label_eps, seed, variant, mode, metric, value), rounded to 3 decimals.
 
-    ``privatised`` takes rows stored by an earlier job (they must carry ``run``); otherwise they are made here. A run
-    without rows or without a defined metric keeps its row with NULL, and the other runs keep their scores.
+    ``store`` names a run store, ``privatised`` gives rows with their run columns; otherwise they are made here. Stored rows
+    belong to a run by its full key, in whatever order. A run without rows or without a defined metric keeps its row with
+    NULL, and the other runs keep their scores.
     """
-    (scores,) = _scores(raw, dataset, runs, [cfg], privatised, catalog_path)
+    (scores,) = _scores(raw, dataset, runs, [cfg], store, privatised, catalog_path)
     return scores
 
 
-def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[CompareConfig], privatised, catalog_path):
+def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[CompareConfig], store, privatised, catalog_path):
     """One table of scores per configuration. They differ in training only, so the rows are profiled, privatised,
     stacked once, for all of them."""
     cfg = next((p for p in points if p.train.batch_size > 0), points[0])
@@ -210,12 +249,15 @@ def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[Compare
         list(dataset.features) if dataset.features is not None else usable_features(prepared, dataset.label, dataset.key)
     )
     experiments = plan_experiments(runs, cfg)
-    if privatised is None:
+    if store is not None:
+        privatised = from_store(prepared, dataset, runs, store)
+    elif privatised is not None:
+        privatised = by_run_key(privatised, dataset, runs)
+        check_same_ids(prepared, privatised, dataset.key)
+    else:
         privatised = privatise(
             prepared, fitted, runs, catalog_path=catalog_path, response_mode=cfg.response_mode, null_policy=cfg.null_policy
         )
-    else:
-        check_same_ids(prepared, privatised, dataset.key)
 
     stacked = stack(prepared, privatised, dataset, features, experiments)
     # written once: wide projections are planned and run a single time, and the rows outlive an executor
@@ -330,6 +372,7 @@ def training_grid(
     batch_sizes: Sequence[int] = (-1,),
     learning_rates: Sequence[float] = (0.05,),
     epochs: Sequence[int] = (5,),
+    store: str | None = None,
     privatised: DataFrame | None = None,
     catalog_path: str | None = None,
 ) -> DataFrame:
@@ -342,6 +385,6 @@ def training_grid(
     points = [replace(cfg, train=replace(cfg.train, batch_size=b, learning_rate=lr, epochs=n)) for b, lr, n in grid]
     tagged = [
         scores.withColumns({"batch_size": F.lit(b), "learning_rate": F.lit(lr), "epochs": F.lit(n)})
-        for (b, lr, n), scores in zip(grid, _scores(raw, dataset, runs, points, privatised, catalog_path))
+        for (b, lr, n), scores in zip(grid, _scores(raw, dataset, runs, points, store, privatised, catalog_path))
     ]
     return reduce(DataFrame.unionByName, tagged)

@@ -1,18 +1,17 @@
-"""Sources and sinks: labelled tables, run-keyed stores, label metadata, results."""
+"""Sources and sinks: labelled tables, label metadata, results. Runs are in ``runstore``."""
 
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.profile import nan_to_null, require_column
-
-RUN_COLUMNS = ("dataset", "mechanism", "mode", "eps", "t", "n_outputs", "obj", "label_eps", "label_n", "seed")
-PARTITIONS = ("dataset", "mechanism", "mode", "eps", "seed", "split")
+from .runstore import RUN_TYPES, newest, run_id_column, stamped
 
 
 def _label_checked(df: DataFrame, label: str | None) -> DataFrame:
@@ -42,65 +41,61 @@ def read_parquet(spark: SparkSession, path: str, label: str | None = None) -> Da
     return _label_checked(spark.read.parquet(path), label)
 
 
-def save_runs(df: DataFrame, root: str) -> None:
-    """Write privatised rows under their run key. A run that is already there is replaced, so a repeated job does not
-    double its rows; other runs stay.
-
-    Rows are rebalanced by run key: adaptive execution splits large runs and joins small ones to partitions of
-    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so the number of files follows the bytes, not splits times runs.
-    """
-    sized = df.hint("rebalance", *[F.col(c) for c in PARTITIONS])
-    sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root)
-
-
 def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def load_runs(spark: SparkSession, root: str, **run_key) -> DataFrame:
-    """Rows of the matching runs; partition columns prune directories."""
-    df = spark.read.parquet(root)
-    unknown = set(run_key) - set(df.columns)
-    if unknown:
-        raise ValueError(f"unknown run key columns: {sorted(unknown)}")
-    for name, value in run_key.items():
-        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
-    return df
-
-
 METADATA_SCHEMA = (
-    "dataset string, mechanism string, mode string, eps double, t double, n_outputs int, obj string, label_eps double,"
-    " label_n int, seed int, label_min double, label_max double, index_min double, index_max double"
+    ", ".join(f"{c} {kind}" for c, kind in RUN_TYPES.items())
+    + ", label_min double, label_max double, index_min double, index_max double"
 )
+BOUNDS = ("label_min", "label_max", "index_min", "index_max")
 
 
 def save_label_metadata(spark: SparkSession, rows: list[dict], root: str) -> None:
-    """Append one row per run whose numeric label was kept as LDP output."""
+    """One row per run whose numeric label was kept as LDP output. A run recorded again replaces its record."""
     names = [f.name for f in T._parse_datatype_string(METADATA_SCHEMA).fields]
     data = [tuple(r.get(n) for n in names) for r in rows]
-    spark.createDataFrame(data, METADATA_SCHEMA).coalesce(1).write.mode("append").parquet(root)
+    frame = spark.createDataFrame(data, METADATA_SCHEMA).withColumn("run_id", run_id_column())
+    stamped(frame).coalesce(1).write.mode("append").parquet(root)
+
 
+def load_label_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """The last record of each run."""
+    return newest(spark.read.parquet(root), ["run_id"])
 
-def attach_label_metadata(df: DataFrame, metadata: DataFrame, keys=RUN_COLUMNS) -> DataFrame:
-    """Left join on the run key; runs without metadata get NULL bounds, which means no inversion.
 
-    A run that was recorded more than once counts once. One row per run, a few hundred at most, so the broadcast does
-    not grow with the data.
+def attach_label_metadata(df: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Left join on the run; runs without metadata get NULL bounds, which means no inversion.
+
+    ``metadata`` is what ``load_label_metadata`` gives: one row per run, a few hundred at most, so the broadcast does not grow
+    with the data.
     """
-    shared = [k for k in keys if k in df.columns and k in metadata.columns]
-    bounds = ["label_min", "label_max", "index_min", "index_max"]
-    side = metadata.select(*[F.col(k).alias(f"__k_{k}") for k in shared], *bounds)
-    side = side.dropDuplicates([f"__k_{k}" for k in shared])
-    on: Column | None = None
-    for k in shared:
-        term = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        on = term if on is None else on & term
-    return df.join(F.broadcast(side), on, "left").drop(*[f"__k_{k}" for k in shared])
+    given = "run_id" in df.columns
+    rows = df if given else df.withColumn("run_id", run_id_column())
+    side = metadata.select(F.col("run_id").alias("__run_id"), *BOUNDS)
+    joined = rows.join(F.broadcast(side), F.col("run_id") == F.col("__run_id"), "left").drop("__run_id")
+    return joined if given else joined.drop("run_id")
+
+
+def _config_id(config) -> str:
+    values = dataclasses.asdict(config) if dataclasses.is_dataclass(config) else dict(config or {})
+    return hashlib.md5(json.dumps(values, default=str, sort_keys=True).encode()).hexdigest()
+
 
+def save_scores(scores: DataFrame, root: str, config=None) -> None:
+    """Long scores (dataset, exp, seed, variant, metric, value) under the digest of their configuration, by dataset. Scores
+    saved again replace the earlier ones."""
+    tagged = stamped(scores.withColumn("config_id", F.lit(_config_id(config))))
+    tagged.write.mode("append").partitionBy("dataset").parquet(root)
 
-def save_scores(scores: DataFrame, root: str) -> None:
-    """Append long scores (dataset, exp, seed, variant, metric, value), partitioned by dataset."""
-    scores.write.mode("append").partitionBy("dataset").parquet(root)
+
+def load_scores(spark: SparkSession, root: str, config=None) -> DataFrame:
+    """The last value of each score; of one configuration, if given."""
+    found = spark.read.parquet(root)
+    if config is not None:
+        found = found.where(F.col("config_id") == _config_id(config))
+    return newest(found, [c for c in found.columns if c not in ("value", "saved_at")]).drop("saved_at")
 
 
 def save_report(report: DataFrame, path: str) -> None:
@@ -117,8 +112,14 @@ def save_config(spark: SparkSession, config, path: str) -> None:
 
 
 def append_summary(report: DataFrame, config: dict, root: str) -> None:
-    """Append the mean table of one run with its configuration columns."""
-    df = report
-    for name, value in config.items():
-        df = df.withColumn(name, F.lit(value))
-    df.coalesce(1).write.mode("append").parquet(root)
+    """Append the mean table of one run with its configuration columns. ``load_summary`` reads the last table of each
+    configuration, so a repeated job does not double its rows."""
+    tagged = report.withColumns({name: F.lit(value) for name, value in config.items()})
+    stamped(tagged.withColumn("config_id", F.lit(_config_id(config)))).coalesce(1).write.mode("append").parquet(root)
+
+
+def load_summary(spark: SparkSession, root: str) -> DataFrame:
+    """The last mean table of each configuration."""
+    found = spark.read.option("mergeSchema", True).parquet(root)
+    last = found.groupBy("config_id").agg(F.max("saved_at").alias("saved_at"))
+    return found.join(last, ["config_id", "saved_at"], "left_semi").drop("config_id", "saved_at")

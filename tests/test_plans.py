@@ -9,7 +9,7 @@ from ldpspark.plans import compare as cmp
 from ldpspark.plans.config import Dataset, Run, pm_grid, qm_grid
 from ldpspark.plans.privatise import fit_dataset, label_metadata, prepare, privatise
 from ldpspark.session import scratch_path
-from ldpspark.sources import catalog, tables
+from ldpspark.sources import catalog, runstore, tables
 from ldpspark.streaming.privatise import privatise_stream
 from tests.test_models import brute_auc, numpy_descent
 
@@ -96,15 +96,15 @@ def test_privatised_store_and_metadata(spark):
     fitted = fit_dataset(prepared, REG)
     root = scratch_path(spark, "t-runs")
     made = privatise(prepared, fitted, runs)
-    tables.save_runs(made, root)
-    one = tables.load_runs(spark, root, dataset="people", mechanism="pm", eps=2.0, seed=1, split="train")
+    runstore.save_runs(made, root, REG.key)
+    one = runstore.load_runs(spark, root, dataset="people", mechanism="pm", eps=2.0, seed=1, split="train")
     assert "PartitionFilters: [" in one._jdf.queryExecution().executedPlan().toString()
     assert rows_of(one, "k", "a") == rows_of(made.where("mechanism = 'pm' and eps = 2.0 and seed = 1 and split = 'train'"), "k", "a")
     with pytest.raises(ValueError):
-        tables.load_runs(spark, root, colour="red")
+        runstore.load_runs(spark, root, colour="red")
     meta = scratch_path(spark, "t-meta")
     tables.save_label_metadata(spark, label_metadata(fitted, runs), meta)
-    joined = tables.attach_label_metadata(tables.load_runs(spark, root), spark.read.parquet(meta))
+    joined = tables.attach_label_metadata(runstore.load_runs(spark, root), tables.load_label_metadata(spark, meta))
     assert joined.count() == made.count()
     assert {r["mode"] for r in joined.where("index_min is null").select("mode").distinct().collect()} == {"linear"}
     ends = joined.where("mechanism = 'qm' and mode = 'index'").select("index_min", "index_max").distinct().collect()
@@ -140,8 +140,14 @@ def test_results_and_config_sinks(spark):
     scores = spark.createDataFrame([("people", "Full", "AUC", 0.5)], "dataset string, variant string, metric string, value double")
     root, report, config = (scratch_path(spark, n) for n in ("t-scores", "t-report", "t-config"))
     tables.save_scores(scores, root)
-    tables.save_scores(scores, root)
-    assert spark.read.parquet(root).count() == 2
+    tables.save_scores(scores.withColumn("value", F.lit(0.7)), root)
+    tables.save_scores(scores, root, train.TrainConfig("linear"))
+    assert sorted(r["value"] for r in tables.load_scores(spark, root).collect()) == [0.5, 0.7]
+    assert [r["value"] for r in tables.load_scores(spark, root, train.TrainConfig("linear")).collect()] == [0.5]
+    summary = scratch_path(spark, "t-summary")
+    for value, lr in ((0.1, 1), (0.2, 1), (0.3, 2)):
+        tables.append_summary(spark.createDataFrame([("Full", value)], "variant string, auc double"), {"lr": lr}, summary)
+    assert sorted(tuple(r) for r in tables.load_summary(spark, summary).collect()) == [("Full", 0.2, 1), ("Full", 0.3, 2)]
     tables.save_report(scores, report)
     assert spark.read.option("header", True).csv(report).count() == 1
     tables.save_config(spark, train.TrainConfig("linear"), config)
@@ -217,21 +223,126 @@ def test_stored_rows_give_the_same_scores(spark):
     cfg = cmp.CompareConfig(train.TrainConfig("logistic", epochs=2, batch_size=100))
     prepared = prepare(raw, ds)
     root = scratch_path(spark, "t-stored")
-    tables.save_runs(privatise(prepared, fit_dataset(prepared, ds), runs), root)
+    runstore.save_runs(privatise(prepared, fit_dataset(prepared, ds), runs), root, ds.key)
     fresh = by_variant(cmp.compare(raw, ds, runs, cfg))
-    stored = by_variant(cmp.compare(raw, ds, runs, cfg, privatised=tables.load_runs(spark, root)))
-    assert fresh == stored and len(fresh) == 8
-    grid = cmp.training_grid(raw, ds, runs[:1], cfg, learning_rates=(0.05, 0.1), epochs=(1,))
+    assert fresh == by_variant(cmp.compare(raw, ds, runs, cfg, store=root)) and len(fresh) == 8
+    kept = runstore.load_runs(spark, root)
+    for order in (runs, runs[::-1]):
+        assert fresh == by_variant(cmp.compare(raw, ds, order, cfg, privatised=kept))
+    grid = cmp.training_grid(raw, ds, runs[:1], cfg, store=root, learning_rates=(0.05, 0.1), epochs=(1,))
     assert grid.groupBy("learning_rate").count().count() == 2
-    alien = tables.load_runs(spark, root).withColumn("k", F.col("k") + 10_000)
-    kept = tables.load_runs(spark, root)
-    cut = kept.where((F.col("run") == 0) | (F.col("k") < 20))
+    alien = kept.withColumn("k", F.col("k") + 10_000)
+    cut = kept.where((F.col("seed") == 0) | (F.col("k") < 20))
     for broken in (alien, cut, kept.unionByName(kept)):
         with pytest.raises(KeyError):
             cmp.compare(raw, ds, runs, cfg, privatised=broken)
+    # rows of a run that is not asked for are refused, in a store they are left alone
+    with pytest.raises(KeyError, match="not among the runs"):
+        cmp.compare(raw, ds, runs[:1], cfg, privatised=kept)
+    single = by_variant(cmp.compare(raw, ds, runs[:1], cfg, store=root))
+    assert all(v == fresh[k] for k, v in single.items())
+    with pytest.raises(KeyError, match="none of the runs"):
+        cmp.compare(raw, ds, [Run("pm", 9.0)], cfg, store=root)
     # a run that is not there has no score; the others keep theirs
-    partial = by_variant(cmp.compare(raw, ds, runs, cfg, privatised=kept.where("run = 0")))
+    first = kept.where("seed = 0")
+    partial = by_variant(cmp.compare(raw, ds, runs, cfg, privatised=first))
     assert {k for k in fresh if partial[k] is None} and all(v in (None, fresh[k]) for k, v in partial.items())
+    more = [*runs, Run("pm", 2.0, 7, "none")]
+    assert {k: v for k, v in by_variant(cmp.compare(raw, ds, more, cfg, store=root)).items() if k[1] != 7} == fresh
+
+
+def test_budgets_are_not_exchanged_when_stored_runs_come_in_another_order(spark):
+    runs = pm_grid((0.2, 8.0), (3.0,), ("none",), (0,))
+    ds = Dataset("people", ("k",), "flag", ("a", "b"))
+    raw = people(spark).withColumn("flag", (F.col("a") > 5).cast("double"))
+    cfg = cmp.CompareConfig(train.TrainConfig("logistic", epochs=4))
+    prepared = prepare(raw, ds)
+    made = privatise(prepared, fit_dataset(prepared, ds), runs)
+    root = scratch_path(spark, "t-order")
+    runstore.save_runs(made, root, ds.key)
+    want = by_variant(cmp.compare(raw, ds, runs, cfg))
+    assert want[(0.2, 0, "none", "LDP-PM(T3)", "AUC")] != want[(8.0, 0, "none", "LDP-PM(T3)", "AUC")]
+    assert want == by_variant(cmp.compare(raw, ds, runs[::-1], cfg, store=root))
+    assert want == by_variant(cmp.compare(raw, ds, runs[::-1], cfg, privatised=made))
+
+
+def test_runs_that_differ_in_one_column_live_side_by_side(spark):
+    runs = [
+        Run("pm", 1.0),
+        Run("pm", 1.0, t=2.0),
+        Run("pm", 1.0, label_eps=2.0),
+        Run("pm", 1.0, mode="index"),
+        Run("pm", 1.0, seed=1),
+        Run("pm", 1.000001),
+        Run("qm", 1.0, n_outputs=7),
+        Run("qm", 1.0, n_outputs=15, label_n=7),
+        Run("qm", 1.0, n_outputs=7, obj="worst"),
+        Run("qm", 1.0, n_outputs=7, label_n=3),
+    ]
+    assert len({runstore.run_id("people", r) for r in runs} | {runstore.run_id("others", r) for r in runs}) == 2 * len(runs)
+    prepared = prepare(people(spark, 60), REG)
+    fitted = fit_dataset(prepared, REG)
+    root = scratch_path(spark, "t-sides")
+    for saved in (runs[:1], runs[1:], runs[:1]):
+        runstore.save_runs(privatise(prepared, fitted, saved), root, REG.key)
+    made = privatise(prepared, fitted, runs)
+    back = runstore.load_runs(spark, root)
+    columns = ("mechanism", "mode", "eps", "t", "n_outputs", "obj", "label_eps", "label_n", "seed", "k", "split", "a", "y")
+    assert rows_of(back, *columns) == rows_of(made, *columns) and back.count() == 60 * len(runs)
+    assert runstore.forget_replaced(spark, root) == 1
+    one = runstore.load_runs(spark, root, run_id=runstore.run_id("people", runs[1]))
+    assert {r["t"] for r in one.collect()} == {2.0} and one.count() == 60
+
+
+def test_an_unfinished_save_is_invisible(spark, monkeypatch):
+    prepared = prepare(people(spark, 60), REG)
+    fitted = fit_dataset(prepared, REG)
+    root = scratch_path(spark, "t-half")
+    runs = [Run("pm", 1.0), Run("pm", 2.0)]
+    runstore.save_runs(privatise(prepared, fitted, runs[:1]), root, REG.key)
+    before = rows_of(runstore.load_runs(spark, root), "k", "a", "y")
+
+    def die(df):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(runstore, "stamped", die)
+        with pytest.raises(RuntimeError):
+            runstore.save_runs(privatise(prepared, fitted, runs).withColumn("a", F.lit(0.0)), root, REG.key)
+    assert rows_of(runstore.load_runs(spark, root), "k", "a", "y") == before
+    assert runstore.forget_replaced(spark, root) == 2
+    assert runstore.load_runs(spark, root, eps=2.0).count() == 0
+    with pytest.raises(ValueError, match="no runs"):
+        runstore.load_runs(spark, scratch_path(spark, "t-none"))
+
+
+def test_a_store_is_checked_without_reading_its_rows(spark):
+    ds = Dataset("people", ("k",), "y", ("a", "b"))
+    prepared = prepare(people(spark), ds)
+    runs = [Run("pm", 1.0), Run("pm", 2.0)]
+    root = scratch_path(spark, "t-sums")
+    runstore.save_runs(privatise(prepared, fit_dataset(prepared, ds), runs), root, ds.key)
+    listed = runstore.manifest(spark, root).collect()
+    assert not runstore.differing_keys(prepared, listed, ds.key)
+    for other in (prepared.where("k <> 3"), prepared.unionByName(prepared.where("k = 3")), prepared.withColumn("k", F.col("k") + 1)):
+        assert len(runstore.differing_keys(other, listed, ds.key)) == 2
+        with pytest.raises(KeyError, match="do not hold the raw k"):
+            cmp.compare(other, ds, runs, cmp.CompareConfig(train.TrainConfig("linear", epochs=1)), store=root)
+    rows = cmp.from_store(prepared, ds, runs, root)
+    assert "Exchange hash" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_ranges_recorded_again_replace_the_old_ones(spark):
+    prepared = prepare(people(spark, 60), REG)
+    fitted = fit_dataset(prepared, REG)
+    runs = [Run("pm", 1.0, mode="index", t=t) for t in (2.0, 3.0)]
+    path = scratch_path(spark, "t-again")
+    rows = label_metadata(fitted, runs)
+    tables.save_label_metadata(spark, [r | {"label_min": -5.0} for r in rows], path)
+    tables.save_label_metadata(spark, rows[:1], path)
+    made = tables.attach_label_metadata(privatise(prepared, fitted, runs), tables.load_label_metadata(spark, path))
+    lows = {r["t"]: r["label_min"] for r in made.select("t", "label_min").distinct().collect()}
+    assert lows == {2.0: rows[0]["label_min"], 3.0: -5.0} and "run_id" not in made.columns
 
 
 def test_grids():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ldpspark.functions.rand import row_key, uniform
@@ -10,6 +12,8 @@ from ldpspark.plans import compare as cmp
 from ldpspark.plans.config import Dataset, Run, pm_grid, qm_grid
 from ldpspark.plans.privatise import fit_dataset, prepare
 from ldpspark.plans.privatise import privatise as privatise_runs
+from ldpspark.session import scratch_path
+from ldpspark.sources import runstore
 
 from . import sqltext as q
 from . import trainsql as ts
@@ -491,6 +495,17 @@ def compare_linear(spark, sf):
     return cmp.mean_report(cmp.compare(orders_raw(spark, sf), LINEAR_SET, LINEAR_RUNS, cfg), "linear")
 
 
+@query("compare_stored", _compare_linear_sql())
+def compare_stored(spark, sf):
+    """The same from a store that holds the runs in another order, and more of them."""
+    prepared = prepare(orders_raw(spark, sf), LINEAR_SET)
+    root = scratch_path(spark, "linear-runs")
+    others = [replace(r, seed=99) for r in LINEAR_RUNS[:1]]
+    runstore.save_runs(privatise_runs(prepared, fit_dataset(prepared, LINEAR_SET), [*LINEAR_RUNS[::-1], *others]), root, LINEAR_SET.key)
+    cfg = cmp.CompareConfig(train.TrainConfig("linear", epochs=5))
+    return cmp.mean_report(cmp.compare(orders_raw(spark, sf), LINEAR_SET, LINEAR_RUNS, cfg, store=root), "linear")
+
+
 VECTOR_RUNS = [*pm_grid(eps=(3.0,), modes=("categorical",), seeds=(0, 1)), *qm_grid("vectors", eps=(3.0,), n_values=(7,), seeds=(0, 1))]
 
 

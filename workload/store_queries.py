@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ldpspark.operators import evaluate
-from ldpspark.plans.config import Dataset, pm_grid
+from ldpspark.plans.config import Dataset, Run, pm_grid
 from ldpspark.plans.privatise import fit_dataset, label_metadata, prepare, privatise
 from ldpspark.session import scratch_path
-from ldpspark.sources import tables
+from ldpspark.sources import runstore, tables
 
 from . import sqltext as q
 from .model_queries import SCORE_ROWS, score_rows
@@ -23,7 +23,7 @@ def stored_runs(spark, sf) -> tuple[str, object]:
     prepared = prepare(wide_table(spark, sf, "orders"), STORE_SET)
     fitted = fit_dataset(prepared, STORE_SET)
     root = scratch_path(spark, "runs")
-    tables.save_runs(privatise(prepared, fitted, STORE_RUNS), root)
+    runstore.save_runs(privatise(prepared, fitted, STORE_RUNS), root, STORE_SET.key)
     return root, fitted
 
 
@@ -34,10 +34,51 @@ def stored_runs(spark, sf) -> tuple[str, object]:
 def run_store(spark, sf):
     """All runs written once, one run read back by its key."""
     root, _ = stored_runs(spark, sf)
-    one = tables.load_runs(spark, root, dataset="orders", mechanism="pm", mode="index", eps=3.0, seed=1, split="train")
+    one = runstore.load_runs(spark, root, dataset="orders", mechanism="pm", mode="index", eps=3.0, seed=1, split="train")
     return one.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
 
 
+# each differs from the first in one column of the run key
+TWINS = [
+    Run("pm", 1.0, 0, "index", t=3.0),
+    Run("pm", 1.0, 0, "index", t=2.0),
+    Run("pm", 1.0, 0, "index", t=3.0, label_eps=2.0),
+    Run("pm", 1.0, 0, "index", t=3.0, label_n=7),
+    Run("qm", 1.0, 0, "index", n_outputs=7, obj="avg"),
+    Run("qm", 1.0, 0, "index", n_outputs=15, obj="avg", label_n=7),
+    Run("qm", 1.0, 0, "index", n_outputs=7, obj="worst"),
+    Run("qm", 1.0, 0, "index", n_outputs=7, obj="avg", label_n=5),
+]
+
+
+def _twins_sql() -> str:
+    values = ", ".join(
+        "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else q.d(v) if isinstance(v, float) else str(v)
+                        for v in (r.mechanism, r.eps, r.t, r.n_outputs, r.obj, r.label_eps, r.label_n)) + ")"
+        for r in TWINS
+    )
+    noisy = " UNION ALL ".join(
+        f"SELECT {q.d(t)} AS t, sum(CAST(round(x * 1000) AS BIGINT)) AS checked FROM (SELECT {q.pm('v', 'u0', 'u1', 1.0, t)} AS x FROM n)" for t in (3.0, 2.0)
+    )
+    return f"""WITH {price_rows("split = 'train'", seed=0)}, sums AS ({noisy}),
+    r AS (SELECT * FROM (VALUES {values}) r(mechanism, eps, t, n_outputs, obj, label_eps, label_n))
+    SELECT r.mechanism, r.eps, r.t, r.n_outputs, r.obj, r.label_eps, r.label_n, (SELECT count(*) FROM orders) AS n_rows,
+      CAST(sums.checked AS BIGINT) AS checked FROM r LEFT JOIN sums ON sums.t = r.t"""
+
+
+@query("run_store_twins", _twins_sql())
+def run_store_twins(spark, sf):
+    """Runs that differ in one column of their key, each saved twice: all of them come back, once."""
+    prepared = prepare(wide_table(spark, sf, "orders"), STORE_SET)
+    fitted = fit_dataset(prepared, STORE_SET)
+    root = scratch_path(spark, "twins")
+    for runs in (TWINS, TWINS[::-1]):
+        runstore.save_runs(privatise(prepared, fitted, runs), root, STORE_SET.key)
+    noisy = F.when((F.col("mechanism") == "pm") & (F.col("split") == "train"), F.round(F.col("o_totalprice") * 1000).cast("bigint"))
+    keys = ["mechanism", "eps", "t", "n_outputs", "obj", "label_eps", "label_n"]
+    return runstore.load_runs(spark, root, dataset="orders").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(noisy).alias("checked"))
+
+
 _A = {e: q.pm_constants(e, 3.0)["a"] for e in (1.0, 3.0)}
 
 
@@ -54,7 +95,7 @@ def metadata_store(spark, sf):
     root, fitted = stored_runs(spark, sf)
     path = scratch_path(spark, "metadata")
     tables.save_label_metadata(spark, label_metadata(fitted, [r for r in STORE_RUNS if r.seed == 0]), path)
-    rows = tables.attach_label_metadata(tables.load_runs(spark, root), spark.read.parquet(path))
+    rows = tables.attach_label_metadata(runstore.load_runs(spark, root), tables.load_label_metadata(spark, path))
     return rows.groupBy("eps", "seed").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("label_min").alias("label_min"),
@@ -90,6 +131,6 @@ def score_store(spark, sf):
     """Scores appended, averaged from the store, and the mean table appended to the summary."""
     scores, summary = scratch_path(spark, "scores"), scratch_path(spark, "summary")
     tables.save_scores(score_rows(spark, sf).withColumn("dataset", F.lit("orders")), scores)
-    means = evaluate.seed_means(spark.read.parquet(scores).where(F.col("dataset") == "orders"))
+    means = evaluate.seed_means(tables.load_scores(spark, scores).where(F.col("dataset") == "orders"))
     tables.append_summary(evaluate.wide_report(means, ["RMSE", "MAE"]), {"batch_size": 64}, summary)
-    return spark.read.parquet(summary)
+    return tables.load_summary(spark, summary)
