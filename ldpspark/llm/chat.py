@@ -5,7 +5,8 @@ document becomes a numbered placeholder, and its reference and expanded token co
 conversation is one string; the loss mask is a list of byte ranges in it. All of it is columns: no Python per row.
 
 Control strings all begin with ``<|``. In texts and roles ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, so no text
-can hold a control string, and parsing by plain splits gives back exactly what went in.
+can hold a control string, and parsing by plain splits gives back exactly what went in. Adjacent text parts are joined
+before they are escaped: what one begins and the next one ends is no control string either.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 KINDS = ("image", "audio", "document")
+# how attachments of any other kind are written; the record keeps their kind
+OTHER = "other"
+# an attachment stands for so many tokens at most, so that sums of many fit a long
+MOST_TOKENS = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -44,48 +49,48 @@ def text_part(text: Column) -> Column:
 
 
 def _tokens(part: Column, size: Expansion) -> Column:
-    """Expanded tokens of an attachment; a missing or negative size counts as the least, one."""
-    sides = [F.ceil(F.coalesce(part[s], F.lit(0)) / F.lit(size.patch)) for s in ("width", "height")]
+    """Expanded tokens of an attachment, from 1 to MOST_TOKENS; a missing or negative size, and another kind, count 1."""
+    most = F.lit(float(MOST_TOKENS))
+    sides = [F.ceil(F.coalesce(part[s], F.lit(0)) / F.lit(size.patch)).cast("double") for s in ("width", "height")]
+    seconds = F.nanvl(F.coalesce(part["seconds"], F.lit(0.0)), F.lit(0.0))
     counts = {
-        "image": sides[0] * sides[1],
-        "audio": F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * F.lit(size.frames)),
-        "document": F.coalesce(part["pages"], F.lit(0)) * F.lit(size.page),
+        "image": F.greatest(sides[0], F.lit(0.0)) * sides[1],
+        "audio": F.least(seconds * F.lit(size.frames), most),
+        "document": F.coalesce(part["pages"], F.lit(0)).cast("double") * F.lit(size.page),
     }
-    chosen = F.lit(1)
+    chosen = F.lit(1.0)
     for kind, count in counts.items():
         chosen = F.when(part["kind"] == kind, count).otherwise(chosen)
-    return F.greatest(chosen.cast("bigint"), F.lit(1).cast("bigint"))
+    return F.ceil(F.greatest(F.least(chosen, most), F.lit(1.0))).cast("bigint")
+
+
+def _is_text(part: Column) -> Column:
+    return part["kind"].isNull() | (part["kind"] == "text")
+
+
+def _placeholder(part: Column, number: Column) -> Column:
+    kind = F.when(part["kind"].isin(*KINDS), part["kind"]).otherwise(OTHER)
+    return F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
 
 
 def visited(messages: DataFrame, size: Expansion = Expansion()) -> DataFrame:
-    """Adds ``body`` (escaped text and placeholders in order) and ``attachments``, numbered within the message."""
-    media = F.filter("parts", lambda p: p["kind"].isin(*KINDS))
-    body = F.array_join(
-        F.transform(
-            "parts",
-            lambda p, i: F.when(
-                p["kind"].isin(*KINDS),
-                F.concat(F.lit("<|"), p["kind"], F.lit(":"), i.cast("string"), F.lit("|>")),
-            ).otherwise(escape(F.coalesce(p["text"], F.lit("")))),
-        ),
-        "",
-    )
-    attached = F.filter(
-        F.transform(
-            "parts",
-            lambda p, i: F.struct(
-                i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p, size).alias("tokens")
-            ),
+    """Adds ``body`` (escaped text and placeholders in order) and ``attachments``, numbered within the message. A part
+    without kind is text; every part that is not text is an attachment."""
+    numbered = F.transform("parts", lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    # what is written, and the text since the last attachment
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+    step = lambda a, x: F.when(
+        _is_text(x["p"]), F.struct(a["done"].alias("done"), F.concat(a["text"], F.coalesce(x["p"]["text"], F.lit(""))).alias("text"))
+    ).otherwise(F.struct(F.concat(a["done"], escape(a["text"]), _placeholder(x["p"], x["i"])).alias("done"), F.lit("").alias("text")))
+    body = F.aggregate(numbered, start, step, lambda a: F.concat(a["done"], escape(a["text"])))
+    attached = F.transform(
+        F.filter(numbered, lambda x: ~_is_text(x["p"])),
+        lambda x: F.struct(
+            x["i"].alias("part"), x["p"]["kind"].alias("kind"), x["p"]["ref"].alias("ref"), _tokens(x["p"], size).alias("tokens")
         ),
-        lambda a: a["kind"].isin(*KINDS),
     )
     none = F.array().cast("array<struct<part:int,kind:string,ref:string,tokens:bigint>>")
-    return messages.withColumns(
-        {
-            "body": F.coalesce(body, F.lit("")),
-            "attachments": F.when(F.size(media) > 0, attached).otherwise(none),
-        }
-    )
+    return messages.withColumns({"body": F.coalesce(body, F.lit("")), "attachments": F.coalesce(attached, none)})
 
 
 def format_chat(messages: DataFrame, size: Expansion = Expansion(), learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
