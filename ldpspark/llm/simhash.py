@@ -8,7 +8,7 @@ exactly, pruning with the triangle bound, and each returns a spanning forest of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ SHARD = 1024
 # bounds of what the driver fits and sends to the executors: 64 Ki leaves, 16 sample points for each
 MAX_LEAVES = 1 << 16
 SAMPLE_PER_LEAF = 16
+# values of the hash that draws the sample
+DRAWS = 1 << 40
 # a shard above this size is searched in pairs of blocks
 MAX_SHARD = 1 << 17
 # below this size all distances of a shard are taken
@@ -59,16 +61,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
-    """``doc_id`` and the fingerprint of ``text`` as a signed long."""
+def with_fingerprint(docs: DataFrame, name: str = "fp", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and the fingerprint of ``text`` as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", name])
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(prints, pa.int64())], [*keep, name])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {name} bigint")
+    types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{types}, {name} bigint")
 
 
 # ------------------------------------------------------------------ the tree
@@ -199,13 +202,15 @@ def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def close_links(points: DataFrame, sample_seed: int = 0) -> DataFrame:
     """Distinct fingerprints ``(fp)`` to edges ``(u, v)`` with the same components as all pairs within RADIUS bits.
 
-    The driver sees a sample of at most ``SAMPLE_PER_LEAF * MAX_LEAVES`` points. A shard that is too large even so
+    The driver sees a sample of about ``SAMPLE_PER_LEAF`` points a leaf, those whose hash lies below a threshold, so about
+    ``SAMPLE_PER_LEAF * MAX_LEAVES`` at most. A shard that is too large even so
     (points too alike to be cut) is searched as pairs of blocks, each in a task of its own.
     """
     n = points.count()
     leaves = min(MAX_LEAVES, max(1, -(-n // SHARD)))
-    drawn = points.orderBy(F.xxhash64(F.lit(sample_seed), "fp"), "fp").limit(SAMPLE_PER_LEAF * leaves)
-    tree = Tree.fit(drawn.toPandas()["fp"].to_numpy(np.int64).view(np.uint64), leaves)
+    share = min(1.0, SAMPLE_PER_LEAF * leaves / max(1, n))
+    drawn = points.where(F.pmod(F.xxhash64(F.lit(sample_seed), "fp"), F.lit(DRAWS)) < int(share * DRAWS))
+    tree = Tree.fit(np.sort(drawn.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)), leaves)
     sent = points.sparkSession.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,6 +234,15 @@ def close_links(points: DataFrame, sample_seed: int = 0) -> DataFrame:
     return pairs.groupBy("leaf", "a", "b").applyInPandas(search, "u bigint, v bigint")
 
 
+def roots_of(prints: DataFrame) -> DataFrame:
+    """Rows with ``fp`` and ``doc_id`` to one row per fingerprint: ``point``, the ``least`` doc_id that has it, and the ``root`` of its
+    component, a fingerprint."""
+    points = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = settle(components(close_links(points.select("fp"))))
+    named = points.join(roots, F.col("fp") == F.col("node"), "left")
+    return settle(named.select(F.col("fp").alias("point"), "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``.
 
@@ -236,13 +250,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty text has fingerprint 0 and links like any other. A NULL ``doc_id`` never names a component unless all of
     it is NULL. Repeated rows come back as often as they are there. Other columns are not read.
     """
-    prints = settle(with_fingerprint(docs))
-    points = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = settle(components(close_links(points.select("fp"))))
-    named = points.join(roots, F.col("fp") == F.col("node"), "left")
-    named = settle(named.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    prints = settle(with_fingerprint(docs.select("doc_id", "text")))
+    named = roots_of(prints)
     names = settle(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_print = settle(named.join(names, "root").select(F.col("fp").alias("point"), "component_id"))
+    by_print = settle(named.join(names, "root").select("point", "component_id"))
     joined = prints.join(by_print, F.col("fp") == F.col("point"), "left")
     return joined.select("doc_id", "fp", "component_id")
 
@@ -252,17 +263,25 @@ def hex_print(column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest ``doc_id`` stays, with all
-    its columns. Of rows that share this ``doc_id``, one stays. Rows without ``doc_id`` have no identity to go by and
-    stay."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    keep = settle(groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct())
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    repeated = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    """The documents without near-duplicates, with all their columns: one row of each component.
+
+    It is the row with the smallest ``doc_id`` (NULL last), and of those with one ``doc_id`` the one with the least digest of
+    its text (NULL first), so texts that merely share a ``doc_id`` do not displace each other. Rows that are equal in both
+    are copies of one document, of which one stays, an arbitrary one if their other columns differ.
+    """
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("__key"))
+    prints = settle(with_fingerprint(keyed, keep=("doc_id", "__key")))
+    rooted = prints.join(roots_of(prints), F.col("fp") == F.col("point"))
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__key")).alias("r")
+    keep = settle(rooted.groupBy("root").agg(chosen).select(F.col("r.doc_id").alias("__id"), F.col("r.__key").alias("__text")))
+    same = lambda key: F.col("doc_id").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__text"))
+    kept = docs.join(keep, same(F.md5("text")), "left_semi")
+    counts = prints.groupBy("doc_id", "__key").count().where("count > 1")
+    repeated = settle(counts.join(keep, same(F.col("__key")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__text")))
     if repeated.isEmpty():
-        single = kept
-    else:
-        single = kept.join(repeated, "doc_id", "left_anti").unionByName(
-            kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        )
-    return single.unionByName(docs.where(F.col("doc_id").isNull()))
+        return kept
+    single = kept.join(repeated, same(F.md5("text")), "left_anti")
+    several = kept.join(repeated, same(F.md5("text")), "left_semi")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    one = several.groupBy("doc_id", F.md5("text")).agg(F.first(F.struct(*names)).alias("__row"))
+    return single.unionByName(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
