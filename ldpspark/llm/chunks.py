@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ldpspark.session import settle
+from ldpspark.session import scratch_path, settle
 
 from .linededup import place
 from .portions import portions
@@ -152,9 +152,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     all others. Rows with the same ``doc_id`` count as one document, and rows with the same text too give their ranges
     once. Other columns are not read.
     """
-    chunks = chunk_rows(docs).withColumn("place", place().cast("decimal(38,0)"))
+    # cut once: both the counts and the later occurrences are read from here
+    path = scratch_path(docs.sparkSession, "chunks")
+    chunk_rows(docs).write.parquet(path)
+    chunks = docs.sparkSession.read.parquet(path).withColumn("place", place().cast("decimal(38,0)"))
     first = chunks.groupBy("high", "low").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min("doc_id").alias("kept_doc_id")
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min_by("doc_id", "place").alias("kept_doc_id")
     )
     first = settle(first.where("n > 1").select(F.col("high").alias("__high"), F.col("low").alias("__low"), "first", "kept_doc_id"))
     same = (F.col("high") == F.col("__high")) & (F.col("low") == F.col("__low"))
