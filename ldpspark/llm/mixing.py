@@ -6,8 +6,9 @@ output shards by a tree: each node deals its blocks to two halves of fixed size
 makes the sources' counts in each half multivariate hypergeometric while totals stay exact. Shards draw disjoint runs of
 each source's permuted blocks, and rows are shuffled inside their shard.
 
-All draws are md5 of (seed, stream, document), so reruns, retries and other partitionings agree. Only per-source and
-per-block tables meet in one task; documents are never ranked as a whole.
+All draws are md5 of (seed, stream, document), so reruns, retries and other partitionings agree. Tables of sources and
+blocks are ranked in a window while they are small, and by slices of their order beyond; documents are never ranked as a
+whole.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ldpspark.functions.rand import digest, draw
+from ldpspark.operators.ordered import prefix_sums
 from ldpspark.session import scratch_path, settle
 
+# rows that one window may hold
+MANY = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,23 +69,33 @@ def targets(per_source: DataFrame, mix: Mix) -> DataFrame:
     The fixed point of sharing the excess of capped sources by weight, in one step: with sources in the order in which
     they reach their cap, those before the first uncapped one are full and the rest share what is left.
     """
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    turn = F.pmod(F.row_number().over(in_order) - 1, F.lit(len(mix.weights)))
+    known = settle(per_source.withColumn("one", F.lit(1).cast("bigint")))
     weights = F.array(*[F.lit(float(w)) for w in mix.weights])
-    capped = per_source.withColumn("weight", F.element_at(weights, turn.cast("int") + 1)).withColumns(
-        {"cap": F.col("source_size") * F.lit(float(mix.most))}
+    placed = _before(known, [], [F.col("source").asc_nulls_last()], {"one": "n"})
+    turn = F.pmod(F.col("n_before"), F.lit(len(mix.weights)))
+    capped = placed.withColumns(
+        {"weight": F.element_at(weights, turn.cast("int") + 1), "cap": F.col("source_size") * F.lit(float(mix.most))}
     )
-    ratios = capped.withColumn("ratio", F.col("cap") / F.col("weight"))
-    levels = ratios.withColumn(
-        "level",
-        (F.sum("source_size").over(everything) * F.lit(float(mix.share)) - F.coalesce(F.sum("cap").over(by_cap), F.lit(0.0)))
-        / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_cap), F.lit(0.0))),
-    )
-    level = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything)
-    target = F.least("cap", level * F.col("weight"))
-    return levels.select("source", "source_size", F.coalesce(target, "cap").alias("target"))
+    ratios = capped.withColumn("ratio", F.col("cap") / F.col("weight")).drop("n_before", "n_all")
+    by_cap = [F.col("ratio"), F.col("source").asc_nulls_last()]
+    summed = _before(ratios, [], by_cap, {"source_size": "size", "cap": "full", "weight": "heavy"})
+    level = (F.col("size_all") * F.lit(float(mix.share)) - F.col("full_before")) / (F.col("heavy_all") - F.col("heavy_before"))
+    levels = settle(summed.withColumn("level", level))
+    # one number
+    reached = levels.agg(F.max(F.when(F.col("ratio") > F.col("level"), F.col("level")))).first()[0]
+    target = F.least("cap", F.lit(reached).cast("double") * F.col("weight"))
+    return levels.select("source", "source_size", F.coalesce(target if reached is not None else F.col("cap"), "cap").alias("target"))
+
+
+def _before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds ``<name>_before``, the sum over the rows before in the order, and ``<name>_all`` for each ``value -> name``. Few
+    rows are ranked in a window, many by slices of the order; the sums are the same."""
+    if df.count() > MANY:
+        return prefix_sums(df, keys, order, sums)
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {f"{n}_before": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for v, n in sums.items()}
+    return df.withColumns(added | {f"{n}_all": F.sum(v).over(every) for v, n in sums.items()})
 
 
 def _join(left: DataFrame, right: DataFrame, on: dict[str, str] | None = None, how: str = "inner") -> DataFrame:
@@ -148,13 +162,13 @@ def deal(known: DataFrame, mix: Mix) -> DataFrame:
     own = Window.partitionBy("source").orderBy("pass", "turn")
     permuted = runs.withColumn("number", F.row_number().over(own))
     name = F.concat_ws("-", F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull().cast("string"), "number")
-    tokens = permuted.select("source", "number", F.lit(0).alias("shard"))
+    one = F.lit(1).cast("bigint").alias("one")
+    tokens = settle(permuted.select("source", "number", F.lit(0).alias("shard"), one))
     for level in range(mix.depth):
-        node = Window.partitionBy("shard").orderBy(digest(mix.seed, f"level{level}", name))
-        rank, size = F.row_number().over(node), F.count(F.lit(1)).over(Window.partitionBy("shard"))
-        tokens = tokens.select(
-            "source", "number", (2 * F.col("shard") + (2 * rank > size + 1).cast("int")).alias("shard")
-        )
+        turned = tokens.withColumn("__turn", digest(mix.seed, f"level{level}", name))
+        ranked = _before(turned, ["shard"], [F.col("__turn")], {"one": "n"})
+        upper = 2 * (F.col("n_before") + 1) > F.col("n_all") + 1
+        tokens = ranked.select("source", "number", (2 * F.col("shard") + upper.cast("int")).alias("shard"), "one")
     quota = Window.partitionBy("source").orderBy("shard", "number")
     slots = tokens.select(F.col("source"), "shard", F.row_number().over(quota).alias("slot"))
     matched = _join(permuted, slots, {"number": "slot"})

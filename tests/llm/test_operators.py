@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -329,6 +330,13 @@ def test_mixing_meets_targets(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == +copies
 
 
+def test_mixing_by_slices_is_mixing_by_windows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (1 + k * k % 37), f"s{k % 90}" if k % 90 else None) for k in range(900)], "doc_id bigint, text string, source string")
+    want = {r.doc_id: tuple(r) for r in mixing.mix_counts(docs, mixing.Mix(depth=2)).collect()}
+    monkeypatch.setattr(mixing, "MANY", 0)
+    assert want == {r.doc_id: tuple(r) for r in mixing.mix_counts(docs, mixing.Mix(depth=2)).collect()}
+
+
 def test_mixing_shards_are_even(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"))
     rows = mixing.mix_counts(docs, mixing.Mix(depth=2)).collect()
@@ -563,6 +571,55 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert chunks.repeated_spans(docs.limit(0)).count() == 0
 
 
+def plain_spans(rows):
+    """Later occurrences among the chunks of distinct (doc_id, text), chunk by chunk in a dictionary of whole chunks."""
+    docs = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, out = {}, []
+    for doc_id, text in docs:
+        data = (text or "").encode()
+        _, begin, stop, _, (offset, *_), _ = chunks.cut([data])
+        begin, stop = begin - offset, stop - offset
+        starts = [m.start() for m in re.finditer(rb"(?<![^ \t-\r])[^ \t-\r]", data)]
+        runs = []
+        for at, (a, b) in enumerate(zip(begin.tolist(), stop.tolist())):
+            kept = seen.setdefault(data[a:b], (doc_id, at))
+            if kept == (doc_id, at):
+                continue
+            if runs and runs[-1][0] == at - 1:
+                runs[-1][0], runs[-1][2] = at, b
+            else:
+                runs.append([at, a, b, kept[0]])
+        for _, a, b, kept in runs:
+            n = sum(a <= w < b for w in starts)
+            if n >= chunks.MIN_WORDS or b - a >= chunks.WORD_BYTES * chunks.MIN_WORDS:
+                out.append((doc_id, a, b, n, kept))
+    return out
+
+
+def test_spans_are_the_plain_ones(spark):
+    rnd = random.Random(13)
+    passages = [prose(rnd, n) for n in (15, 40, 80, 200)]
+    wide = "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(500))
+    rows = []
+    for k in range(60):
+        parts = [prose(rnd, rnd.randint(1, 50)) for _ in range(rnd.randint(1, 4))] + rnd.sample(passages, rnd.randint(0, 3))
+        parts += [wide] * (k % 7 == 0) + ["tab\tand\nline " * 8] * (k % 5 == 0)
+        rnd.shuffle(parts)
+        rows.append((k if k else None, " ".join(parts)))
+    rows += [rows[3], rows[3], (90, rows[5][1]), (91, None), (92, ""), (93, "word " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"at": F.lit(1), "high": F.lit("x")})
+    got = chunks.repeated_spans(docs).collect()
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(((r.doc_id, r.start, r.stop, r.n_words, r.kept_doc_id) for r in got), key=key) == sorted(plain_spans(rows), key=key)
+    assert len(got) > 60
+
+
+def test_rolling_hash_is_the_plain_one():
+    data = np.frombuffer(prose(random.Random(14), 60).encode(), np.uint8)
+    plain = [sum(int(chunks.GEAR[data[i - k]]) << k for k in range(min(i + 1, chunks.REACH))) % 2**32 for i in range(len(data))]
+    assert chunks.rolling(data).tolist() == plain
+
+
 def test_repeated_unspaced_text_is_found_and_cut(spark):
     rnd = random.Random(10)
     kinds = {
