@@ -24,7 +24,7 @@ from .layers import Layered
 from .params import Table
 from .rand import digest, draw
 
-# Beyond this many outputs use the join form in operators.privatise.
+# Up to this many outputs a distribution is one compiled expression per output; beyond it is one array.
 UNROLL_LIMIT = 32
 
 
@@ -36,6 +36,28 @@ def signed_indices(n_outputs: int) -> list[int]:
     return [i for i in range(-n, n + 1) if i != 0 or n_outputs % 2 == 1]
 
 
+def envelope_corners(slope: np.ndarray, right: np.ndarray, start: float, end: float) -> list[float]:
+    """Where the highest of the lines ``right + slope * (a - end)`` changes inside the interval, from left to right.
+
+    The lines are walked along: from the highest one, on to the steeper line that is met first.
+    """
+    value = right + slope * (start - end)
+    top = np.flatnonzero(value >= value.max() - 1e-15)
+    current, at, corners = int(top[np.argmax(slope[top])]), start, []
+    while True:
+        gap = slope - slope[current]
+        steeper = np.flatnonzero(gap > 1e-15)
+        meet = end + (right[current] - right[steeper]) / gap[steeper]
+        ahead = (meet > at) & (meet < end)
+        if not ahead.any():
+            return corners
+        steeper, meet = steeper[ahead], meet[ahead]
+        first = steeper[meet == meet.min()]
+        at = float(meet.min())
+        corners.append(at)
+        current = int(first[np.argmax(slope[first])])
+
+
 @dataclass(frozen=True)
 class Quantised:
     """One mechanism: output values and a probability column per knot, knots ascending."""
@@ -96,19 +118,13 @@ class Quantised:
         """The most probable output as a step function of the magnitude.
 
         Break points, the (first, last) maximising position in each open interval between them, and the same
-        at each break point. Break points are the knots and the places where two outputs swap.
+        at each break point. Break points are the knots and the corners of the upper envelope of the outputs' lines.
         """
         x, p = self.knots, np.asarray(self.p_matrix)
         slopes = (p[:, 1:] - p[:, :-1]) / self.segment_width()
         points = set(map(float, x))
         for j in range(1, len(x)):
-            m, b = slopes[:, j - 1], p[:, j]
-            for r in range(len(b)):
-                gap = m - m[r]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cross = x[j] + (b[r] - b) / gap
-                inside = (np.abs(gap) > 1e-15) & (cross > x[j - 1]) & (cross < x[j])
-                points.update(map(float, cross[inside]))
+            points.update(envelope_corners(slopes[:, j - 1], p[:, j], x[j - 1], x[j]))
         breaks = sorted(points)
 
         def ends(at: float) -> tuple[int, int]:
@@ -135,8 +151,6 @@ class Lookup:
         if len(sizes) != 1:
             raise ValueError("mechanisms in one lookup must have the same number of outputs")
         self.n = sizes.pop()
-        if self.n > UNROLL_LIMIT:
-            raise ValueError(f"N={self.n} is too wide to unroll; use the join form")
         self.mechanisms = list(mechanisms)
         self.which = which
         self.segments = max(len(m.p_matrix[0]) for m in mechanisms) - 1
@@ -281,9 +295,13 @@ class Lookup:
         on_point = F.when(breaks.at(m + 1) == c("a"), 2).otherwise(0)
         return picks.at(F.shiftleft(m, 2).bitwiseOR(on_point).bitwiseOR(c("neg"))).cast("int")
 
-    def probability(self, k: int, c) -> Column:
-        row = F.shiftleft(c("j"), self.output_bits + 1)
-        return self._probabilities.at(row.bitwiseOR(2 * k + 1)) * c("d") + self._probabilities.at(row.bitwiseOR(2 * k))
+    def probability(self, k: int | Column, c) -> Column:
+        cell = F.shiftleft(c("j"), self.output_bits + 1).bitwiseOR(F.shiftleft(k, 1) if isinstance(k, Column) else F.lit(2 * k))
+        return self._probabilities.at(cell.bitwiseOR(1)) * c("d") + self._probabilities.at(cell)
+
+    def distribution(self, c) -> Column:
+        """All probabilities as one array."""
+        return F.transform(F.sequence(F.lit(0), F.lit(self.n - 1)), lambda k: F.greatest(self.probability(k, c), F.lit(0.0)))
 
     def index(self, position: Column) -> Column:
         """Output position to signed index."""
@@ -310,19 +328,25 @@ def probabilities(prefix: str, value: Column, lookup: Lookup) -> Layered:
     Interpolate, zero the negatives, renormalise, reverse for negative input.
     """
     n = lookup.n
+    wide = n > UNROLL_LIMIT
 
     def raw(c):
+        if wide:
+            return {"p": lookup.distribution(c)}
         return {f"p{k}": F.greatest(lookup.probability(k, c), F.lit(0.0)) for k in range(n)}
 
+    def each(c, k: int) -> Column:
+        return c("p")[k] if wide else c(f"p{k}")
+
     def total(c):
-        out = c("p0")
+        out = each(c, 0)
         for k in range(1, n):
-            out = out + c(f"p{k}")
+            out = out + each(c, k)
         return {"s": F.when(out < 1e-9, F.lit(1.0)).otherwise(out)}
 
     def struct(c):
         picks = [
-            (F.when(c("neg") == 1, c(f"p{n - 1 - k}")).otherwise(c(f"p{k}")) / c("s")).alias(f"{prefix}{k}")
+            (F.when(c("neg") == 1, each(c, n - 1 - k)).otherwise(each(c, k)) / c("s")).alias(f"{prefix}{k}")
             for k in range(n)
         ]
         return F.when(c("v").isNotNull(), F.struct(*picks))

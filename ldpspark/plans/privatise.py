@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import piecewise, quantised, response
 from ..functions.layers import project
 from ..functions.params import Table
-from ..functions.quantised import UNROLL_LIMIT, Quantised
+from ..functions.quantised import Quantised
 from ..functions.rand import row_key
 from ..operators.encode import Categories, categories, decode, ordinal_encode
 from ..operators.privatise import scaled
@@ -140,8 +140,6 @@ def _number_of(keys: list, row: Column) -> Column:
 def _privatise_group(prepared, fitted: Fitted, runs, members, mechanisms, response_mode, null_policy) -> DataFrame:
     ds = fitted.dataset
     first: Run = runs[members[0]]
-    if first.mechanism == "qm" and max(first.n_outputs, first.label_n or 0) > UNROLL_LIMIT:
-        raise ValueError(f"grids are unrolled up to N={UNROLL_LIMIT}; use operators.privatise.sample_by_budget beyond")
     row = F.col("__row")
     seeds = Table([[runs[n].seed] for n in members], row)
     key = F.col("__key")
@@ -149,6 +147,8 @@ def _privatise_group(prepared, fitted: Fitted, runs, members, mechanisms, respon
 
     based = prepared.withColumn("__key", dataset_key(ds))
     based = based.withColumn("__test", is_test(key, ds.test_size, ds.random_state, ds.salt))
+    if first.mode == "categorical" and fitted.label_categories is None:
+        raise ValueError("runs with a categorical label need fit_dataset(prepared, dataset, categorical_label=True)")
     if first.mode == "categorical":
         based = ordinal_encode(based, ds.label, fitted.label_categories, "__code", unknown=None)
     # scale once per row, before the rows are multiplied

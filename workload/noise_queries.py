@@ -310,6 +310,47 @@ def qm_sample(spark, sf):
     return out.select(*LINE_IDS, *QM_COLS)
 
 
+# the best average-case mechanism at eps 1 with 64 outputs has a window of 27
+WIDE_N, WIDE_WIDTH = 64, 27
+
+
+def wide_lookup(spark):
+    return quantised.Lookup([feature_mechanism(spark, 1.0, WIDE_N)])
+
+
+def _wide_rows(where: str) -> str:
+    return f"""{q.qm_tables(1.0, WIDE_N, WIDE_WIDTH)}, s AS ({ORDER_SPLIT}), {PRICE_FIT},
+      r AS (SELECT o_orderkey, {q.minmax('o_totalprice', 'lo', 'hi')} AS v, 0.0e0 AS u FROM s, f WHERE {where}),
+      p AS ({q.qm_probability('r', 'o_orderkey', WIDE_N)})"""
+
+
+@query(
+    "qm_wide_prob",
+    f"""WITH {_wide_rows("TRUE")} SELECT o_orderkey, {', '.join(f'round(max(CASE WHEN pos = {k} THEN p END), 9) AS p{k}' for k in range(WIDE_N))} FROM p GROUP BY o_orderkey""",
+)
+def qm_wide_prob(spark, sf):
+    """Probabilities of 64 outputs."""
+    orders = order_table(spark, sf)
+    s = scale.fit(orders, ["o_totalprice"], where=is_train())["o_totalprice"]
+    out = project(orders, [quantised.probabilities("p", privatise.scaled("o_totalprice", s), wide_lookup(spark))])
+    return out.select("o_orderkey", *[F.round(f"p.p{k}", 9).alias(f"p{k}") for k in range(WIDE_N)])
+
+
+@query(
+    "qm_wide_argmax",
+    f"""WITH {_wide_rows("split = 'test'")}, b AS (SELECT *, max(p) OVER (PARTITION BY o_orderkey) AS best FROM p),
+      m AS (SELECT o_orderkey, min(pos) AS pos FROM b WHERE p = best GROUP BY o_orderkey)
+    SELECT o_orderkey, CAST(CASE WHEN pos < {WIDE_N // 2} THEN pos - {WIDE_N // 2} ELSE pos - {WIDE_N // 2} + 1 END AS INTEGER) AS o_totalprice FROM m""",
+)
+def qm_wide_argmax(spark, sf):
+    """The most probable of 64 outputs: one search over the corners of the upper envelope."""
+    orders = order_table(spark, sf)
+    s = scale.fit(orders, ["o_totalprice"], where=is_train())["o_totalprice"]
+    test = orders.where(~is_train())
+    out = project(test, [quantised.most_probable("idx", privatise.scaled("o_totalprice", s), wide_lookup(spark))])
+    return out.select("o_orderkey", F.col("idx").alias("o_totalprice"))
+
+
 @query(
     "qm_argmax",
     f"""WITH {q.qm_tables(EPS, N, WIDTH)}, {qm_rows(QM_COLS, "split = 'test'")},
