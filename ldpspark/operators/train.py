@@ -9,6 +9,7 @@ Linear full-batch training needs a single pass: the moments X'X and X'y carry ev
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ from .encode import PRIOR_FLOOR
 from .profile import quoted
 from .split import assign_batches
 
+logger = logging.getLogger(__name__)
+
 MODELS = ("linear", "logistic", "softmax")
 
 # More aggregates than this in one job leave compiled code; beyond it, partitions compute their partial
@@ -67,6 +70,15 @@ def ridge(beta: np.ndarray, weight: float) -> np.ndarray:
     return out
 
 
+def drop_failed(betas: dict[int, np.ndarray], exp: int, *sums) -> bool:
+    """Whether a model's sums are not finite. Such a model ends here and loses its coefficients; the others go on."""
+    if all(np.isfinite(np.asarray(s, dtype=float)).all() for s in sums):
+        return False
+    betas.pop(exp, None)
+    logger.warning("model %s ends without coefficients: its sums are not finite", exp)
+    return True
+
+
 def with_model(df: DataFrame) -> DataFrame:
     """Single-model tables get model number 0."""
     return df if "exp" in df.columns else df.withColumn("exp", F.lit(0))
@@ -99,9 +111,9 @@ def numpy_partials(df: DataFrame, groups: Sequence[str], inputs: Sequence[str],
         for pdf in batches:
             for name, part in pdf.groupby(groups, sort=False):
                 name = name if isinstance(name, tuple) else (name,)
-                vector = kernel(name, part[inputs].to_numpy(dtype=float))
-                if not np.isfinite(vector).all():
-                    raise ValueError(f"partial sums of {name} are not finite")
+                # what is not finite stays so in the sums, and fails its own group
+                with np.errstate(all="ignore"):
+                    vector = kernel(name, part[inputs].to_numpy(dtype=float))
                 sums[name] = sums[name] + vector if name in sums else vector
         if sums:
             frame = pd.DataFrame(list(sums), columns=groups)
@@ -171,6 +183,8 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
     if cfg.batch_size <= 0:
         for row in moments(df, features, label).collect():
             gram, moment = _unpack(row["m"], d)
+            if drop_failed(betas, row["exp"], gram, moment):
+                continue
             beta = np.zeros(d + 1)
             beta[0] = moment[0] / gram[0, 0]
             for _ in range(cfg.epochs):
@@ -180,7 +194,7 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
 
     start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     for row in start:
-        if row["mean"] is not None:
+        if row["mean"] is not None and not drop_failed(betas, row["exp"], row["mean"]):
             betas[row["exp"]] = np.zeros(d + 1)
             betas[row["exp"]][0] = row["mean"]
     if cfg.epochs <= 0:
@@ -192,6 +206,8 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
     # the steps depend on each other: replay them in order, one moment block at a time
     for row in per_batch.where(F.col("exp").isin(list(betas))).toLocalIterator():
         gram, moment = _unpack(row["m"], d)
+        if row["exp"] not in betas or drop_failed(betas, row["exp"], gram, moment):
+            continue
         betas[row["exp"]] = linear_step(betas[row["exp"]], gram, moment, float(cfg.batch_size), cfg)
     return betas
 
@@ -259,15 +275,19 @@ def train_logistic(df: DataFrame, features: Sequence[str], label: str, cfg: Trai
     start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     betas = {}
     for row in start:
-        if row["mean"] is None:
+        if row["mean"] is None or drop_failed(betas, row["exp"], row["mean"]):
             continue
         p = min(max(row["mean"], PRIOR_FLOOR), 1 - PRIOR_FLOOR)
         betas[row["exp"]] = np.zeros(d + 1)
         betas[row["exp"]][0] = math.log(p / (1 - p))
 
     def step(part: DataFrame):
+        if not betas:
+            return
         part = part.where(F.col("exp").isin(list(betas)))
         for exp, (n, total) in logistic_gradients(part, features, label, betas).items():
+            if drop_failed(betas, exp, total):
+                continue
             betas[exp] = descend(betas[exp], total / n + ridge(betas[exp], cfg.regularization), cfg)
 
     _iterate(df, [*features, label], key, cfg, max((r["n"] for r in start), default=0), step)
@@ -383,6 +403,8 @@ def train_softmax(df: DataFrame, features: Sequence[str], label: str, cfg: Train
     d = len(features)
     known = gaps_as_null(df, [label]).where(quoted(label).isNotNull())
     counts = known.groupBy("exp", quoted(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return {}
     k = max(r["c"] for r in counts) + 1
     totals: dict[int, int] = {}
     for r in counts:
@@ -397,7 +419,12 @@ def train_softmax(df: DataFrame, features: Sequence[str], label: str, cfg: Train
         betas[exp][0, ~has] = ABSENT_BIAS
 
     def step(part: DataFrame):
+        if not betas:
+            return
+        part = part.where(F.col("exp").isin(list(betas)))
         for exp, (n, total) in softmax_gradients(part, features, label, betas, k).items():
+            if drop_failed(betas, exp, total):
+                continue
             has = present[exp]
             beta = betas[exp]
             gradient = total.reshape(d + 1, k) / n + ridge(beta, cfg.regularization)
@@ -411,6 +438,8 @@ def train_softmax(df: DataFrame, features: Sequence[str], label: str, cfg: Train
 
 
 def train(df: DataFrame, features: Sequence[str], label: str, cfg: TrainConfig, key: Column | None = None):
+    """Coefficients of every model that could be trained. A model whose labels are all missing, or whose sums are not
+    finite at some step, has none, whichever way the sums are taken; it does not disturb the others."""
     fitter = {"linear": train_linear, "logistic": train_logistic, "softmax": train_softmax}[cfg.model]
     return fitter(df, features, label, cfg, key)
 

@@ -6,6 +6,7 @@ aggregates over it. Only scalars per model reach the driver.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
@@ -27,6 +28,8 @@ from ..sources import runstore
 from .config import Dataset, Run
 from .privatise import Fitted, dataset_key, fit_dataset, label_metadata, prepare, privatise
 
+logger = logging.getLogger(__name__)
+
 METRICS = {
     "linear": {"rmse": "RMSE", "mae": "MAE"},
     "logistic": {"accuracy": "Accuracy", "auc": "AUC"},
@@ -151,7 +154,8 @@ def fitted_columns(
 ):
     """Train statistics of every model in one job, then imputation and scaling as table look-ups.
 
-    Returns the imputed, scaled table and the raw models' label mean.
+    Returns the imputed, scaled table and the raw models' label mean. A model with an infinite train cell cannot be
+    scaled; its rows are left out, and with them its scores.
     """
     wanted = []
     for c in features:
@@ -160,6 +164,11 @@ def fitted_columns(
     if numeric_label:
         wanted.append(F.avg(F.when(~F.col("is_test"), F.col("label"))).alias("mean|label"))
     rows = {r["exp"]: r for r in stacked.groupBy("exp").agg(*wanted).collect()} if wanted else {}
+    broken = [exp for exp, r in rows.items() if any(v is not None and math.isinf(v) for c, v in r.asDict().items() if c != "exp")]
+    if broken:
+        logger.warning("models %s hold infinite train cells and are left without scores", broken)
+        stacked = stacked.where(~F.col("exp").isin(broken))
+        rows = {exp: r for exp, r in rows.items() if exp not in broken}
     absent = dict.fromkeys([f"{s}|{c}" for c in (*features, "label") for s in ("mean", "min", "max")])
     lo, hi = model_range(n_outputs)
     block = []
@@ -271,8 +280,8 @@ def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[Compare
             scores = _softmax(ready, features, experiments, point, key)
         else:
             scores = _numeric(ready, features, experiments, point, key, fitted, label_mean)
-        # a handful of rows per model
-        rows = [(r["exp"], r["metric"], r["value"]) for r in scores.collect()]
+        # a handful of rows per model; none if no model could be trained
+        rows = [] if scores is None else [(r["exp"], r["metric"], r["value"]) for r in scores.collect()]
         yield _named(raw.sparkSession, rows, dataset, experiments, METRICS[point.model].values())
 
 
@@ -281,7 +290,7 @@ def _of_models(rows: DataFrame, betas: dict) -> DataFrame:
     return rows.where(F.col("exp").isin([int(e) for e in betas]))
 
 
-def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitted: Fitted, label_mean) -> DataFrame:
+def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitted: Fitted, label_mean) -> DataFrame | None:
     log = fitted.dataset.log_label and cfg.model == "linear"
     y = F.col("y")
     if cfg.double_log and log:
@@ -289,6 +298,8 @@ def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitt
         y = F.when(again.at(0) == 1.0, F.log1p(y)).otherwise(y)
     rows = ready.where(~F.col("is_test")).withColumn("y", y)
     betas = train(rows, features, "y", cfg.train, key)
+    if not betas:
+        return None
     test = _of_models(ready.where(F.col("is_test")), betas).withColumn(
         "truth", F.coalesce(F.col("label"), F.lit(label_mean).cast("double"))
     )
@@ -313,10 +324,12 @@ def _numeric(ready, features, experiments, cfg: CompareConfig, key: Column, fitt
     return ev.stack_metrics(ev.rmse_mae(final, "truth", "pred", ["exp"]), ["exp"], METRICS["linear"])
 
 
-def _softmax(ready, features, experiments, cfg: CompareConfig, key: Column) -> DataFrame:
+def _softmax(ready, features, experiments, cfg: CompareConfig, key: Column) -> DataFrame | None:
     raws = [e.exp for e in experiments if e.run is None]
     coded = encode_classes(ready, experiments)
     betas = train(coded.where(~F.col("is_test")), features, "code", cfg.train, key)
+    if not betas:
+        return None
     k = next(iter(betas.values())).shape[1]
     scored = sc.predict_softmax(_of_models(coded.where(F.col("is_test")), betas), features, betas)
     # rows of an unseen class leave the raw variant only
@@ -336,7 +349,7 @@ def _named(spark, scores, dataset: Dataset, experiments: Sequence[Experiment], m
     """
     by_exp: dict[int, dict[str, float | None]] = {}
     for exp, metric, value in scores:
-        by_exp.setdefault(exp, {})[metric] = None if value is None or math.isnan(value) else value
+        by_exp.setdefault(exp, {})[metric] = value if value is not None and math.isfinite(value) else None
     metrics = list(metrics)
     raws = [e for e in experiments if e.run is None]
     raw_of = {e.seed: e for e in raws}

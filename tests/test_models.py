@@ -224,3 +224,36 @@ def test_missing_cells_give_one_model_on_both_paths(spark, monkeypatch, model, h
     monkeypatch.setattr(train, "MAX_AGGREGATES", 1)
     by_task = train.train(df, cols, "y", cfg)[0]
     assert np.isfinite(built_in).all() and np.allclose(built_in, by_task, atol=1e-9)
+
+
+@pytest.mark.parametrize("model", train.MODELS)
+@pytest.mark.parametrize("width", [2, 30])
+def test_one_infinite_model_leaves_the_others_alone(spark, model, width):
+    rng = np.random.default_rng(width)
+    names = [f"x{c}" for c in range(width)]
+    rows = [(exp, *rng.normal(size=width).tolist(), float(k % 3 if model == "softmax" else k % 2)) for exp in (0, 1, 2) for k in range(40)]
+    bad = [list(r) for r in rows]
+    bad[45][1] = float("inf")
+    bad = [tuple(r) if r[0] != 2 else (*r[:-1], None) for r in bad]
+    schema = f"exp int, {', '.join(f'{n} double' for n in names)}, y double"
+    cfg = train.TrainConfig(model, epochs=3)
+    good = train.train(spark.createDataFrame(rows, schema), names, "y", cfg)
+    left = train.train(spark.createDataFrame(bad, schema), names, "y", cfg)
+    # linear moments skip missing labels cell by cell and keep the model
+    assert set(left) - {2} == {0} and np.allclose(left[0], good[0])
+    assert train.train(spark.createDataFrame(bad, schema).where("exp = 1"), names, "y", cfg) == {}
+
+
+def test_corners_of_the_envelope_are_where_the_maximum_changes():
+    from ldpspark.functions.quantised import envelope_corners
+
+    rng = np.random.default_rng(0)
+    for n in (2, 5, 64):
+        for _ in range(30):
+            slope, right = rng.normal(size=n), rng.normal(size=n)
+            corners = envelope_corners(slope, right, 0.0, 1.0)
+            grid = np.linspace(0, 1, 4001)
+            best = np.argmax(right[:, None] + slope[:, None] * (grid - 1.0), axis=0)
+            changes = grid[1:][np.diff(best) != 0]
+            assert len(corners) >= len(changes) and all(np.abs(np.array(corners) - c).min() < 1e-3 for c in changes)
+            assert corners == sorted(corners) and len(corners) < n

@@ -366,7 +366,7 @@ DOC_NAMES = " ".join(
 )
 
 
-def _compare_logistic_sql(lr: float = 0.05, epochs: int = 3, named: str = "") -> str:
+def _compare_logistic_sql(lr: float = 0.05, epochs: int = 3, named: str = "", failed: tuple[int, ...] = (-1,)) -> str:
     last = f"beta_{epochs}"
     tests = ts.long_x("data", "doc_id", DOC_FEATURES, "split = 'test'")
     eps = " ".join(f"WHEN {n} THEN {q.d(r.eps)}" for n, r in enumerate(DOC_RUNS, start=1))
@@ -378,7 +378,7 @@ def _compare_logistic_sql(lr: float = 0.05, epochs: int = 3, named: str = "") ->
       yo AS ({ts.youden_sql('sc', 'exp')}),
       ac AS (SELECT sc.exp, avg(CASE WHEN (score >= threshold) = (y = 1) THEN 1.0e0 ELSE 0.0e0 END) AS acc FROM sc JOIN yo ON yo.exp = sc.exp GROUP BY sc.exp),
       one AS (SELECT au.exp, round_even(acc, 3) AS acc, round_even(auc, 3) AS auc FROM au JOIN ac ON ac.exp = au.exp),
-      named AS (SELECT CASE exp {eps} END AS eps, CASE exp {seeds} END AS seed, 'LDP-PM(T3)' AS variant, acc, auc FROM one WHERE exp > 0
+      named AS (SELECT CASE exp {eps} END AS eps, CASE exp {seeds} END AS seed, 'LDP-PM(T3)' AS variant, acc, auc FROM one WHERE exp > 0 AND exp NOT IN ({', '.join(map(str, failed))})
         UNION ALL SELECT e.eps, s.seed, 'Full', acc, auc FROM one, (VALUES (1.0e0), (3.0e0)) e(eps), (VALUES (0), (1)) s(seed) WHERE exp = 0)
     SELECT {named}'docs' AS dataset, eps, eps AS label_eps, 'none' AS mode, variant, round(avg(acc), 4) AS "Accuracy", round(avg(auc), 4) AS "AUC"
     FROM named GROUP BY eps, variant"""
@@ -394,6 +394,26 @@ def compare_logistic(spark, sf):
     return evaluate.wide_report(means, ["Accuracy", "AUC"], keys)
 
 
+@query("compare_faulty", _compare_logistic_sql(failed=(1, 4)))
+def compare_faulty(spark, sf):
+    """One copy has an infinite train cell, another no train labels: they alone go without scores."""
+    prepared = prepare(docs_raw(spark, sf), DOC_SET)
+    made = privatise_runs(prepared, fit_dataset(prepared, DOC_SET), DOC_RUNS)
+    some = (F.col("run") == 0) & (F.col("doc_id") % 50 == 1)
+    none = (F.col("run") == 3) & (F.col("split") == "train")
+    broken = made.withColumns(
+        {
+            "n_chars": F.when(some, F.lit(float("inf"))).otherwise(F.col("n_chars")),
+            "quality": F.when(none, F.lit(None)).otherwise(F.col("quality")),
+        }
+    )
+    cfg = cmp.CompareConfig(train.TrainConfig("logistic", epochs=3))
+    scores = cmp.compare(docs_raw(spark, sf), DOC_SET, DOC_RUNS, cfg, privatised=broken)
+    keys = ["dataset", "eps", "label_eps", "mode", "variant"]
+    means = scores.groupBy(*keys, "metric").agg(F.round(F.avg("value"), 4).alias("value"))
+    return evaluate.wide_report(means, ["Accuracy", "AUC"], keys)
+
+
 GRID = [(lr, n) for lr in (0.05, 0.5) for n in (1, 3)]
 
 
@@ -843,34 +863,47 @@ CUST_RUNS = qm_grid("orders", eps=(1.0, 3.0), n_values=(7,), seeds=(0, 1))
 _WIDTH_OF = {1.0: 3, 3.0: 2}
 
 
-def _qm_grid_sql() -> str:
+def _qm_grid_sql(grid, n_outputs: int, widths: dict[float, int]) -> str:
+    half = n_outputs // 2
+    shift = f"min(pos) - {half}" if n_outputs % 2 else f"min(CASE WHEN pos < {half} THEN pos - {half} ELSE pos - {half} + 1 END)"
     raw = f"SELECT o_orderkey, {q.split(ORDER)} AS split, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders"
-    ctes = [q.qm_tables(e, 7, _WIDTH_OF[e], f"q{int(e)}") for e in (1.0, 3.0)]
+    ctes = [q.qm_tables(e, n_outputs, c, f"q{int(e)}") for e, c in widths.items()]
     runs = []
-    for n, r in enumerate(CUST_RUNS):
+    for n, r in enumerate(grid):
         name = f"q{int(r.eps)}"
         for c in ("o_totalprice", "o_custkey"):
             where = "TRUE" if c == "o_totalprice" else "split = 'train'"
             ctes.append(
                 f"r{n}_{c} AS MATERIALIZED (SELECT o_orderkey, split, {q.minmax(c, f'lo_{c}', f'hi_{c}')} AS v, {q.u(q.h(r.seed, 'qm', ORDER, c))} AS u FROM raw, lim WHERE {where})"
             )
-            ctes.append(f"s{n}_{c} AS ({q.qm_sample(f'r{n}_{c}', 'o_orderkey, split', 7, name)})")
+            ctes.append(f"s{n}_{c} AS ({q.qm_sample(f'r{n}_{c}', 'o_orderkey, split', n_outputs, name)})")
         ctes.append(
-            f"""a{n} AS (SELECT o_orderkey, CAST(min(pos) - 3 AS INTEGER) AS idx FROM (SELECT *, max(p) OVER (PARTITION BY o_orderkey) AS best
-          FROM ({q.qm_probability(f'(SELECT * FROM r{n}_o_totalprice WHERE split = $$test$$)', 'o_orderkey', 7, name)})) WHERE p = best GROUP BY o_orderkey)"""
+            f"""a{n} AS (SELECT o_orderkey, CAST({shift} AS INTEGER) AS idx FROM (SELECT *, max(p) OVER (PARTITION BY o_orderkey) AS best
+          FROM ({q.qm_probability(f'(SELECT * FROM r{n}_o_totalprice WHERE split = $$test$$)', 'o_orderkey', n_outputs, name)})) WHERE p = best GROUP BY o_orderkey)"""
         )
         runs.append(
             f"""SELECT {n} AS run, {q.d(r.eps)} AS eps, {r.seed} AS seed, w.split, w.o_orderkey, CAST(CASE WHEN w.split = 'test' THEN a.idx ELSE f.idx END AS DOUBLE) AS o_totalprice,
-        CASE WHEN w.split = 'test' THEN w.o_custkey ELSE round((l.idx + 3) / 6.0e0 * (hi_o_custkey - lo_o_custkey) + lo_o_custkey, 6) END AS o_custkey
+        CASE WHEN w.split = 'test' THEN w.o_custkey ELSE round((l.idx + {half}) / {q.d(2 * half)} * (hi_o_custkey - lo_o_custkey) + lo_o_custkey, 6) END AS o_custkey
         FROM raw w CROSS JOIN lim LEFT JOIN s{n}_o_totalprice f ON f.o_orderkey = w.o_orderkey LEFT JOIN a{n} a ON a.o_orderkey = w.o_orderkey LEFT JOIN s{n}_o_custkey l ON l.o_orderkey = w.o_orderkey"""
         )
     lim = "SELECT min(o_totalprice) AS lo_o_totalprice, max(o_totalprice) AS hi_o_totalprice, min(o_custkey) AS lo_o_custkey, max(o_custkey) AS hi_o_custkey FROM raw WHERE split = 'train'"
     return f"WITH raw AS MATERIALIZED ({raw}), lim AS ({lim}), {', '.join(ctes)} {' UNION ALL '.join(runs)}"
 
 
-@query("privacy_grid_qm", _qm_grid_sql())
+@query("privacy_grid_qm", _qm_grid_sql(CUST_RUNS, 7, _WIDTH_OF))
 def privacy_grid_qm(spark, sf):
     """Quantised features and linearly mapped labels, two budgets, two seeds; one pass."""
     prepared = prepare(wide_table(spark, sf, "orders"), CUST_SET)
     out = privatise_runs(prepared, fit_dataset(prepared, CUST_SET), CUST_RUNS)
     return out.select("run", "eps", "seed", "split", "o_orderkey", "o_totalprice", F.round("o_custkey", 6).alias("o_custkey"))
+
+
+WIDE_RUNS = qm_grid("orders", eps=(1.0, 3.0), n_values=(64,), seeds=(0,))
+
+
+@query("qm_wide_grid", _qm_grid_sql(WIDE_RUNS, 64, {1.0: 27, 3.0: 17}))
+def qm_wide_grid(spark, sf):
+    """Features and labels of 64 outputs, two budgets."""
+    prepared = prepare(wide_table(spark, sf, "orders"), CUST_SET)
+    out = privatise_runs(prepared, fit_dataset(prepared, CUST_SET), WIDE_RUNS)
+    return out.select("run", "eps", "seed", "split", "o_orderkey", "o_totalprice", F.round("o_custkey", 6).alias("o_custkey"))
