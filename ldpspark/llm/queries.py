@@ -64,9 +64,63 @@ def op8_byte_bpe(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"))
 
 
-@query("op9_mixing")
+def mixing_sql(mix: mixing.Mix = mixing.Mix()) -> str:
+    """The mix in SQL: the same keyed digests, ranked by windows."""
+    digest = lambda stream, key: f"md5('|{mix.seed}|{stream}|' || {key} || '|')"
+    draw = lambda n: f"(CAST(('0x' || substr(h, {1 + 13 * n}, 13)) AS BIGINT) / 4503599627370496.0e0)"
+    weights = ", ".join(f"{float(w)}e0" for w in mix.weights)
+    tree, before = [], "t0"
+    for level in range(mix.depth):
+        tree.append(f"""t{level + 1} AS (SELECT source, number, name, 2 * shard + CASE WHEN
+            2 * row_number() OVER (PARTITION BY shard ORDER BY {digest(f"level{level}", "name")}) > count(*) OVER (PARTITION BY shard) + 1 THEN 1 ELSE 0 END AS shard
+          FROM {before})""")
+        before = f"t{level + 1}"
+    same = "IS NOT DISTINCT FROM"
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    {digest("document", "coalesce(CAST(doc_id AS VARCHAR), 'null') || '-' || md5(coalesce(text, ''))")} AS h FROM documents),
+z AS (SELECT doc_id, source, size, CAST(floor({draw(0)} * {mix.blocks}) AS INTEGER) AS block, {draw(1)} AS place FROM d),
+blocks AS (SELECT source, block, CAST(sum(size) AS BIGINT) AS words FROM z GROUP BY source, block),
+srcs AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM blocks GROUP BY source),
+caps AS (SELECT *, ([{weights}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mix.weights)} + 1] AS weight,
+    source_size * {float(mix.most)}e0 AS cap FROM srcs),
+levels AS (SELECT *, cap / weight AS ratio,
+    (sum(source_size) OVER () * {float(mix.share)}e0 - coalesce(sum(cap) OVER w, 0.0e0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0e0)) AS level
+  FROM caps WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (SELECT source, source_size, coalesce(least(cap, (SELECT max(level) FROM levels WHERE ratio > level) * weight), cap) AS target FROM levels),
+goal AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS passes FROM goals),
+k AS (SELECT b.source, b.block, b.words, g.source_size, g.target, g.passes, g.target - g.passes * g.source_size AS room,
+    {digest("block", "coalesce(b.source, '') || '-' || CAST(b.source IS NULL AS VARCHAR) || '-' || CAST(b.block AS VARCHAR)")} AS turn
+  FROM blocks b JOIN goal g ON g.source {same} b.source),
+k1 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM k),
+k2 AS (SELECT *, CASE WHEN bef + words <= room THEN 1 WHEN bef < room THEN 0 ELSE -1 END AS state FROM k1),
+inside AS (SELECT z.source, z.size, z.place, floor(z.place * {mix.parts}) AS part, k2.room - k2.bef AS room
+  FROM z JOIN k2 ON k2.state = 0 AND k2.source {same} z.source AND k2.block = z.block),
+parts AS (SELECT source, part, sum(size) AS words, min(room) AS room FROM inside GROUP BY source, part),
+p1 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM parts),
+ends AS (SELECT source, part, room - bef AS rest FROM p1 WHERE bef + words > room AND bef < room),
+tail AS (SELECT i.source, i.place, sum(i.size) AS words, min(e.rest) AS rest FROM inside i JOIN ends e ON e.source {same} i.source AND e.part = i.part GROUP BY i.source, i.place),
+t9 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM tail),
+stops AS (SELECT e.source, coalesce(max(t9.place), min(e.part) / {mix.parts}.0e0 - {2.0**-53!r}) AS stop
+  FROM ends e LEFT JOIN t9 ON t9.source {same} e.source AND t9.bef + t9.words / 2.0e0 <= t9.rest GROUP BY e.source),
+plan AS (SELECT k2.*, CASE WHEN room <= 0 THEN -1.0e0 WHEN state = 1 THEN 2.0e0 WHEN state = 0 THEN coalesce(stop, -1.0e0) ELSE -1.0e0 END AS upto
+  FROM k2 LEFT JOIN stops s ON s.source {same} k2.source),
+runs AS (SELECT source, block, turn, unnest(range(1, passes + CASE WHEN upto >= 0 THEN 1 ELSE 0 END + 1)) AS pass FROM plan),
+own AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pass, turn) AS number FROM runs),
+t0 AS (SELECT source, number, coalesce(source, '') || '-' || CAST(source IS NULL AS VARCHAR) || '-' || CAST(number AS VARCHAR) AS name, 0 AS shard FROM own),
+{", ".join(tree)},
+slots AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard, number) AS slot FROM {before}),
+dealt AS (SELECT o.source, o.block, list(s.shard ORDER BY o.pass, s.shard) AS shards
+  FROM own o JOIN slots s ON s.source {same} o.source AND s.slot = o.number GROUP BY o.source, o.block),
+taken AS (SELECT z.doc_id, z.size, p.source_size, p.target, p.passes + CASE WHEN z.place <= p.upto THEN 1 ELSE 0 END AS copies, dealt.shards
+  FROM z JOIN plan p ON p.source {same} z.source AND p.block = z.block LEFT JOIN dealt ON dealt.source {same} z.source AND dealt.block = z.block)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, coalesce(array_to_string(shards[1:copies], ','), '') AS shards FROM taken
+"""
+
+
+@query("op9_mixing", mixing_sql())
 def op9_mixing(spark, sf):
-    return mixing.mix_counts(table(spark, sf, "documents"))
+    return mixing.mix_counts(table(spark, sf, "documents")).withColumn("shards", F.concat_ws(",", F.col("shards").cast("array<string>")))
 
 
 # ------------------------------------------------------------------ chat
