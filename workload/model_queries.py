@@ -661,24 +661,33 @@ def score_logistic(spark, sf):
     return score.predict_logistic(rows.where(~is_train()), features, betas).select("doc_id", F.round("prob", 8).alias("prob"))
 
 
-_X4 = ("x0", "x1", "x2", "x3")
-
-
-@query(
-    "score_softmax",
-    f"""WITH {scaled_sql(vectors_raw(4), 'vec_id', _X4, 'label')}, {train_xy('vec_id', _X4, class_y(10))}, {ts.train_ctes('softmax', 2)},
-      tx AS ({ts.long_x('data', 'vec_id', _X4, "split = 'test'")}), pr AS MATERIALIZED ({ts.predictions('softmax', 'beta_2', 'tx')}),
+def _score_softmax_sql(d: int) -> str:
+    xs = X64[:d]
+    return f"""WITH {scaled_sql(vectors_raw(d), 'vec_id', xs, 'label')}, {train_xy('vec_id', xs, class_y(10))}, {ts.train_ctes('softmax', 2)},
+      tx AS ({ts.long_x('data', 'vec_id', xs, "split = 'test'")}), pr AS MATERIALIZED ({ts.predictions('softmax', 'beta_2', 'tx')}),
       mx AS (SELECT id, max(p) AS pm FROM pr GROUP BY id)
     SELECT pr.id AS vec_id, CAST(min(CASE WHEN p = pm THEN c END) AS INTEGER) AS pred, {', '.join(f'round(max(CASE WHEN c = {c} THEN p END), 8) AS prob{c}' for c in range(10))}
-    FROM pr JOIN mx ON mx.id = pr.id GROUP BY pr.id""",
-)
-def score_softmax(spark, sf):
-    rows = vector_data(spark, sf, 4)
-    betas = train.train_softmax(rows.where(is_train()), list(_X4), "y", train.TrainConfig("softmax", epochs=2))
-    out = score.predict_softmax(rows.where(~is_train()), list(_X4), betas)
+    FROM pr JOIN mx ON mx.id = pr.id GROUP BY pr.id"""
+
+
+def _score_softmax(spark, sf, d: int):
+    rows = vector_data(spark, sf, d)
+    betas = train.train_softmax(rows.where(is_train()), list(X64[:d]), "y", train.TrainConfig("softmax", epochs=2))
+    out = score.predict_softmax(rows.where(~is_train()), list(X64[:d]), betas)
     return out.select("vec_id", "pred", *[F.round(f"prob{c}", 8).alias(f"prob{c}") for c in range(10)])
 
 
+@query("score_softmax", _score_softmax_sql(4))
+def score_softmax(spark, sf):
+    return _score_softmax(spark, sf, 4)
+
+
+@query("score_softmax_wide", _score_softmax_sql(64))
+def score_softmax_wide(spark, sf):
+    """The same on all 64 dimensions, scored per Arrow batch."""
+    return _score_softmax(spark, sf, 64)
+
+
 # ---------------------------------------------------------------- evaluation
 
 
