@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.permute import constants, permute, whole
 from ..functions.rand import digest, draw
 
 TEST_SIZE = 0.2
@@ -129,3 +130,61 @@ def assign_batches(
         .where(F.col("batch_id") < full)
         .select(*df.columns, "epoch", "batch_id")
     )
+
+
+def hash_ranks(
+    df: DataFrame, key: Column, *, rows: int | None = None, partition: list[str] | None = None, salt: str = ""
+) -> DataFrame:
+    """Add ``__rank``, the 0-based place of a row in the order of its digest, and ``__all``, the rows of its group.
+
+    The rows are exchanged once, by hash bucket. Keys must be unique: equal ones have no order of their own.
+    """
+    group = list(partition or [])
+    digits = prefix_digits(df.count() if rows is None else rows)
+    hashed = df.withColumn("__h", digest("", "rank", key, "", salt)).withColumn("__b", F.substring("__h", 1, digits))
+    counts = hashed.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *group,
+        "__b",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"),
+        F.sum("__n").over(whole).alias("__all"),
+    )
+    inside = Window.partitionBy(*group, "__b").orderBy("__h")
+    ranked = hashed.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, [*group, "__b"])
+    return ranked.select(*df.columns, (F.col("__r") + F.col("__off")).alias("__rank"), "__all")
+
+
+def permuted_batches(
+    df: DataFrame,
+    key: Column,
+    batch_size: int,
+    epochs: int = 1,
+    seed: int = 0,
+    *,
+    rows: int | None = None,
+    partition: list[str] | None = None,
+    salt: str = "",
+) -> DataFrame:
+    """The same result form as ``assign_batches``, with one exchange whatever the number of epochs.
+
+    Rows are ranked once; each epoch's order is a keyed permutation of the ranks, found by arithmetic. With a narrow
+    ``df`` (the key) this is a list of batches; training keeps its rows once and computes the place in each epoch.
+    The incomplete last batch of an epoch is left out; ``batch_size <= 0`` gives one batch with everything.
+    """
+    if epochs <= 0:
+        return df.limit(0).withColumn("epoch", F.lit(0)).withColumn("batch_id", F.lit(0).cast("bigint"))
+    numbered = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
+    if batch_size <= 0:
+        return df.withColumn("epoch", numbered).withColumn("batch_id", F.lit(0).cast("bigint"))
+    ranked = hash_ranks(df, key, rows=rows, partition=partition, salt=salt).withColumn("epoch", numbered)
+    return in_batches(ranked, batch_size, [constants(seed, e, salt) for e in range(epochs)]).select(*df.columns, "epoch", "batch_id")
+
+
+def in_batches(ranked: DataFrame, batch_size: int, keys: list[list[int]], turn: Column | None = None) -> DataFrame:
+    """Add ``batch_id`` to rows of ``hash_ranks``: permutation ``turn`` (the epoch, if not given) cut into whole batches."""
+    turn = F.col("epoch") if turn is None else turn
+    place = permute(F.col("__rank"), F.col("__all"), turn, keys)
+    batched = ranked.withColumn("batch_id", whole(place, batch_size))
+    return batched.where(F.col("batch_id") < whole(F.col("__all").cast("bigint"), batch_size))

@@ -144,6 +144,41 @@ def batch_assign(spark, sf):
     return split.assign_batches(orders, row_key("o_orderkey"), 64, epochs=2, seed=5)
 
 
+def permuted_sql(source: str, size: int | str, seed: int, epochs: int) -> str:
+    """CTEs ending in permuted(id, epoch, batch_id) for a relation of (id, text key): the rounds one by one."""
+    turns = ", ".join(f"({e})" for e in range(epochs))
+    keys = ", ".join(
+        f"CAST('0x' || substr(md5('|{seed}|permute' || CAST(epoch AS VARCHAR) || '|{k}|'), {at}, 7) AS BIGINT) AS {name}{k}"
+        for k in range(6)
+        for name, at in (("m", 1), ("c", 8))
+    )
+    steps = [
+        f"""ranks AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '', '', 'rank', key, ''))) - 1 AS x, count(*) OVER () AS n FROM ({source}))""",
+        "sized AS (SELECT *, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS w FROM ranks)",
+        f"""turn_0 AS (SELECT s.*, epoch, (n + w - 1) // w AS high, n - ((n + w - 1) // w - 1) * w AS last, x // w AS r, x % w AS c, {keys}
+          FROM sized s, (VALUES {turns}) AS ep(epoch))""",
+    ]
+    for k in range(6):
+        by, moved = ("c", "r") if k % 2 else ("r", "c")
+        length = "CASE WHEN c < last THEN high ELSE high - 1 END" if k % 2 else "CASE WHEN r < high - 1 THEN w ELSE last END"
+        first = f"(SELECT *, ({by} * m{k} + c{k}) % 2147483647 AS t FROM turn_{k})"
+        turned = f"({moved} + (t * t % 2147483647 * m{k} + t) % 2147483647) % ({length})"
+        steps.append(f"turn_{k + 1} AS (SELECT * EXCLUDE (t) REPLACE ({turned} AS {moved}) FROM {first})")
+    steps.append(f"""permuted AS MATERIALIZED (SELECT id, epoch, CAST((r * w + c) // ({size}) AS BIGINT) AS batch_id FROM turn_6
+      WHERE (r * w + c) // ({size}) < n // ({size}))""")
+    return ",\n      ".join(steps)
+
+
+@query(
+    "batch_permuted",
+    f"""WITH {permuted_sql(f'SELECT o_orderkey AS id, {ORDER} AS key FROM orders', 64, 5, 3)}
+    SELECT id AS o_orderkey, epoch, batch_id FROM permuted""",
+)
+def batch_permuted(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    return split.permuted_batches(orders, row_key("o_orderkey"), 64, epochs=3, seed=5)
+
+
 # ---------------------------------------------------------------- scaling
 
 LINE_SPLIT = f"SELECT *, {q.split(q.LINE_KEY)} AS split FROM lineitem"
