@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def assign_batches(
     df: DataFrame,
     key: Column,
     batch_size: int,
-    epochs: int = 1,
+    epochs: int | Sequence[int] = 1,
     seed: int | Column = 0,
     *,
     rows: int | None = None,
@@ -99,10 +101,12 @@ def assign_batches(
 
     The order of an epoch is the order of the epoch's digests. Rank = rows in earlier hash buckets + rank
     inside the bucket, so a window never holds more than about ``BUCKET_ROWS`` rows. ``batch_size <= 0``
-    gives one batch with everything. ``partition`` ranks separately per group (one group per model).
+    gives one batch with everything. ``partition`` ranks separately per group (one group per model). A list of
+    ``epochs`` asks for these alone.
     """
     group = list(partition or [])
-    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs > 0 else None
+    wanted = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
+    each = df.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in wanted]))) if wanted else None
     if each is None:
         return df.limit(0).withColumn("epoch", F.lit(0)).withColumn("batch_id", F.lit(0).cast("bigint"))
     if batch_size <= 0:

@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from ..functions.activations import Z_LIMIT, clip, dot, sigmoid
 from ..functions.params import Table
+from ..functions.permute import constants
+from ..session import settle
 from .encode import PRIOR_FLOOR
 from .profile import quoted
-from .split import assign_batches
+from .split import assign_batches, hash_ranks, in_batches
 
 logger = logging.getLogger(__name__)
 
 MODELS = ("linear", "logistic", "softmax")
+ORDERS = ("hash", "permuted")
 
 # More aggregates than this in one job leave compiled code; beyond it, partitions compute their partial
 # sums with numpy and Spark adds them up.
@@ -50,10 +53,14 @@ class TrainConfig:
     seed: int = 0
     # mini-batch steps are sequential; if this is set, more steps are refused with an explanation
     max_steps: int | None = None
+    # how an epoch orders its rows: by the epoch's own hash, or by a permutation of one rank, which is found once
+    order: str = "hash"
 
     def __post_init__(self):
         if self.model not in MODELS:
             raise ValueError(f"unknown model: {self.model}")
+        if self.order not in ORDERS:
+            raise ValueError(f"unknown order: {self.order}")
 
 
 def descend(beta: np.ndarray, gradient: np.ndarray, cfg: TrainConfig) -> np.ndarray:
@@ -201,15 +208,39 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
         return betas
     rows = max((r["n"] for r in start), default=0)
     _check_steps(rows // cfg.batch_size * cfg.epochs, cfg)
-    batched = _batches(df, key, cfg, rows)
-    per_batch = moments(batched, features, label, ("exp", "epoch", "batch_id")).orderBy("epoch", "batch_id", "exp")
-    # the steps depend on each other: replay them in order, one moment block at a time
-    for row in per_batch.where(F.col("exp").isin(list(betas))).toLocalIterator():
-        gram, moment = _unpack(row["m"], d)
-        if row["exp"] not in betas or drop_failed(betas, row["exp"], gram, moment):
-            continue
-        betas[row["exp"]] = linear_step(betas[row["exp"]], gram, moment, float(cfg.batch_size), cfg)
-    return betas
+    if key is None:
+        raise ValueError("mini-batches need the row key")
+    batched = _batches(_keyed(df, [*features, label], key), F.col("__key"), cfg, rows)
+    per_batch = moments(batched, features, label, ("exp", "epoch", "batch_id")).where(F.col("exp").isin(list(betas)))
+    return replay(per_batch, betas, d, cfg)
+
+
+def replay(per_batch: DataFrame, betas: dict[int, np.ndarray], d: int, cfg: TrainConfig) -> dict[int, np.ndarray]:
+    """The steps of every model in order, from the moments of its batches.
+
+    The steps depend on each other, so a model's moments stream through one task, an Arrow batch at a time; that task
+    keeps the coefficients alone, and models run beside each other. Only coefficients reach the driver.
+    """
+
+    def run(frames):
+        state = {exp: beta.copy() for exp, beta in betas.items()}
+        met = set()
+        for pdf in frames:
+            for exp, m in zip(pdf["exp"], pdf["m"]):
+                met.add(exp)
+                gram, moment = _unpack(m, d)
+                if exp in state and not drop_failed(state, exp, gram, moment):
+                    state[exp] = linear_step(state[exp], gram, moment, float(cfg.batch_size), cfg)
+        yield pd.DataFrame({"exp": list(met), "beta": [state[e].tolist() if e in state else None for e in met]})
+
+    ordered = per_batch.repartition("exp").sortWithinPartitions("exp", "epoch", "batch_id").select("exp", "m")
+    out = dict(betas)
+    for row in ordered.mapInPandas(run, f"exp {per_batch.schema['exp'].dataType.simpleString()}, beta array<double>").collect():
+        if row["beta"] is None:
+            drop_failed(out, row["exp"], math.nan)
+        else:
+            out[row["exp"]] = np.array(row["beta"])
+    return out
 
 
 def _check_steps(steps: int, cfg: TrainConfig) -> None:
@@ -220,11 +251,40 @@ def _check_steps(steps: int, cfg: TrainConfig) -> None:
         )
 
 
-def _batches(df: DataFrame, key: Column | None, cfg: TrainConfig, rows: int) -> DataFrame:
-    if key is None:
-        raise ValueError("mini-batches need the row key")
-    seed = F.col("seed") if "seed" in df.columns else cfg.seed
-    return assign_batches(df, key, cfg.batch_size, cfg.epochs, seed, rows=rows, partition=["exp"])
+def _keyed(df: DataFrame, columns: Sequence[str], key: Column) -> DataFrame:
+    """What batches need of a row, and no more."""
+    return df.select(*[c for c in ("exp", "seed") if c in df.columns], key.alias("__key"), *[quoted(c) for c in columns])
+
+
+def _batches(df: DataFrame, key: Column, cfg: TrainConfig, rows: int) -> DataFrame:
+    """Rows of all epochs with ``epoch`` and ``batch_id``."""
+    if cfg.order == "permuted":
+        parts = [part.withColumn("epoch", F.lit(n)) for n, part in enumerate(_epochs(df, key, cfg, rows))]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    return assign_batches(df, key, cfg.batch_size, cfg.epochs, _seed(df, cfg), rows=rows, partition=["exp"])
+
+
+def _seed(df: DataFrame, cfg: TrainConfig):
+    return F.col("seed") if "seed" in df.columns else cfg.seed
+
+
+def _epochs(df: DataFrame, key: Column, cfg: TrainConfig, rows: int):
+    """The rows of one epoch after the other with their ``batch_id``, so that no more than one copy is kept at a time."""
+    if cfg.order == "hash":
+        for epoch in range(cfg.epochs):
+            yield assign_batches(df, key, cfg.batch_size, [epoch], _seed(df, cfg), rows=rows, partition=["exp"])
+        return
+    if "seed" in df.columns:
+        seeds = {r["exp"]: r["seed"] for r in df.groupBy("exp").agg(F.min("seed").alias("seed")).collect()}
+    else:
+        seeds = {r["exp"]: cfg.seed for r in df.select("exp").distinct().collect()}
+    ranked = settle(hash_ranks(df, key, rows=rows, partition=["exp"]))
+    for epoch in range(cfg.epochs):
+        keys = [constants(seeds.get(exp, cfg.seed), epoch) for exp in range(max(seeds, default=0) + 1)]
+        yield in_batches(ranked, cfg.batch_size, keys, F.col("exp").cast("int")).drop("__rank", "__all")
 
 
 # --------------------------------------------------------------------------- logistic
@@ -310,23 +370,24 @@ def _iterate(df: DataFrame, columns, key, cfg: TrainConfig, rows: int, step) ->
     _check_steps(per_epoch * cfg.epochs, cfg)
     if per_epoch == 0:
         return
+    if key is None:
+        raise ValueError("mini-batches need the row key")
     # clustered by batch: the cache keeps min/max per block, so a step reads only its own batch; the hash in the
     # order lets a large batch span many partitions
-    place = ["epoch", "batch_id", "__place"]
-    batched = (
-        _batches(df, key, cfg, rows)
-        .select("exp", "epoch", "batch_id", *[quoted(c) for c in columns], F.xxhash64(key).alias("__place"))
-        .repartitionByRange(*place)
-        .sortWithinPartitions(*place)
-        .drop("__place")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        for epoch in range(cfg.epochs):
+    place = ["batch_id", "__place"]
+    for epoch in _epochs(_keyed(df, columns, key), F.col("__key"), cfg, rows):
+        batched = (
+            epoch.select("exp", "batch_id", *[quoted(c) for c in columns], F.xxhash64("__key").alias("__place"))
+            .repartitionByRange(*place)
+            .sortWithinPartitions(*place)
+            .drop("__place")
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        try:
             for batch in range(per_epoch):
-                step(batched.where((F.col("epoch") == epoch) & (F.col("batch_id") == batch)))
-    finally:
-        batched.unpersist()
+                step(batched.where(F.col("batch_id") == batch))
+        finally:
+            batched.unpersist()
 
 
 # --------------------------------------------------------------------------- softmax

@@ -18,7 +18,7 @@ from ldpspark.sources import runstore
 from . import sqltext as q
 from . import trainsql as ts
 from .noise_queries import noise_columns
-from .prepare_queries import EVENT, LINE_IDS, ORDER, PART, is_train
+from .prepare_queries import EVENT, LINE_IDS, ORDER, PART, is_train, permuted_sql
 from .registry import query, table, wide_table
 
 # ---------------------------------------------------------------- data sets
@@ -180,6 +180,25 @@ def logistic_minibatch(spark, sf):
     return beta_rows(spark, train.train_logistic(rows, features, "y", cfg, row_key("doc_id")), features)
 
 
+def _permuted_rows(k: int) -> str:
+    # steps 0 and 1 are the batches of the first epoch, 2 and 3 those of the second
+    return f"(SELECT 0 AS exp, id FROM permuted WHERE epoch * 2 + batch_id = {k})"
+
+
+@query(
+    "logistic_permuted",
+    f"""WITH {DOCS_DATA}, {train_xy('doc_id', ('n_chars', 'words'))},
+      {permuted_sql(f"SELECT doc_id AS id, {q.text('doc_id')} AS key FROM data WHERE split = 'train'", '(n // 2)', 4, 2)},
+      {ts.train_ctes('logistic', 4, batch=_permuted_rows)} {beta_sql('beta_4', ('n_chars', 'words'))}""",
+)
+def logistic_permuted(spark, sf):
+    """Two epochs of two batches; rows are ranked once and every epoch permutes the ranks."""
+    features = ["n_chars", "words"]
+    rows = docs_data(spark, sf).where(is_train())
+    cfg = train.TrainConfig("logistic", epochs=2, batch_size=rows.count() // 2, seed=4, order="permuted")
+    return beta_rows(spark, train.train_logistic(rows, features, "y", cfg, row_key("doc_id")), features)
+
+
 def _softmax_sql(d: int, steps: int) -> str:
     xs = tuple(f"x{k}" for k in range(d))
     data = scaled_sql(vectors_raw(d), "vec_id", xs, "label")
