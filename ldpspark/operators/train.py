@@ -182,6 +182,26 @@ def linear_step(beta: np.ndarray, gram: np.ndarray, moment: np.ndarray, rows: fl
     return descend(beta, gradient, cfg)
 
 
+def starts(
+    df: DataFrame, label: str, model: str, d: int, missing_is_zero: bool = False
+) -> tuple[dict[int, np.ndarray], int]:
+    """Coefficients before the first step of linear and logistic models, and the rows of the largest model.
+
+    ``missing_is_zero`` averages over all rows, as the moments of a full batch do.
+    """
+    y = quoted(label)
+    mean = F.avg(F.coalesce(y, F.lit(0)) if missing_is_zero else y)
+    means = gaps_as_null(df, [label]).groupBy("exp").agg(mean.alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    betas: dict[int, np.ndarray] = {}
+    for row in means:
+        if row["mean"] is None or drop_failed(betas, row["exp"], row["mean"]):
+            continue
+        p = min(max(row["mean"], PRIOR_FLOOR), 1 - PRIOR_FLOOR)
+        betas[row["exp"]] = np.zeros(d + 1)
+        betas[row["exp"]][0] = math.log(p / (1 - p)) if model == "logistic" else row["mean"]
+    return betas, max((r["n"] for r in means), default=0)
+
+
 def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainConfig, key: Column | None = None):
     """Coefficients per model: ``{exp: array(d + 1)}``."""
     df = with_model(df)
@@ -199,14 +219,9 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str, cfg: TrainC
             betas[row["exp"]] = beta
         return betas
 
-    start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
-    for row in start:
-        if row["mean"] is not None and not drop_failed(betas, row["exp"], row["mean"]):
-            betas[row["exp"]] = np.zeros(d + 1)
-            betas[row["exp"]][0] = row["mean"]
+    betas, rows = starts(df, label, "linear", d)
     if cfg.epochs <= 0:
         return betas
-    rows = max((r["n"] for r in start), default=0)
     _check_steps(rows // cfg.batch_size * cfg.epochs, cfg)
     if key is None:
         raise ValueError("mini-batches need the row key")
@@ -332,14 +347,7 @@ def _collect_vectors(cells: DataFrame, width: int) -> dict[int, tuple[float, np.
 def train_logistic(df: DataFrame, features: Sequence[str], label: str, cfg: TrainConfig, key: Column | None = None):
     df = with_model(df)
     d = len(features)
-    start = gaps_as_null(df, [label]).groupBy("exp").agg(F.avg(quoted(label)).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
-    betas = {}
-    for row in start:
-        if row["mean"] is None or drop_failed(betas, row["exp"], row["mean"]):
-            continue
-        p = min(max(row["mean"], PRIOR_FLOOR), 1 - PRIOR_FLOOR)
-        betas[row["exp"]] = np.zeros(d + 1)
-        betas[row["exp"]][0] = math.log(p / (1 - p))
+    betas, most = starts(df, label, "logistic", d)
 
     def step(part: DataFrame):
         if not betas:
@@ -350,7 +358,7 @@ def train_logistic(df: DataFrame, features: Sequence[str], label: str, cfg: Trai
                 continue
             betas[exp] = descend(betas[exp], total / n + ridge(betas[exp], cfg.regularization), cfg)
 
-    _iterate(df, [*features, label], key, cfg, max((r["n"] for r in start), default=0), step)
+    _iterate(df, [*features, label], key, cfg, most, step)
     return betas
 
 

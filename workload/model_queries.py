@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ldpspark.functions.rand import row_key, uniform
-from ldpspark.operators import encode, evaluate, privatise, scale, score, split, train
+from ldpspark.operators import encode, evaluate, privatise, scale, score, sparse, split, train
 from ldpspark.plans import compare as cmp
 from ldpspark.plans.config import Dataset, Run, pm_grid, qm_grid
 from ldpspark.plans.privatise import fit_dataset, prepare
@@ -199,6 +199,47 @@ def logistic_permuted(spark, sf):
     return beta_rows(spark, train.train_logistic(rows, features, "y", cfg, row_key("doc_id")), features)
 
 
+def _sparse_sql(steps: int) -> str:
+    coded = """SELECT *, 2 + dense_rank() OVER (ORDER BY o_custkey) - 1 AS f1,
+        2 + (SELECT count(DISTINCT o_custkey) FROM raw_t) + dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS f2 FROM raw_t"""
+    return f"""WITH raw_t AS MATERIALIZED (SELECT o_orderkey, CAST({DAY} AS DOUBLE) AS day, o_custkey, o_orderpriority,
+          CASE WHEN o_totalprice > 250000 THEN 1.0e0 ELSE 0.0e0 END AS y FROM orders WHERE {q.split(ORDER)} = 'train'),
+      fit AS (SELECT min(day) AS lo, max(day) AS hi FROM raw_t), coded AS MATERIALIZED ({coded}),
+      names AS (SELECT DISTINCT f1 AS f, 'o_custkey' AS feature, CAST(o_custkey AS VARCHAR) AS category FROM coded
+        UNION SELECT DISTINCT f2, 'o_orderpriority', o_orderpriority FROM coded
+        UNION ALL VALUES (0, '(bias)', NULL), (1, 'day', NULL)),
+      x AS MATERIALIZED (SELECT 0 AS exp, o_orderkey AS id, 0 AS f, 1.0e0 AS x FROM coded
+        UNION ALL SELECT 0, o_orderkey, 1, {q.minmax('day', 'lo', 'hi', -3.0, 3.0)} FROM coded, fit
+        UNION ALL SELECT 0, o_orderkey, f1, 1.0e0 FROM coded UNION ALL SELECT 0, o_orderkey, f2, 1.0e0 FROM coded),
+      y AS MATERIALIZED (SELECT 0 AS exp, o_orderkey AS id, 0 AS c, y FROM coded),
+      {ts.train_ctes('logistic', steps)}
+    SELECT feature, category, round(b, 8) AS beta FROM beta_{steps} JOIN names USING (f)"""
+
+
+@query("logistic_sparse", _sparse_sql(2))
+def logistic_sparse(spark, sf):
+    """A coefficient per customer and priority, trained from sparse cells."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day"),
+        "o_custkey",
+        "o_orderpriority",
+        (F.col("o_totalprice") > 250000).cast("double").alias("y"),
+    )
+    rows = scaled(split.hash_split(orders, row_key("o_orderkey")), ["day"]).where(is_train())
+    columns = ["o_custkey", "o_orderpriority"]
+    fitted = {c: encode.categories(rows, c) for c in columns}
+    models = sparse.train_sparse(rows, ["o_orderkey"], ["day"], columns, fitted, "y", train.TrainConfig("logistic", epochs=2))
+    names = None
+    for c in columns:
+        part = fitted[c].table.select(F.lit(c).alias("column"), "code", F.col("value").cast("string").alias("category"))
+        names = part if names is None else names.unionByName(part)
+    found = models.table.join(names, ["column", "code"]).select(F.col("column").alias("feature"), "category", "beta")
+    dense = [(n, None, float(v)) for n, v in zip(["(bias)", "day"], models.dense[0])]
+    few = spark.createDataFrame(dense, "feature string, category string, beta double")
+    return found.unionByName(few).withColumn("beta", F.round("beta", 8))
+
+
 def _softmax_sql(d: int, steps: int) -> str:
     xs = tuple(f"x{k}" for k in range(d))
     data = scaled_sql(vectors_raw(d), "vec_id", xs, "label")
