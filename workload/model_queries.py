@@ -75,11 +75,10 @@ def scaled(df, features):
 
 
 def docs_raw(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    # words are counted before the join, so that texts are not shuffled
     words = F.size(F.split("text", " ", -1)).cast("double")
-    return table(spark, sf, "labels").join(docs, "doc_id").select(
-        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), words.alias("words"), F.col("quality").cast("double").alias("quality")
-    )
+    docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), words.alias("words"))
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")).join(docs, "doc_id")
 
 
 def docs_data(spark, sf):
