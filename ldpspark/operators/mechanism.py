@@ -313,63 +313,44 @@ def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None =
     [p(-i, n), E p(-i, n)] over all inputs, negative ones by reflection p(i, -j) = p(-i, j); outputs whose
     probability at knot 0 is not symmetric; knot gaps that are too small. Checks: last knot at 1, a1 > 0.
     """
-    # all windows below refine the mechanism key
     cells, keys = _placed(cells, keys), _inner(keys)
-    per_output = Window.partitionBy(*keys, "i")
-    per_knot = Window.partitionBy(*keys, "j")
-    seen = cells.select(
+    # output i at input j is output |i| at input sign(i) * j; the centre output is on both sides
+    sides = F.when(F.col("i") == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.signum("i").cast("int")))
+    both = cells.select(*keys, F.abs("i").alias("m"), "a", "j", "p", F.explode(sides).alias("side"))
+    # one sort by mechanism and output serves both windows
+    per_output = Window.partitionBy(*keys, "m")
+    side, p = F.col("side"), F.col("p")
+
+    def seen(pick, condition: Column) -> Column:
+        return pick(F.when(condition, p)).over(per_output)
+
+    at_zero = F.col("j") == 0
+    seen_both = both.select(
         *keys,
-        "i",
         "a",
+        "m",
         "j",
         "p",
-        F.min("p").over(per_output).alias("p_star"),
-        F.sum("p").over(per_knot).alias("p_sum"),
-        F.sum(F.col("a") * F.col("p")).over(per_knot).alias("x"),
+        "side",
+        F.when(side == 1, seen(F.min, side == 1)).otherwise(seen(F.min, side == -1)).alias("p_star"),
+        F.max(F.when(side == -1, F.struct("j", "p"))).over(per_output).alias("end"),
+        (F.abs(seen(F.max, at_zero & (side == 1)) - seen(F.max, at_zero & (side == -1))) > CELL_TOLERANCE).alias("uneven"),
         F.max("j").over(Window.partitionBy(*keys)).alias("n_knots"),
     )
-    both = seen.select(
-        *keys,
-        F.abs("i").alias("m"),
-        "a",
-        "j",
-        "p",
-        "p_star",
-        "p_sum",
-        "x",
-        "n_knots",
-        # output i at input j is output |i| at input sign(i) * j
-        F.explode(F.when(F.col("i") == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.signum("i").cast("int")))).alias("side"),
-    )
-    base = F.max(F.when((F.col("side") == -1) & (F.col("j") == F.col("n_knots")), F.col("p"))).over(
-        Window.partitionBy(*keys, "m")
-    )
-    pair = Window.partitionBy(*keys, "m", "j")
+    # an output without a cell at the last knot has no base
+    base = F.when(F.col("end.j") == F.col("n_knots"), F.col("end.p"))
     e = F.exp(epsilon())
-    flagged = both.select(
-        *keys,
-        "a",
-        "m",
-        "j",
-        "side",
-        "x",
-        "n_knots",
-        (F.abs(F.col("p_sum") - 1.0) > SUM_TOLERANCE).alias("bad_sum"),
-        (F.col("p") > e * F.col("p_star") + CELL_TOLERANCE).alias("bad_ratio"),
-        ((F.col("p") < base - CELL_TOLERANCE) | (F.col("p") > e * base + CELL_TOLERANCE)).alias("bad_reflected"),
-        (F.max("p").over(pair) - F.min("p").over(pair) > CELL_TOLERANCE).alias("uneven"),
-    )
+    once = (F.col("m") > 0) | (side == 1)
     # a0 leaves a gap of at least 0, no a0 a strictly positive one
     needed = F.when(F.col("n_outputs") % 2 == 1, F.lit(0.0)).otherwise(F.lit(KNOT_GAP)) if min_gap is None else F.lit(float(min_gap))
-    knots = flagged.groupBy(*keys, "j").agg(
-        F.first("x").alias("x"),
+    knots = seen_both.groupBy(*keys, "j").agg(
+        F.sum(F.when(once, F.col("a") * p)).alias("x"),
         F.max("n_knots").alias("n_knots"),
-        F.max(F.col("bad_sum").cast("int")).alias("bad_sum"),
-        # centre output appears on both sides; count it once
-        F.sum(F.when(F.col("bad_ratio") & ((F.col("m") > 0) | (F.col("side") == 1)), 1).otherwise(0)).alias("bad_ratio"),
-        F.sum(F.when(F.col("bad_reflected"), 1).otherwise(0)).alias("bad_reflected"),
-        F.sum(F.when(F.col("uneven") & (F.col("j") == 0) & (F.col("side") == 1), 1).otherwise(0)).alias("uneven"),
-        F.min(F.when((F.col("m") == 1) & (F.col("side") == 1), F.col("a"))).alias("a1"),
+        (F.abs(F.sum(F.when(once, p)) - 1.0) > SUM_TOLERANCE).cast("int").alias("bad_sum"),
+        F.sum(F.when(once & (p > e * F.col("p_star") + CELL_TOLERANCE), 1).otherwise(0)).alias("bad_ratio"),
+        F.sum(F.when((p < base - CELL_TOLERANCE) | (p > e * base + CELL_TOLERANCE), 1).otherwise(0)).alias("bad_reflected"),
+        F.sum(F.when(F.col("uneven") & at_zero & (side == 1), 1).otherwise(0)).alias("uneven"),
+        F.min(F.when((F.col("m") == 1) & (side == 1), F.col("a"))).alias("a1"),
     )
     gap = F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("j"))
     report = (
