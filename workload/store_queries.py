@@ -9,6 +9,7 @@ from ldpspark.plans.config import Dataset, Run, pm_grid
 from ldpspark.plans.privatise import fit_dataset, label_metadata, prepare, privatise
 from ldpspark.session import scratch_path
 from ldpspark.sources import runstore, tables
+from ldpspark.sources.runtree import load_run_tree
 
 from . import sqltext as q
 from .model_queries import SCORE_ROWS, score_rows
@@ -38,6 +39,23 @@ def run_store(spark, sf):
     return one.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
 
 
+@query(
+    "run_tree",
+    f"""WITH {price_rows("split = 'train'", seed=1)} SELECT o_orderkey, round({q.pm('v', 'u0', 'u1', 3.0, 3.0)}, 6) AS o_totalprice FROM n""",
+)
+def run_tree(spark, sf):
+    """All runs written as a tree of CSV files named by run, one run read back by opening its files only."""
+    prepared = prepare(wide_table(spark, sf, "orders"), STORE_SET)
+    made = privatise(prepared, fit_dataset(prepared, STORE_SET), STORE_RUNS)
+    root = scratch_path(spark, "tree")
+    name = F.format_string("orders_Eps%.1f_t%.1f_Leps%.1f_seed%d_%s", "eps", "t", "label_eps", "seed", "split")
+    rows = made.select(name.alias("file"), "o_orderkey", "o_totalprice", "o_custkey")
+    rows.write.option("header", True).partitionBy("file").csv(f"{root}/inverse_index/orders/pm")
+    tree = load_run_tree(spark, root, "orders", "o_orderkey", schema="o_orderkey bigint, o_totalprice double, o_custkey double")
+    one = tree.where((F.col("mechanism") == "pm") & (F.col("mode") == "index") & (F.col("eps") == 3.0) & (F.col("seed") == 1) & (F.col("split") == "train"))
+    return one.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
 # each differs from the first in one column of the run key
 TWINS = [
     Run("pm", 1.0, 0, "index", t=3.0),
