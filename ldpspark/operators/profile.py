@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,20 @@ def missing_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return wide.unpivot([], cols, "column", "ratio")
 
 
+def missing_columns(columns: Sequence[str]) -> list[Column]:
+    """The aggregates of ``missing_ratio``, for an aggregate that has others as well."""
+    return [F.avg(quoted(c).isNull().cast("int")).alias(f"missing|{c}") for c in columns]
+
+
+def missing_from(row: Row, columns: Sequence[str]) -> dict[str, float | None]:
+    return {c: row[f"missing|{c}"] for c in columns}
+
+
+def above(missing: dict[str, float | None], threshold: float) -> set[str]:
+    """Names whose share is strictly above the threshold."""
+    return {c for c, share in missing.items() if share is not None and share > threshold}
+
+
 def columns_above(ratios: DataFrame, threshold: float, exempt: Iterable[str] = ()) -> list[str]:
     """Names whose ratio is strictly above the threshold."""
     keep = set(exempt)

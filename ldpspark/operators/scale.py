@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .profile import quoted
@@ -42,12 +42,21 @@ def fit(df: DataFrame, columns: Sequence[str], stats: Sequence[str] = ("min", "m
 
     ``where`` limits the rows (the train part) inside the aggregate, so other totals can share the scan.
     """
+    row = df.agg(*fit_columns(columns, stats, where)).head()
+    return fitted_from(row, columns, stats)
+
+
+def fit_columns(columns: Sequence[str], stats: Sequence[str], where: Column | None = None) -> list[Column]:
+    """The aggregates of ``fit``, for an aggregate that has others as well."""
     wanted = []
     for c in columns:
         x = quoted(c).cast("double")
         x = x if where is None else F.when(where, x)
         wanted += [STATISTICS[s](x).alias(f"{s}|{c}") for s in stats]
-    row = df.agg(*wanted).head()
+    return wanted
+
+
+def fitted_from(row: Row, columns: Sequence[str], stats: Sequence[str]) -> dict[str, Stats]:
     return {c: Stats(**{s: row[f"{s}|{c}"] for s in stats}) for c in columns}
 
 

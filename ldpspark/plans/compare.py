@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from ..functions.params import Table
 from ..operators import evaluate as ev
 from ..operators import score as sc
-from ..operators.profile import nan_to_null, numeric_columns, quoted, usable_features
+from ..operators.profile import numeric_columns, quoted
 from ..operators.scale import model_range
 from ..operators.split import is_test
 from ..operators.train import ABSENT_BIAS, TrainConfig, train
 from ..session import scratch_path
 from ..sources import runstore
 from .config import Dataset, Run
-from .privatise import Fitted, dataset_key, fit_dataset, label_metadata, prepare, privatise
+from .privatise import Fitted, dataset_key, label_metadata, model_features, prepare_and_fit, privatise
 
 logger = logging.getLogger(__name__)
 
@@ -250,13 +250,9 @@ def _scores(raw, dataset: Dataset, runs: Sequence[Run], points: Sequence[Compare
     """One table of scores per configuration. They differ in training only, so the rows are profiled, privatised,
     stacked once, for all of them."""
     cfg = next((p for p in points if p.train.batch_size > 0), points[0])
-    prepared = prepare(raw, dataset)
-    categorical = any(r.mode == "categorical" for r in runs)
-    fitted: Fitted = fit_dataset(prepared, dataset, categorical)
+    prepared, fitted = prepare_and_fit(raw, dataset, any(r.mode == "categorical" for r in runs))
     numeric_label = dataset.label in numeric_columns(prepared)
-    features = (
-        list(dataset.features) if dataset.features is not None else usable_features(prepared, dataset.label, dataset.key)
-    )
+    features = model_features(prepared, fitted)
     experiments = plan_experiments(runs, cfg)
     if store is not None:
         privatised = from_store(prepared, dataset, runs, store)

@@ -7,7 +7,7 @@ test labels stay raw.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,19 +21,27 @@ from ..functions.rand import row_key
 from ..operators.encode import Categories, categories, decode, ordinal_encode
 from ..operators.privatise import scaled
 from ..operators.profile import (
+    MODEL_THRESHOLD,
+    TRANSFORM_THRESHOLD,
+    above,
     categorical_columns,
     drop_sparse,
     log_label,
+    missing_columns,
+    missing_from,
     nan_to_null,
     numeric_columns,
     quoted,
     require_column,
 )
-from ..operators.scale import Stats, fit, linear_map
+from ..operators.scale import Stats, fit, fit_columns, fitted_from, linear_map
 from ..operators.split import is_test
 from ..sources import catalog
 from .config import Dataset, Run
 
+# what privatisation needs of a column
+RANGE = ("min", "max")
+
 
 @dataclass
 class Fitted:
@@ -44,40 +52,88 @@ class Fitted:
     stats: dict[str, Stats]
     label_categories: Categories | None
     feature_categories: dict[str, Categories]
+    # share of missing cells by column, if it was counted
+    missing: dict[str, float] | None = None
 
 
 def dataset_key(dataset: Dataset) -> Column:
     return row_key(*dataset.key)
 
 
-def prepare(df: DataFrame, dataset: Dataset) -> DataFrame:
-    """Ingest rules: label present, NaN as NULL, log label, sparse columns out, categorical columns out."""
+def _clean(df: DataFrame, dataset: Dataset) -> DataFrame:
+    """Label present, NaN as NULL, log label; the listed features, or all columns, categorical ones only if wanted."""
     require_column(df, dataset.label)
     clean = nan_to_null(df)
     if dataset.log_label:
         clean = log_label(clean, dataset.label)
+    if dataset.features is not None:
+        wanted = dict.fromkeys([*dataset.key, *dataset.features, dataset.label])
+    elif dataset.with_categorical:
+        wanted = clean.columns
+    else:
+        kept = {*dataset.key, dataset.label, *numeric_columns(clean)}
+        wanted = [c for c in clean.columns if c in kept]
+    return clean.select(*[quoted(c) for c in wanted])
+
+
+def _may_be_sparse(clean: DataFrame, dataset: Dataset) -> list[str]:
+    """Columns that are tested for missing cells: neither row key nor label nor listed features."""
     keep = {*dataset.key, dataset.label}
+    return [] if dataset.features is not None else [c for c in clean.columns if c not in keep]
+
+
+def prepare(df: DataFrame, dataset: Dataset) -> DataFrame:
+    """Ingest rules: label present, NaN as NULL, log label, sparse columns out, categorical columns out."""
+    clean = _clean(df, dataset)
+    tested = _may_be_sparse(clean, dataset)
+    return drop_sparse(clean, columns=tested) if tested else clean
+
+
+def _is_train(dataset: Dataset) -> Column:
+    return ~is_test(dataset_key(dataset), dataset.test_size, dataset.random_state, dataset.salt)
+
+
+def prepare_and_fit(df: DataFrame, dataset: Dataset, categorical_label: bool = False) -> tuple[DataFrame, Fitted]:
+    """``prepare`` and ``fit_dataset`` with one scan of the table, by one aggregate.
+
+    Train ranges are taken of every numeric column beside the shares of missing cells, also of those that turn out to be
+    sparse. ``Fitted.missing`` keeps the shares, from which ``model_features`` tells the features of a model without
+    another scan. Categories are still a job for each categorical column. An empty table has no shares and no ranges,
+    and keeps its columns.
+    """
+    clean = _clean(df, dataset)
+    numeric, tested = numeric_columns(clean, dataset.key), _may_be_sparse(clean, dataset)
+    wanted = [*missing_columns(tested), *fit_columns(numeric, RANGE, _is_train(dataset))]
+    row = clean.agg(*wanted).head() if wanted else None
+    missing = missing_from(row, tested)
+    prepared = clean.drop(*above(missing, TRANSFORM_THRESHOLD))
+    stats = {c: s for c, s in fitted_from(row, numeric, RANGE).items() if c in prepared.columns}
+    return prepared, _fitted(prepared, dataset, stats, categorical_label, missing)
+
+
+def model_features(prepared: DataFrame, fitted: Fitted) -> list[str]:
+    """``usable_features`` by the shares of missing cells that ``prepare_and_fit`` has counted."""
+    dataset = fitted.dataset
     if dataset.features is not None:
-        return clean.select(*[quoted(c) for c in dict.fromkeys([*dataset.key, *dataset.features, dataset.label])])
-    clean = drop_sparse(clean, exempt=keep)
-    if not dataset.with_categorical:
-        wanted = keep | set(numeric_columns(clean))
-        clean = clean.select(*[quoted(c) for c in clean.columns if c in wanted])
-    return clean
+        return list(dataset.features)
+    sparse = above(fitted.missing, MODEL_THRESHOLD)
+    return [c for c in numeric_columns(prepared, {*dataset.key, dataset.label}) if c not in sparse]
 
 
 def fit_dataset(prepared: DataFrame, dataset: Dataset, categorical_label: bool = False) -> Fitted:
     """Train ranges of all features and the label, in one aggregate over the train rows."""
+    columns = numeric_columns(prepared, dataset.key)
+    stats = fit(prepared, columns, RANGE, where=_is_train(dataset)) if columns else {}
+    return _fitted(prepared, dataset, stats, categorical_label)
+
+
+def _fitted(prepared, dataset: Dataset, stats: dict[str, Stats], categorical_label: bool, missing=None) -> Fitted:
     skip = {*dataset.key, dataset.label}
-    features = numeric_columns(prepared, skip)
-    train = ~is_test(dataset_key(dataset), dataset.test_size, dataset.random_state, dataset.salt)
-    numeric_label = dataset.label in numeric_columns(prepared)
-    columns = [*features, dataset.label] if numeric_label else features
-    stats = fit(prepared, columns, ("min", "max"), where=train) if columns else {}
+    train = _is_train(dataset)
     label_categories = categories(prepared, dataset.label, train) if categorical_label else None
     others = categorical_columns(prepared, skip) if dataset.with_categorical else []
     feature_categories = {c: categories(prepared, c, train) for c in others}
-    return Fitted(dataset, features, stats, label_categories, feature_categories)
+    return Fitted(dataset, numeric_columns(prepared, skip), stats, label_categories, feature_categories, missing)
 
 
 def privatise(

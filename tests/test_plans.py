@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ldpspark.operators import mechanism, train
+from ldpspark.operators.profile import usable_features
 from ldpspark.plans import compare as cmp
 from ldpspark.plans.config import Dataset, Run, pm_grid, qm_grid
-from ldpspark.plans.privatise import fit_dataset, label_metadata, prepare, privatise
+from ldpspark.plans.privatise import fit_dataset, label_metadata, model_features, prepare, prepare_and_fit, privatise
 from ldpspark.session import scratch_path
 from ldpspark.sources import catalog, runstore, tables
 from ldpspark.streaming.privatise import privatise_stream
@@ -43,6 +44,44 @@ def test_ingest_rules(spark):
         prepare(people(spark), Dataset("people", ("k",), "nothing"))
 
 
+@pytest.mark.parametrize("with_categorical", [False, True])
+@pytest.mark.parametrize("label, log", [("y", False), ("y", True), ("cls", False), ("colour", False)])
+@pytest.mark.parametrize("features", [None, ("a", "b")])
+def test_one_scan_finds_what_three_do(spark, label, log, features, with_categorical):
+    ds = Dataset("people", ("k",), label, features, log_label=log, with_categorical=with_categorical)
+    rows = people(spark).withColumn("half", F.when(F.col("k") % 20 < 9, 1.5)).withColumn("nan", F.when(F.col("k") % 20 > 8, 2.0).otherwise(math.nan))
+    prepared, fitted = prepare_and_fit(rows, ds)
+    plain = prepare(rows, ds)
+    assert prepared.columns == plain.columns
+    want = fit_dataset(plain, ds)
+    assert (fitted.features, fitted.stats) == (want.features, want.stats)
+    assert {c: v.values for c, v in fitted.feature_categories.items()} == {c: v.values for c, v in want.feature_categories.items()}
+    expected = list(features) if features else usable_features(plain, label, ds.key)
+    assert model_features(prepared, fitted) == expected
+    if features is None:
+        # 45 % and 55 % missing: used by a model, or only kept by the transform, or dropped
+        assert "nan" in prepared.columns and "half" not in prepared.columns and "nan" not in expected
+
+
+def test_profile_reads_the_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    base = people(spark, 500)
+    rows = base.mapInArrow(counted, base.schema)
+    prepare_and_fit(rows, Dataset("people", ("k",), "y"))
+    assert seen.value == 500
+    # nothing to count but the row key
+    prepared, fitted = prepare_and_fit(base.select("k", "colour"), Dataset("people", ("k",), "colour"))
+    assert (prepared.columns, fitted.stats, model_features(prepared, fitted)) == (["k", "colour"], {}, [])
+    empty, fitted = prepare_and_fit(base.limit(0), Dataset("people", ("k",), "y"))
+    assert empty.columns == ["k", "a", "b", "mostly_missing", "y", "cls"] and fitted.stats["a"].min is None
+
+
 def test_categorical_features_become_one_hot(spark):
     ds = Dataset("people", ("k",), "y", with_categorical=True)
     prepared = prepare(people(spark), ds)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ldpspark.functions.rand import digest, draw, row_key, uniform
 from ldpspark.operators import encode, lookup, profile, scale, split
+from ldpspark.plans.config import Dataset
+from ldpspark.plans.privatise import model_features, prepare_and_fit
 
 from . import sqltext as q
 from .registry import query, table, wide_table
@@ -89,6 +91,37 @@ def usable_features(spark, sf):
     return events.agg(F.lit(len(names)).alias("n_features"), F.count(F.lit(1)).alias("n_rows"))
 
 
+PROFILE_SET = Dataset("events", ("event_id",), "value_a")
+PROFILED = ("user_id", "value_b", "value_c")
+
+
+def _profile_sql() -> str:
+    train = f"CASE WHEN {q.split(EVENT)} = 'train' THEN"
+    parts = [
+        f"""SELECT '{c}' AS "column", avg(CASE WHEN {c} IS NULL THEN 1.0e0 ELSE 0.0e0 END) AS missing,
+          min({train} {c} END) AS lo, max({train} {c} END) AS hi, {int(c != "value_a")} AS tested FROM e"""
+        for c in (*PROFILED, PROFILE_SET.label)
+    ]
+    return f"""WITH e AS ({GAP_EVENTS}), r AS ({" UNION ALL ".join(parts)})
+    SELECT "column", CASE WHEN tested = 1 THEN round(missing, 9) END AS missing,
+      CASE WHEN tested = 0 OR missing <= 0.5e0 THEN round(CAST(lo AS DOUBLE), 6) END AS train_min,
+      CASE WHEN tested = 0 OR missing <= 0.5e0 THEN round(CAST(hi AS DOUBLE), 6) END AS train_max,
+      CAST(tested = 1 AND missing <= 0.4e0 AS INTEGER) AS model_feature FROM r"""
+
+
+@query("profile_and_fit", _profile_sql())
+def profile_and_fit(spark, sf):
+    """Missing shares, kept columns, train ranges and model features of a table from one aggregate over it."""
+    prepared, fitted = prepare_and_fit(gap_events(spark, sf), PROFILE_SET)
+    features = model_features(prepared, fitted)
+    rows = []
+    for c in (*PROFILED, PROFILE_SET.label):
+        s = fitted.stats.get(c, scale.Stats())
+        rows.append((c, fitted.missing.get(c), s.min, s.max, int(c in features)))
+    out = spark.createDataFrame(rows, "`column` string, missing double, train_min double, train_max double, model_feature int")
+    return out.select("column", *[F.round(c, d).alias(c) for c, d in (("missing", 9), ("train_min", 6), ("train_max", 6))], "model_feature")
+
+
 @query("numeric_projection", "SELECT p_partkey, p_size, p_retailprice FROM part")
 def numeric_projection(spark, sf):
     return profile.numeric_projection(table(spark, sf, "part"))
