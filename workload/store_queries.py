@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ldpspark.operators import evaluate
+from ldpspark.plans import grid
 from ldpspark.plans.config import Dataset, Run, pm_grid
 from ldpspark.plans.privatise import fit_dataset, label_metadata, prepare, privatise
 from ldpspark.session import scratch_path
@@ -56,6 +57,32 @@ def run_tree(spark, sf):
     return one.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
 
 
+_ASKED = """SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'wine' WHEN 1 THEN 'gamma' WHEN 2 THEN 'Beijing_housing' ELSE c_mktsegment END AS dataset,
+      round((c_acctbal + 1000.0e0) / 2500.0e0 + 0.5e0, 4) AS eps, 1.0e0 + c_nationkey % 3 AS label_eps FROM customer"""
+
+
+@query(
+    "grid_table",
+    f"""WITH a AS ({_ASKED}), s(dataset, label_n, regression, log_label) AS (VALUES ('wine', 7, TRUE, FALSE), ('gamma', 2, FALSE, FALSE),
+        ('Beijing_housing', NULL, FALSE, TRUE)),
+      r AS (SELECT a.*, label_n, coalesce(regression, FALSE) AS reg, coalesce(log_label, FALSE) AS lg FROM a LEFT JOIN s ON s.dataset = a.dataset),
+      m(mode, reg) AS (VALUES ('index', TRUE), ('linear', TRUE), ('linear', FALSE))
+    SELECT r.dataset, m.mode, r.eps, r.label_eps, n.n_outputs, coalesce(r.label_n, n.n_outputs) AS label_n, CAST(lg AS INTEGER) AS log_label, d.seed
+    FROM r JOIN m ON m.reg = r.reg, (VALUES (5), (64)) n(n_outputs), (VALUES (0), (1)) d(seed)""",
+)
+def grid_table(spark, sf):
+    """The runs that customers ask for, with the settings of their datasets."""
+    place = F.col("c_custkey") % 4
+    name = F.when(place == 0, "wine").when(place == 1, "gamma").when(place == 2, "Beijing_housing").otherwise(F.col("c_mktsegment"))
+    asked = table(spark, sf, "customer").select(
+        name.alias("dataset"),
+        F.round((F.col("c_acctbal") + 1000.0) / 2500.0 + 0.5, 4).alias("eps"),
+        (1.0 + F.col("c_nationkey") % 3).alias("label_eps"),
+    )
+    runs = grid.qm_runs(asked, grid.usual_settings(spark), n_values=(5, 64), seeds=(0, 1))
+    return runs.select("dataset", "mode", "eps", "label_eps", "n_outputs", "label_n", F.col("log_label").cast("int").alias("log_label"), "seed")
+
+
 # each differs from the first in one column of the run key
 TWINS = [
     Run("pm", 1.0, 0, "index", t=3.0),
