@@ -2,7 +2,8 @@
 
 A mechanism is a set of cells ``(eps, n_outputs, [more keys], i, a, j, p)``: probability p of output i (value a)
 at knot j. Budgets come in as a table of (eps, n_outputs). Fan-out is by ``explode`` on small ranges; all
-aggregates group by the mechanism key first, so one shuffle of the keys places the whole design.
+aggregates group by the mechanism key first, so one shuffle of the keys places the whole design. The number of tasks
+is given: adaptive execution would go by the bytes of the keys, of which a few are many cells.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ CELL_TOLERANCE = 1e-9
 KNOT_GAP = 1e-7
 SMOOTHING = 0.1
 OBJECTIVES = ("avg", "worst")
+# budgets are dealt to tasks of about so many candidate cells
+TASK_CELLS = 1_000_000
+# cells are dealt to so many tasks a core
+TASKS_PER_CORE = 16
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -43,9 +48,22 @@ def _inner(keys: Sequence[str]) -> list[str]:
     return ["eps_e4" if k == "eps" else k for k in keys]
 
 
-def _placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One shuffle by the mechanism key, which serves all later aggregates and windows."""
-    return keyed(df).repartition(*_inner(keys))
+def _placed_budgets(budgets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One shuffle by the mechanism key, which serves all later aggregates and windows of a design.
+
+    A job counts the cells that the budgets will have (N outputs have about N**3 / 4 in all their candidates), so that
+    what a task holds does not grow with the number of budgets.
+    """
+    n = F.col("n_outputs").cast("double")
+    cells = budgets.agg(F.sum(n * n * n / 4.0)).head()[0] or 0.0
+    return keyed(budgets).repartition(1 + int(cells / TASK_CELLS), *_inner(keys))
+
+
+def _placed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for cells. Counting them would design them twice, so the number of tasks follows the cores."""
+    spark = cells.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return keyed(cells).repartition(tasks, *_inner(keys))
 
 
 def check_sizes(budgets: DataFrame) -> DataFrame:
@@ -96,7 +114,7 @@ def start_table(budgets: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """
     e, a_max, n = F.col("e"), F.col("a_max"), F.col("n")
     base = (
-        _placed(budgets, budgets.columns)
+        _placed_budgets(budgets, budgets.columns)
         .withColumn("n", half())
         .withColumn("e", F.exp(epsilon()))
         .withColumn("t", F.exp(epsilon() / 3.0))
@@ -257,7 +275,7 @@ def _candidates(budgets: DataFrame) -> DataFrame:
 
 def candidates(budgets: DataFrame) -> DataFrame:
     """All candidate mechanisms: (eps, n_outputs, width, a1, avg_var, worst_var)."""
-    return unkeyed(_candidates(_placed(check_sizes(budgets), KEYS)))
+    return unkeyed(_candidates(_placed_budgets(check_sizes(budgets), KEYS)))
 
 
 def _sweep(budgets: DataFrame, objectives: Sequence[str]) -> DataFrame:
@@ -280,12 +298,20 @@ def _sweep(budgets: DataFrame, objectives: Sequence[str]) -> DataFrame:
 
 def sweep(budgets: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
     """Best width per budget and objective: (obj, eps, n_outputs, width, a1, avg_var, worst_var)."""
-    return unkeyed(_sweep(_placed(check_sizes(budgets), KEYS), objectives))
+    return unkeyed(_sweep(_placed_budgets(check_sizes(budgets), KEYS), objectives))
 
 
 def design(budgets: DataFrame, objectives: Sequence[str] = OBJECTIVES) -> DataFrame:
     """Catalog cells of the best mechanism per objective: (obj, eps, n_outputs, width, a1, i, a, j, p)."""
-    chosen = _sweep(_placed(check_sizes(budgets), KEYS), objectives)
+    return _chosen_cells(_sweep(_placed_budgets(check_sizes(budgets), KEYS), objectives))
+
+
+def chosen_cells(chosen: DataFrame) -> DataFrame:
+    """The cells of rows of ``sweep``, as ``design`` gives them. Rows are multiplied where they are, without a shuffle."""
+    return _chosen_cells(keyed(chosen))
+
+
+def _chosen_cells(chosen: DataFrame) -> DataFrame:
     chosen = chosen.select("obj", *_inner(KEYS), "width", "a1")
     return unkeyed(_window_cells(chosen)).withColumn("a", F.col("i") * F.col("a1"))
 

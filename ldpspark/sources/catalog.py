@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantised import Quantised
 from ..operators import mechanism as mech
+from ..session import settle
 
 KEY = ("obj", "eps", "n_outputs")
 # how many infeasible mechanisms an error message names
@@ -61,13 +62,16 @@ def get_or_create(wanted: DataFrame, path: str) -> DataFrame:
         "obj", F.round("eps", 4).alias("eps"), F.col("n_outputs").cast("int").alias("n_outputs")
     ).distinct()
     catalog = read_catalog(spark, path)
-    absent = missing(keys, catalog)
+    # asked for several times; without this the catalog is read each time
+    absent = settle(missing(keys, catalog))
     if not absent.isEmpty():
-        cells = mech.design(absent.select("eps", "n_outputs").distinct())
+        # mechanisms are joined, not their cells
+        chosen = mech.sweep(absent.select("eps", "n_outputs").distinct()).join(absent, list(KEY), "left_semi")
         # feasible by construction
-        _append(cells.join(absent, list(KEY), "left_semi"), path)
+        _append(mech.chosen_cells(chosen), path)
         catalog = read_catalog(spark, path)
-    return catalog.join(keys, list(KEY), "left_semi")
+    # a map of the keys: cells are not sorted
+    return catalog.join(keys.hint("shuffle_hash"), list(KEY), "left_semi")
 
 
 def lookup_key(obj: str, eps: float, n_outputs: int) -> tuple[str, float, int]:
