@@ -238,7 +238,8 @@ def mech_clean(spark, sf):
     """Knots stored in descending order are put right on load."""
     cells = mech.design(budgets(spark, sf), ["avg"])
     last = cells.groupBy(*mech.KEYS).agg(F.max("j").alias("last"))
-    backwards = cells.join(last, list(mech.KEYS)).withColumn("j", F.col("last") - F.col("j"))
+    # a map of the last knots: cells are not sorted
+    backwards = cells.join(last.hint("shuffle_hash"), list(mech.KEYS)).withColumn("j", F.col("last") - F.col("j"))
     out = mech.clean_knots(backwards.select(*mech.KEYS, "i", "a", "j", "p"))
     return out.select(*mech.KEYS, "i", "j", F.round("p", 9).alias("p"))
 
