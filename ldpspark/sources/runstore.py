@@ -33,6 +33,8 @@ MANIFEST_SCHEMA = (
 # budgets are told apart to this fraction
 RESOLUTION = 1e9
 PLACES = ("run_id", "save", "split")
+# rows of a run are dealt in parts of about so many
+PART_ROWS = 500_000
 
 
 # ------------------------------------------------------------------ identity
@@ -91,13 +93,18 @@ def save_runs(df: DataFrame, root: str, key: Sequence[str]) -> str:
     A run that is stored already is replaced as soon as this save is finished; all other runs stay, whatever part of the
     run key they differ in. If the job dies earlier, the store is as it was.
 
-    Rows are rebalanced by run: adaptive execution splits large runs and joins small ones to partitions of
-    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so the number of files follows the bytes, not splits times runs.
+    Rows are rebalanced by parts of runs: adaptive execution joins small ones to partitions of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``. It splits a run only between map tasks, whose share of a run grows
+    with the table, and a write sorts what it gets; so a job counts the rows of the runs first, which needs no noise.
     """
     spark, save, data = df.sparkSession, uuid.uuid4().hex, f"{root}/data"
     typed = df.withColumns({c: F.col(c).cast(kind) for c, kind in RUN_TYPES.items()}).drop("run", *PLACES[:2])
     rows = typed.withColumns({"run_id": run_id_column(), "save": F.lit(save)})
-    rows.hint("rebalance", F.col("run_id"), F.col("split")).write.mode("append").partitionBy(*PLACES).parquet(data)
+    total, largest = typed.groupBy(*RUN_COLUMNS).count().agg(F.sum("count"), F.max("count")).head()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (total or 0) // PART_ROWS)
+    part = F.pmod(F.xxhash64(*[quoted(k) for k in key]), F.lit(1 + (largest or 0) // PART_ROWS))
+    dealt = rows.withColumn("__part", part).hint("rebalance", tasks, F.col("run_id"), F.col("split"), F.col("__part")).drop("__part")
+    dealt.write.mode("append").partitionBy(*PLACES).parquet(data)
     layout = T.StructType([f for f in rows.schema.fields if f.name not in PLACES] + [T.StructField(c, T.StringType()) for c in PLACES])
     try:
         written = spark.read.schema(layout).option("basePath", data).parquet(f"{data}/run_id=*/save={save}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ldpspark.operators import mechanism as mech
 from ldpspark.session import scratch_path
-from ldpspark.sources import catalog
+from ldpspark.sources import catalog, runstore
 
 
 def many_budgets(spark, n, n_outputs):
@@ -51,3 +51,22 @@ def test_catalog_sorts_no_cells(spark, no_broadcast):
     want = mech.design(wanted.select("eps", "n_outputs"), ["avg"]).select(*cells.columns)
     assert cells.count() == want.count() and cells.exceptAll(want).isEmpty()
     assert "Sort" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_run_is_dealt_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runstore, "PART_ROWS", 1_000, raising=False)
+    key = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    kept = {k: spark.conf.get(k) for k in key}
+    run = {"dataset": "d", "mechanism": "pm", "mode": "index", "eps": 1.0, "t": 3.0, "n_outputs": None, "obj": None, "label_eps": 1.0, "label_n": None, "seed": 0}
+    rows = spark.range(8_000, numPartitions=1).select(F.col("id").alias("k"), F.lit("train").alias("split"), *[F.lit(v).alias(c) for c, v in run.items()])
+    for k, v in key.items():
+        spark.conf.set(k, v)
+    try:
+        runstore.save_runs(rows, str(tmp_path), ["k"])
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    back = runstore.load_runs(spark, str(tmp_path))
+    assert back.count() == 8_000 and back.select("k").distinct().count() == 8_000
+    # one map task made all rows, and no task wrote a large share of them
+    assert max(r["count"] for r in back.groupBy(F.input_file_name()).count().collect()) < 4_000
