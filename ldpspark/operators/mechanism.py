@@ -24,6 +24,8 @@ OBJECTIVES = ("avg", "worst")
 TASK_CELLS = 1_000_000
 # cells are dealt to so many tasks a core
 TASKS_PER_CORE = 16
+# and, where their number is known, to tasks of about so many cells at most
+PLACED_CELLS = 500_000
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -59,11 +61,21 @@ def _placed_budgets(budgets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keyed(budgets).repartition(1 + int(cells / TASK_CELLS), *_inner(keys))
 
 
-def _placed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same for cells. Counting them would design them twice, so the number of tasks follows the cores."""
+def _placed(cells: DataFrame, keys: Sequence[str], n_cells: float | None = None) -> DataFrame:
+    """The same for cells. Counting them would design them twice, so the number of tasks follows the cores.
+
+    Who knows how many cells there are (``most_cells``, or a count of stored ones) says so, and the tasks follow that too.
+    """
     spark = cells.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
-    return keyed(cells).repartition(tasks, *_inner(keys))
+    return keyed(cells).repartition(max(tasks, 1 + int((n_cells or 0) / PLACED_CELLS)), *_inner(keys))
+
+
+def most_cells(budgets: DataFrame, mechanisms: int = 1) -> float:
+    """Upper bound of the cells of so many designed mechanisms or start tables a budget; a job over the budgets."""
+    n = F.col("n_outputs").cast("double")
+    # N outputs have N // 2 + 1 knots at most
+    return mechanisms * (budgets.agg(F.sum(n * (F.floor(n / 2) + 1))).head()[0] or 0.0)
 
 
 def check_sizes(budgets: DataFrame) -> DataFrame:
@@ -231,22 +243,22 @@ def _worst_term() -> Column:
     return F.greatest(at_knot, F.when(inside, at_star))
 
 
-def variances(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def variances(cells: DataFrame, keys: Sequence[str] = KEYS, n_cells: float | None = None) -> DataFrame:
     """Average-case and worst-case noise variance of each mechanism over |input| in [x_0, x_n]."""
     inner = _inner(keys)
     return unkeyed(
-        _steps(_knot_moments(_placed(cells, keys), inner), inner)
+        _steps(_knot_moments(_placed(cells, keys, n_cells), inner), inner)
         .groupBy(*inner)
         .agg(F.sum(_average_term()).alias("avg_var"), F.max(_worst_term()).alias("worst_var"))
     )
 
 
-def average_variance(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return variances(cells, keys).drop("worst_var")
+def average_variance(cells: DataFrame, keys: Sequence[str] = KEYS, n_cells: float | None = None) -> DataFrame:
+    return variances(cells, keys, n_cells).drop("worst_var")
 
 
-def worst_variance(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return variances(cells, keys).drop("avg_var")
+def worst_variance(cells: DataFrame, keys: Sequence[str] = KEYS, n_cells: float | None = None) -> DataFrame:
+    return variances(cells, keys, n_cells).drop("avg_var")
 
 
 def _candidates(budgets: DataFrame) -> DataFrame:
@@ -332,14 +344,14 @@ def ratio_violations(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return unkeyed(above.select(*inner, "i", "j", "p", "p_star", "upper_bound"))
 
 
-def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None = None) -> DataFrame:
+def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None = None, n_cells: float | None = None) -> DataFrame:
     """Feasibility report, one row per mechanism.
 
     Counts: knots that do not sum to 1; cells above E times their output's minimum; cells outside
     [p(-i, n), E p(-i, n)] over all inputs, negative ones by reflection p(i, -j) = p(-i, j); outputs whose
     probability at knot 0 is not symmetric; knot gaps that are too small. Checks: last knot at 1, a1 > 0.
     """
-    cells, keys = _placed(cells, keys), _inner(keys)
+    cells, keys = _placed(cells, keys, n_cells), _inner(keys)
     # output i at input j is output |i| at input sign(i) * j; the centre output is on both sides
     sides = F.when(F.col("i") == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.signum("i").cast("int")))
     both = cells.select(*keys, F.abs("i").alias("m"), "a", "j", "p", F.explode(sides).alias("side"))
@@ -403,9 +415,9 @@ def audit(cells: DataFrame, keys: Sequence[str] = KEYS, min_gap: float | None =
     return unkeyed(report.withColumn("feasible", clean & ends))
 
 
-def clean_knots(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def clean_knots(cells: DataFrame, keys: Sequence[str] = KEYS, n_cells: float | None = None) -> DataFrame:
     """Renumber the knots of a mechanism by position when its positions are not increasing."""
-    cells, keys = _placed(cells, keys), _inner(keys)
+    cells, keys = _placed(cells, keys, n_cells), _inner(keys)
     x = cells.groupBy(*keys, "j").agg(F.sum(F.col("a") * F.col("p")).alias("__x"))
     step = F.col("__x") - F.lag("__x").over(Window.partitionBy(*keys).orderBy("j"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__x", "j")) - 1
@@ -418,9 +430,9 @@ def clean_knots(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return unkeyed(renumbered)
 
 
-def report(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def report(cells: DataFrame, keys: Sequence[str] = KEYS, n_cells: float | None = None) -> DataFrame:
     """Outputs with p > 1e-4 at the first, middle and last knot, with the knot's mean."""
-    cells, keys = _placed(cells, keys), _inner(keys)
+    cells, keys = _placed(cells, keys, n_cells), _inner(keys)
     shown = cells.select(
         *keys,
         "i",

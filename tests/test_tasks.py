@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ldpspark.operators import mechanism as mech
 from ldpspark.session import scratch_path
 from ldpspark.sources import catalog, runstore
+from workload import load
 
 
 def many_budgets(spark, n, n_outputs):
@@ -43,6 +44,25 @@ def test_cells_are_dealt_to_many_tasks(spark):
         assert len(rows_by_task(made)) >= 8 * spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("name", ["mech_audit", "mech_clean", "mech_avg_var", "mech_worst_var"])
+def test_cells_of_many_budgets_are_dealt_by_their_number(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(mech, "PLACED_CELLS", 1_000, raising=False)
+    # 4,000 budgets of 13 outputs, so a mechanism has 91 cells at most
+    customers = spark.range(4_000).select((F.col("id") * 0.25).alias("c_acctbal"), F.lit(11).alias("c_nationkey"))
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    out = load().queries[name](spark, str(tmp_path))
+    mechanisms = out.select(F.spark_partition_id().alias("task"), *[c for c in ("obj", "eps") if c in out.columns]).distinct()
+    by_task = [r["count"] for r in mechanisms.groupBy("task").count().collect()]
+    assert sum(by_task) == 4_000 * {"mech_audit": 3}.get(name, 1)
+    assert max(by_task) <= 30
+
+
+def test_most_cells_is_a_bound(spark):
+    budgets = spark.createDataFrame([(e, n) for e in (0.5, 2.0, 6.0) for n in range(2, 14)], "eps double, n_outputs int")
+    assert mech.design(budgets).count() <= mech.most_cells(budgets, 2) and mech.start_table(budgets).count() <= mech.most_cells(budgets)
+    assert mech.most_cells(budgets.limit(0)) == 0
+
+
 def test_catalog_sorts_no_cells(spark, no_broadcast):
     wanted = many_budgets(spark, 40, 5).withColumn("obj", F.lit("avg"))
     path = scratch_path(spark, "t-tasks")

@@ -141,7 +141,8 @@ START_STEPS = f"""{START_CTES},
       THEN (e2 + ep) / 2 * (x - xp) - (x * x * x - xp * xp * xp) / 3 ELSE 0 END), 6) AS avg_var FROM stp GROUP BY eps, n_outputs""",
 )
 def mech_avg_var(spark, sf):
-    out = mech.average_variance(mech.start_table(budgets(spark, sf)))
+    wanted = budgets(spark, sf)
+    out = mech.average_variance(mech.start_table(wanted), n_cells=mech.most_cells(wanted))
     return out.select("eps", "n_outputs", F.round("avg_var", 6).alias("avg_var"))
 
 
@@ -154,7 +155,8 @@ def mech_avg_var(spark, sf):
     SELECT eps, n_outputs, round(max(v), 6) AS worst_var FROM v GROUP BY eps, n_outputs""",
 )
 def mech_worst_var(spark, sf):
-    out = mech.worst_variance(mech.start_table(budgets(spark, sf)))
+    wanted = budgets(spark, sf)
+    out = mech.worst_variance(mech.start_table(wanted), n_cells=mech.most_cells(wanted))
     return out.select("eps", "n_outputs", F.round("worst_var", 6).alias("worst_var"))
 
 
@@ -210,7 +212,8 @@ def mech_audit(spark, sf):
     wanted = budgets(spark, sf)
     start = mech.start_table(wanted).withColumn("obj", F.lit("start"))
     cells = mech.design(wanted).select(*keys, "i", "a", "j", "p").unionByName(start.select(*keys, "i", "a", "j", "p"))
-    out = mech.audit(cells, keys)
+    # two designs and a start table a budget
+    out = mech.audit(cells, keys, n_cells=mech.most_cells(wanted, 3))
     return out.select(
         *keys,
         "sum_violations",
@@ -236,11 +239,12 @@ def mech_audit(spark, sf):
 )
 def mech_clean(spark, sf):
     """Knots stored in descending order are put right on load."""
-    cells = mech.design(budgets(spark, sf), ["avg"])
+    wanted = budgets(spark, sf)
+    cells = mech.design(wanted, ["avg"])
     last = cells.groupBy(*mech.KEYS).agg(F.max("j").alias("last"))
     # a map of the last knots: cells are not sorted
     backwards = cells.join(last.hint("shuffle_hash"), list(mech.KEYS)).withColumn("j", F.col("last") - F.col("j"))
-    out = mech.clean_knots(backwards.select(*mech.KEYS, "i", "a", "j", "p"))
+    out = mech.clean_knots(backwards.select(*mech.KEYS, "i", "a", "j", "p"), n_cells=mech.most_cells(wanted))
     return out.select(*mech.KEYS, "i", "j", F.round("p", 9).alias("p"))
 
 
