@@ -44,7 +44,7 @@ def test_cells_are_dealt_to_many_tasks(spark):
         assert len(rows_by_task(made)) >= 8 * spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["mech_audit", "mech_clean", "mech_avg_var", "mech_worst_var"])
+@pytest.mark.parametrize("name", ["mech_audit", "mech_report", "mech_clean", "mech_avg_var", "mech_worst_var"])
 def test_cells_of_many_budgets_are_dealt_by_their_number(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(mech, "PLACED_CELLS", 1_000, raising=False)
     # 4,000 budgets of 13 outputs, so a mechanism has 91 cells at most
@@ -53,7 +53,7 @@ def test_cells_of_many_budgets_are_dealt_by_their_number(spark, tmp_path, monkey
     out = load().queries[name](spark, str(tmp_path))
     mechanisms = out.select(F.spark_partition_id().alias("task"), *[c for c in ("obj", "eps") if c in out.columns]).distinct()
     by_task = [r["count"] for r in mechanisms.groupBy("task").count().collect()]
-    assert sum(by_task) == 4_000 * {"mech_audit": 3}.get(name, 1)
+    assert sum(by_task) == 4_000 * {"mech_audit": 3, "mech_report": 2}.get(name, 1)
     assert max(by_task) <= 30
 
 

@@ -256,7 +256,9 @@ def mech_clean(spark, sf):
     WHERE p > 1e-4 AND j IN (0, n // 2, n)""",
 )
 def mech_report(spark, sf):
-    out = mech.report(designed(spark, sf).select("obj", *mech.KEYS, "i", "a", "j", "p"), ["obj", *mech.KEYS])
+    wanted = budgets(spark, sf)
+    cells = mech.design(wanted).select("obj", *mech.KEYS, "i", "a", "j", "p")
+    out = mech.report(cells, ["obj", *mech.KEYS], n_cells=mech.most_cells(wanted, 2))
     return out.select(
         "obj", *mech.KEYS, "i", F.round("a", 8).alias("a"), "j", F.round("p", 9).alias("p"), (F.round("x", 8) + 0).alias("x")
     )
